@@ -4,16 +4,402 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import dates, measures, mrz
+from vellum.operators import fusion, ledger, rules, signals, text
+from vellum.sources import synth, workload
+from vellum.sources.synth import AS_OF, table
+from vellum.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return rules.prepared(synth.identity_documents(spark, d), AS_OF)
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return rules.findings(documents(spark, d))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    docs = synth.identity_documents(spark, d)
+    return fusion.evidence(fusion.rule_items(found(spark, d)), fusion.forensic_items(workload.forensic_layers(spark, d)), fusion.biometric_items(workload.face_checks(spark, d)), fusion.ocr_items(docs))
+
+
+_MRZ = synth.SQL
+_RULES = synth.SQL + rules.sql_prepared(AS_OF)
+_FOUND = _RULES + rules.sql_findings()
+_EVIDENCE = _FOUND + workload.EVIDENCE_SQL
+
+
+# Machine-readable zone ---------------------------------------------------------------------------
+@query("mrz_td3_parse", _MRZ + "SELECT doc_id, mrz_type, issuer, surname, given, mrz_number, mrz_nationality, mrz_dob, mrz_sex, mrz_expiry, mrz_optional FROM mrz WHERE two_lines")
+def mrz_td3_parse(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("mrz_type", "issuer", "surname", "given", "mrz_number", "mrz_nationality", "mrz_dob", "mrz_sex", "mrz_expiry", "mrz_optional")
+    return mrz.with_mrz(synth.identity_documents(spark, d)).where("two_lines").select("doc_id", *cols)
+
+
+@query("mrz_check_digits", _MRZ + "SELECT doc_id, ok_number, ok_dob, ok_expiry, ok_optional, ok_composite FROM mrz WHERE two_lines")
+def mrz_check_digits(spark: SparkSession, d: str) -> DataFrame:
+    return mrz.with_mrz(synth.identity_documents(spark, d)).where("two_lines").select("doc_id", "ok_number", "ok_dob", "ok_expiry", "ok_optional", "ok_composite")
+
+
+@query("mrz_reliability", _MRZ + "SELECT doc_id, has_mrz, two_lines, coalesce(reliable, false) AS reliable FROM mrz")
+def mrz_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return mrz.with_mrz(synth.identity_documents(spark, d)).select("doc_id", "has_mrz", "two_lines", F.coalesce("reliable", F.lit(False)).alias("reliable"))
+
+
+# Words, lines, fields ----------------------------------------------------------------------------
+@query("ocr_lines", text.LINES_SQL + "SELECT * FROM lines")
+def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
+    return text.lines(text.page_words(table(spark, d, "documents")))
+
+
+@query("ocr_mean_confidence", text.LINES_SQL + "SELECT d.doc_id, coalesce(sum(CAST(round(confidence * 100) AS BIGINT))::DOUBLE / count(confidence) / 100, 0) AS confidence, count(confidence) AS words FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id")
+def ocr_mean_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return text.mean_confidence(table(spark, d, "documents").select("doc_id"), text.page_words(table(spark, d, "documents")))
+
+
+@query("mrz_candidates", _MRZ + text.PAGE_SQL + "SELECT doc_id, line_pos, candidate FROM cand")
+def mrz_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return text.mrz_candidates(text.page_lines(synth.identity_documents(spark, d)))
+
+
+@query("mrz_pair_select", _MRZ + text.PAGE_SQL + text.PAIR_SQL)
+def mrz_pair_select(spark: SparkSession, d: str) -> DataFrame:
+    return text.mrz_pair(text.mrz_candidates(text.page_lines(synth.identity_documents(spark, d))))
+
+
+@query("classify_document", _MRZ + text.PAGE_SQL + text.CLASSIFY_SQL)
+def classify_document(spark: SparkSession, d: str) -> DataFrame:
+    return text.classified(text.page_lines(synth.identity_documents(spark, d)))
+
+
+@query("extract_fields", _MRZ + text.PAGE_SQL + text.EXTRACT_SQL)
+def extract_fields(spark: SparkSession, d: str) -> DataFrame:
+    return text.extracted(text.page_lines(synth.identity_documents(spark, d)))
+
+
+@query("mrz_fallback_fields", _MRZ + text.FALLBACK_SQL)
+def mrz_fallback_fields(spark: SparkSession, d: str) -> DataFrame:
+    return text.with_fallback(mrz.with_mrz(synth.identity_documents(spark, d)))
+
+
+# Dates and rules ---------------------------------------------------------------------------------
+@query("parse_date_text", _RULES + "SELECT doc_id, issue_day, expiry_day FROM r")
+def parse_date_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = synth.identity_documents(spark, d)
+    return docs.select("doc_id", dates.parse_date(F.col("issue_date")).alias("issue_day"), dates.parse_date(F.col("expiry_date")).alias("expiry_day"))
+
+
+@query("parse_date_mrz", _RULES + "SELECT doc_id, zone_dob, zone_expiry FROM r")
+def parse_date_mrz(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", "zone_dob", "zone_expiry")
+
+
+@query("rules_all", _FOUND + "SELECT doc_id, pos, rule_id, category, field, status, severity FROM f")
+def rules_all(spark: SparkSession, d: str) -> DataFrame:
+    return found(spark, d)
+
+
+for _name, _category in {"rules_required": "required_field", "rules_format": "format", "rules_dates": "date", "rules_mrz": "mrz", "rules_consistency": "consistency", "rules_passport": "passport"}.items():
+    query(_name, _FOUND + f"SELECT doc_id, rule_id, field, status, severity FROM f WHERE category = '{_category}'")(
+        lambda spark, d, of=_category: found(spark, d).where(F.col("category") == of).select("doc_id", "rule_id", "field", "status", "severity")
+    )
+
+
+@query(
+    "rule_summary",
+    _FOUND + """SELECT doc_id, count(*) AS total, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'WARNING') AS n_warning,
+    count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'NOT_APPLICABLE') AS n_not_applicable,
+    count(*) FILTER (status <> 'PASS' AND severity = 'INFO') AS sev_info, count(*) FILTER (status <> 'PASS' AND severity = 'LOW') AS sev_low,
+    count(*) FILTER (status <> 'PASS' AND severity = 'MEDIUM') AS sev_medium, count(*) FILTER (status <> 'PASS' AND severity = 'HIGH') AS sev_high,
+    count(*) FILTER (status <> 'PASS' AND severity = 'CRITICAL') AS sev_critical, bool_or(status = 'FAIL') AS has_failures FROM f GROUP BY doc_id""",
+)
+def rule_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rules.summary(found(spark, d))
+
+
+# Evidence, risk ----------------------------------------------------------------------------------
+@query("evidence_normalize", _EVIDENCE + "SELECT doc_id, pos, id, source, polarity, severity, confidence, field, array_to_string(region, ',') AS region FROM items")
+def evidence_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("doc_id", "pos", "id", "source", "polarity", "severity", "confidence", "field", F.array_join("region", ",").alias("region"))
+
+
+@query("polarity_counts", _EVIDENCE + "SELECT doc_id, count(*) FILTER (polarity = 'CONCERN') AS concern, count(*) FILTER (polarity = 'REASSURING') AS reassuring, count(*) FILTER (polarity = 'NEUTRAL') AS neutral, count(DISTINCT source) AS sources FROM items GROUP BY doc_id")
+def polarity_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.count_if(F.col("polarity") == p)
+    return items(spark, d).groupBy("doc_id").agg(n("CONCERN").alias("concern"), n("REASSURING").alias("reassuring"), n("NEUTRAL").alias("neutral"), F.count_distinct("source").alias("sources"))
+
+
+for _name, _type in {"corroboration_pairs": "CORROBORATION", "contradiction_pairs": "CONTRADICTION"}.items():
+    query(_name, _EVIDENCE + f"SELECT doc_id, field, id_a, id_b FROM pair WHERE type = '{_type}'")(
+        lambda spark, d, of=_type: fusion.pairs(items(spark, d)).where(F.col("type") == of).select("doc_id", "field", "id_a", "id_b")
+    )
+
+
+@query("identity_contradiction", _EVIDENCE + "SELECT doc_id FROM items WHERE polarity = 'CONCERN' GROUP BY doc_id HAVING bool_or(source = 'biometrics') AND NOT bool_or(source IN ('rules', 'forensics'))")
+def identity_contradiction(spark: SparkSession, d: str) -> DataFrame:
+    by = items(spark, d).where("polarity = 'CONCERN'").groupBy("doc_id").agg(F.bool_or(F.col("source") == "biometrics").alias("bio"), F.bool_or(F.col("source").isin("rules", "forensics")).alias("other"))
+    return by.where("bio and not other").select("doc_id")
+
+
+@query("consistency_flag", _EVIDENCE + "SELECT doc_id FROM items GROUP BY doc_id HAVING NOT bool_or(polarity = 'CONCERN') AND count(DISTINCT CASE WHEN polarity = 'REASSURING' THEN source END) >= 2")
+def consistency_flag(spark: SparkSession, d: str) -> DataFrame:
+    by = items(spark, d).groupBy("doc_id").agg(F.bool_or(F.col("polarity") == "CONCERN").alias("bad"), F.count_distinct(F.when(F.col("polarity") == "REASSURING", F.col("source"))).alias("n"))
+    return by.where("not bad and n >= 2").select("doc_id")
+
+
+@query("risk_points", _EVIDENCE + "SELECT doc_id, id, round(raw, 2) AS points FROM w WHERE polarity = 'CONCERN'")
+def risk_points(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).where("polarity = 'CONCERN'").select("doc_id", "id", F.round(fusion.points(), 2).alias("points"))
+
+
+@query("risk_score", _EVIDENCE + "SELECT * FROM risk")
+def risk_score(spark: SparkSession, d: str) -> DataFrame:
+    every = items(spark, d)
+    return fusion.risk(every, fusion.pairs(every))
+
+
+@query("review_queue_page", _EVIDENCE + "SELECT doc_id, score, level, action FROM risk ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50")
+def review_queue_page(spark: SparkSession, d: str) -> DataFrame:
+    return risk_score(spark, d).select("doc_id", "score", "level", "action").orderBy(F.desc("score"), "doc_id").offset(50).limit(50)
+
+
+@query("level_by_action", _EVIDENCE + "SELECT level, action, count(*) AS n, sum(score) AS total FROM risk GROUP BY level, action")
+def level_by_action(spark: SparkSession, d: str) -> DataFrame:
+    return risk_score(spark, d).groupBy("level", "action").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+@query("bbox_iou", """SELECT x.l_orderkey AS k, x.l_linenumber AS a, y.l_linenumber AS b, round(i::DOUBLE / u, 6) AS iou FROM (
+  SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS i,
+    (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS u
+  FROM (SELECT x.l_orderkey, x.l_linenumber, y.l_linenumber AS ln, x.l_partkey % 100 AS ax1, x.l_suppkey % 100 AS ay1, x.l_partkey % 100 + 60 AS ax2, x.l_suppkey % 100 + 40 AS ay2,
+    y.l_partkey % 100 AS bx1, y.l_suppkey % 100 AS by1, y.l_partkey % 100 + 60 AS bx2, y.l_suppkey % 100 + 40 AS by2
+    FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)) t""".replace("x.l_orderkey AS k, x.l_linenumber AS a, y.l_linenumber AS b", "l_orderkey AS k, l_linenumber AS a, ln AS b"))
+def bbox_iou(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 100
+    box = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.array(x, y, x + 60, y + 40).alias("box"))
+    both = box.select("k", F.col("n").alias("a"), F.col("box").alias("p")).join(box.select("k", F.col("n").alias("b"), F.col("box").alias("q")), "k").where("a < b")
+    return both.select("k", "a", "b", F.round(measures.iou(F.col("p"), F.col("q")), 6).alias("iou"))
+
+
+# Faces -------------------------------------------------------------------------------------------
+@query("face_primary", """WITH t AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS face, l_extendedprice AS area,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem),
+p AS (SELECT doc_id, max(CASE WHEN r = 1 THEN face END) AS face, max(CASE WHEN r = 1 THEN area END) AS a1, max(CASE WHEN r = 2 THEN area END) AS a2 FROM t WHERE r <= 2 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN a2 IS NULL OR a2 <= 0 OR a1 >= 2.0 * a2 THEN face END AS face, NOT (a2 IS NULL OR a2 <= 0 OR a1 >= 2.0 * a2) AS ambiguous FROM p""")
+def face_primary(spark: SparkSession, d: str) -> DataFrame:
+    return signals.primary_face(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("face"), F.col("l_extendedprice").alias("area")))
+
+
+@query("face_quality_grade", """SELECT c_custkey AS doc_id, ['POOR', 'ACCEPTABLE', 'GOOD'][least(
+  CASE WHEN c_custkey % 10 >= 6.5 THEN 2 WHEN c_custkey % 10 >= 5 THEN 1 ELSE 0 END, CASE WHEN c_custkey % 97 >= 80 THEN 2 WHEN c_custkey % 97 >= 45 THEN 1 ELSE 0 END,
+  CASE WHEN c_custkey % 150 >= 120 THEN 2 WHEN c_custkey % 150 >= 40 THEN 1 ELSE 0 END) + 1] AS grade FROM customer""")
+def face_quality_grade(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("doc_id"), signals.quality_grade(k % 10 / 10, k % 97, k % 150).alias("grade"))
+
+
+_COS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id AS doc_id, a.v AS x, b.v AS y FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT doc_id, CASE WHEN y IS NOT NULL THEN round(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i])) / (sqrt(list_sum(list_transform(x, lambda a: a * a))) * sqrt(list_sum(list_transform(y, lambda a: a * a)))), 6) END AS similarity FROM p)"""
+
+
+@query("match_decision", f"""WITH {_COS} SELECT doc_id, similarity, CASE WHEN similarity IS NULL THEN 'UNAVAILABLE' WHEN similarity >= 0.5 THEN 'MATCH' ELSE 'MISMATCH' END AS status,
+  CASE WHEN round(abs(similarity - 0.5), 9) >= 0.2 THEN 'HIGH' WHEN round(abs(similarity - 0.5), 9) >= 0.1 THEN 'MEDIUM' WHEN similarity IS NOT NULL THEN 'LOW' END AS strength FROM s""")
+def match_decision(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return signals.verified(own, own.withColumn("doc_id", F.col("doc_id") - 1))
+
+
+# Ledger ------------------------------------------------------------------------------------------
+def transactions(spark: SparkSession, d: str, tampered: bool = False) -> DataFrame:
+    """Orders as transactions, 25 a block."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("subject_id"), F.col("o_orderstatus").alias("payload"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"))
+    if tampered:
+        orders = orders.withColumn("payload", F.when(F.col("subject_id") == 130, "TAMPERED").otherwise(F.col("payload")))
+    rows = orders.withColumns({"block_index": F.floor(F.col("subject_id") / 25), "tx_index": F.col("subject_id") % 25})
+    return rows.withColumn("hash", ledger.transaction_hash("payload", "subject_id", "timestamp", "tx_index"))
+
+
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    rows = ledger.blocks(transactions(spark, d))
+    order = Window.orderBy("block_index")
+    return ledger.chained(rows.withColumn("block_index", F.row_number().over(order).cast("long") - 1))
+
+
+def renumbered(tx: DataFrame) -> DataFrame:
+    """Block numbers without gaps, from the distinct ones."""
+    numbers = tx.select("block_index").distinct().withColumn("n", F.row_number().over(Window.orderBy("block_index")) - 1)
+    return tx.join(numbers, "block_index").drop("block_index").withColumnRenamed("n", "block_index")
+
+
+_TX = """WITH tx AS (SELECT o_orderkey AS subject_id, o_orderkey // 25 AS block_index, o_orderkey % 25 AS tx_index, o_orderstatus AS payload, strftime(o_orderdate, '%Y-%m-%d') AS timestamp FROM orders),
+h AS (SELECT *, sha256('{"payload":"' || payload || '","subject_id":' || subject_id || ',"timestamp":"' || timestamp || '","tx_index":' || tx_index || '}') AS hash FROM tx)"""
+
+
+@query("tx_hash", _TX + "SELECT subject_id, block_index, tx_index, hash FROM h")
+def tx_hash(spark: SparkSession, d: str) -> DataFrame:
+    return transactions(spark, d).select("subject_id", "block_index", "tx_index", "hash")
+
+
+_LAYER = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1])))"
+_ROOTS = _TX.replace("WITH tx", "WITH RECURSIVE tx") + f""", m AS (
+  SELECT block_index, list(hash ORDER BY tx_index) AS l, count(*) AS n_tx, max(timestamp) AS timestamp FROM h GROUP BY block_index
+  UNION ALL SELECT block_index, {_LAYER}, n_tx, timestamp FROM m WHERE len(l) > 1),
+root AS (SELECT block_index, n_tx, timestamp, l[1] AS merkle FROM m WHERE len(l) = 1)"""
+
+
+@query("merkle_root", _ROOTS + "SELECT block_index, n_tx, merkle FROM root")
+def merkle_root(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.blocks(transactions(spark, d)).select("block_index", "n_tx", "merkle")
+
+
+_CHAIN = _ROOTS + f""", n AS (SELECT row_number() OVER (ORDER BY block_index) - 1 AS i, n_tx, timestamp, merkle FROM root),
+c AS (
+  SELECT i, n_tx, timestamp, merkle, '{ledger.GENESIS}' AS prev_hash, sha256(i || '|' || timestamp || '|{ledger.GENESIS}|' || merkle) AS hash FROM n WHERE i = 0
+  UNION ALL
+  SELECT n.i, n.n_tx, n.timestamp, n.merkle, c.hash, sha256(n.i || '|' || n.timestamp || '|' || c.hash || '|' || n.merkle) FROM c JOIN n ON n.i = c.i + 1)"""
+
+
+@query("block_chain", _CHAIN + "SELECT i AS block_index, n_tx, merkle, timestamp, prev_hash, hash FROM c")
+def block_chain(spark: SparkSession, d: str) -> DataFrame:
+    return chain(spark, d)
+
+
+@query("verify_chain", "SELECT true AS ok, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS reason")
+def verify_chain(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.verified(chain(spark, d), renumbered(transactions(spark, d)))
+
+
+@query("verify_tampered_chain", """WITH b AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderkey // 25) - 1 AS i FROM orders)
+SELECT count(*) = 0 AS ok, CAST(min(i) AS BIGINT) AS broken_at, CASE WHEN count(*) > 0 THEN 'merkle' END AS reason FROM b WHERE o_orderkey = 130""")
+def verify_tampered_chain(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.verified(chain(spark, d), renumbered(transactions(spark, d, tampered=True)))
+
+
+@query("chain_stats", _CHAIN + "SELECT max(i) AS height, count(*) AS blocks, CAST(sum(n_tx) AS BIGINT) AS transactions, max_by(hash, i) AS head FROM c")
+def chain_stats(spark: SparkSession, d: str) -> DataFrame:
+    return chain(spark, d).agg(F.coalesce(F.max("block_index"), F.lit(-1)).alias("height"), F.count("*").alias("blocks"), F.coalesce(F.sum("n_tx"), F.lit(0)).alias("transactions"), F.max_by("hash", "block_index").alias("head"))
+
+
+@query("list_blocks", _CHAIN + "SELECT i AS block_index, n_tx, hash FROM c ORDER BY i DESC LIMIT 20 OFFSET 10")
+def list_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return chain(spark, d).select("block_index", "n_tx", "hash").orderBy(F.desc("block_index")).offset(10).limit(20)
+
+
+@query("block_by_height", _CHAIN + "SELECT i AS block_index, n_tx, merkle, hash FROM c WHERE i = 7")
+def block_by_height(spark: SparkSession, d: str) -> DataFrame:
+    return chain(spark, d).where("block_index = 7").select("block_index", "n_tx", "merkle", "hash")
+
+
+# Store -------------------------------------------------------------------------------------------
+@query("content_dedup", "SELECT sha256(text) || '.txt' AS path, count(*) AS uses, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text")
+def content_dedup(spark: SparkSession, d: str) -> DataFrame:
+    digest = F.concat(F.sha2(F.col("text"), 256), F.lit(".txt"))
+    return table(spark, d, "documents").where("text is not null").groupBy(digest.alias("path")).agg(F.count("*").alias("uses"), F.min("doc_id").alias("first_id"))
+
+
+# Signals and evaluation --------------------------------------------------------------------------
+_HIST = """WITH b AS (SELECT event_type AS k, CAST(least(floor((value - 0) / 500.0 * 256), 255) AS INTEGER) AS bin FROM events WHERE value BETWEEN 0 AND 500),
+c AS (SELECT k, bin, count(*) AS n FROM b GROUP BY k, bin), hist AS (SELECT k, bin, n::DOUBLE / sum(n) OVER (PARTITION BY k) AS share FROM c)"""
+
+
+def _histogram(spark: SparkSession, d: str) -> DataFrame:
+    return signals.histogram(table(spark, d, "events").select(F.col("event_type").alias("k"), "value"), "k", "value", 0.0, 500.0)
+
+
+@query("histogram_256", _HIST + "SELECT k, bin, round(share, 9) AS share FROM hist")
+def histogram_256(spark: SparkSession, d: str) -> DataFrame:
+    return _histogram(spark, d).select("k", "bin", F.round("share", 9).alias("share"))
+
+
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    """One array of 256 shares a key."""
+    entries = F.map_from_entries(F.collect_list(F.struct("bin", "share")))
+    return _histogram(spark, d).groupBy("k").agg(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0))).alias("h"))
+
+
+def _pairs(spark: SparkSession, d: str, measure: Callable) -> DataFrame:
+    a, b = (_dense(spark, d).select(F.col("k").alias(f"k{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
+    first = F.broadcast(a.where("ka = 'click'"))  # one histogram, of a fixed size
+    return first.join(b, F.col("ka") != F.col("kb")).select("ka", "kb", F.round(measure(F.col("ha"), F.col("hb")), 6).alias("distance"))
+
+
+_FULL = _HIST + """, keys AS (SELECT DISTINCT k FROM hist), full_ AS (SELECT keys.k, g.bin, coalesce(share, 0) AS share FROM keys, (SELECT unnest(range(0, 256)) AS bin) g LEFT JOIN hist ON hist.k = keys.k AND hist.bin = g.bin),
+p AS (SELECT a.k AS ka, b.k AS kb, a.bin, a.share AS x, b.share AS y FROM full_ a JOIN full_ b ON a.bin = b.bin WHERE a.k = 'click' AND b.k <> 'click')"""
+
+
+@query("wasserstein1", _FULL + ", c2 AS (SELECT ka, kb, abs(sum(x - y) OVER (PARTITION BY ka, kb ORDER BY bin)) AS dist FROM p) SELECT ka, kb, round(sum(dist), 6) AS distance FROM c2 GROUP BY ka, kb")
+def wasserstein1(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d, measures.wasserstein1)
+
+
+@query("chi_square", _FULL + "SELECT ka, kb, round(sum((x - y) * (x - y) / (x + y + 1e-10)) / 2, 6) AS distance FROM p GROUP BY ka, kb")
+def chi_square(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d, measures.chi_square)
+
+
+_LOO = "WITH t AS (SELECT c_custkey AS k, c_acctbal AS v, sum(c_acctbal) OVER () AS s, count(*) OVER () AS n FROM customer), l AS (SELECT k, abs(v - (s - v) / (n - 1)) AS distance FROM t)"
+
+
+@query("loo_threshold", _LOO + "SELECT round(greatest(1.5 * quantile_cont(distance, 0.99), 0.45), 4) AS threshold, round(avg(distance), 4) AS mean, round(stddev_pop(distance), 4) AS sd FROM l")
+def loo_threshold(spark: SparkSession, d: str) -> DataFrame:
+    far = signals.leave_one_out(table(spark, d, "customer").select(F.col("c_acctbal").alias("v")), "v")
+    return far.agg(F.round(F.greatest(F.percentile("distance", 0.99) * 1.5, F.lit(0.45)), 4).alias("threshold"), F.round(F.avg("distance"), 4).alias("mean"), F.round(F.stddev_pop("distance"), 4).alias("sd"))
+
+
+_LABELS = "SELECT quality = 1 AS t, doc_id % 3 <> 0 AS p FROM labels"
+
+
+@query("classification_rates", f"""WITH m AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (t AND NOT p) AS fn FROM ({_LABELS}))
+SELECT tp, fp, tn, fn, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 6) AS accuracy, coalesce(round(tp::DOUBLE / nullif(tp + fp, 0), 6), 0) AS precision, coalesce(round(tp::DOUBLE / nullif(tp + fn, 0), 6), 0) AS recall,
+  coalesce(round(tn::DOUBLE / nullif(tn + fp, 0), 6), 0) AS specificity, coalesce(round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1, coalesce(round(fp::DOUBLE / nullif(fp + tn, 0), 6), 0) AS fpr, coalesce(round(fn::DOUBLE / nullif(fn + tp, 0), 6), 0) AS fnr FROM m""")
+def classification_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels").select((F.col("quality") == 1).alias("t"), (F.col("doc_id") % 3 != 0).alias("p"))
+    return signals.rates(rows, "t", "p")
+
+
+@query("detection_rate", "SELECT lang, round(avg(CASE WHEN doc_id % 3 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM documents GROUP BY lang")
+def detection_rate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.avg((F.col("doc_id") % 3 != 0).cast("int")), 6).alias("rate"), F.count("*").alias("n"))
+
+
+@query("split_membership", "SELECT CASE WHEN doc_id % 100 < 70 THEN 'calibration' WHEN doc_id % 100 < 85 THEN 'validation' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT l.doc_id) AS ids FROM labels l GROUP BY ALL")
+def split_membership(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 100
+    part = F.when(k < 70, "calibration").when(k < 85, "validation").otherwise("test")
+    return table(spark, d, "labels").groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("stream_event_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.drained(spark, d)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The review queue: every document with its risk and recommendation, the worst first."""
+    return risk_score(spark, sf_dir).orderBy(F.desc("score"), "doc_id")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
