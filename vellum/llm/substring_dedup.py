@@ -24,7 +24,7 @@ WIDTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WIDTH - PERIOD + 1
 _ENTRY = "bucket int, kind int, docs binary, which binary, hashes binary"
-_REPLY = "key long, hashes binary"
+_REPLY = "part long, docs binary, hashes binary"
 #: Bits of a window hash that go back to its document, where they only tell its own windows apart.
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -104,26 +104,30 @@ def _replies(buckets: int, width: int, smaller: bool) -> Callable:
     A task holds the buckets dealt to it, whose size falls with the number of shuffle partitions."""
 
     def send(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-        for lo in range(0, len(at), 20_000):
-            some, ends = at[lo : lo + 20_000], np.append(at[1:], len(doc))[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([_pack(h[a:z] & _LOW48, 6) for a, z in zip(some, ends)], pa.binary())], ["key", "hashes"])
+        """A row for each group of documents: the documents, and their hashes in turn."""
+        group = doc % buckets
+        order = np.lexsort((h, doc, group))
+        group, doc, h = group[order], doc[order], h[order]
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+        rows = [(int(group[a]), doc[a:z].tobytes(), _pack(h[a:z] & _LOW48, 6)) for a, z in zip(cuts, np.append(cuts[1:], len(doc)))]
+        if rows:
+            g, d, x = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            settled: list[tuple[int, bytes]] = []
+            settled: list[tuple[int, bytes, bytes]] = []
             for r in batch.to_pylist():
                 if r["kind"]:
-                    settled.append((int.from_bytes(r["docs"], "little", signed=True), r["hashes"]))
+                    settled.append((r["bucket"], r["docs"] * (len(r["hashes"]) // 6), r["hashes"]))
                     continue
                 h = _unpack(r["hashes"], width) * np.uint64(buckets) + np.uint64(r["bucket"])
                 which = np.frombuffer(r["which"], "<u2" if len(r["which"]) == 2 * len(h) else "<u4").astype(np.int64)
                 parts.append((h, np.frombuffer(r["docs"], np.int64)[which >> 1], (which & 1).astype(bool)))
             if settled:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in settled], pa.int64()), pa.array([x for _, x in settled], pa.binary())], ["key", "hashes"])
+                g, d, x = zip(*settled)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
         if not parts:
             return
         h, doc, multi = (np.concatenate(x) for x in zip(*parts))
@@ -143,6 +147,21 @@ def _replies(buckets: int, width: int, smaller: bool) -> Callable:
     return run
 
 
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replies to the documents dealt to this task: a row for each document."""
+    parts = [(np.frombuffer(d, np.int64), np.frombuffer(x, np.uint8).reshape(-1, 6)) for batch in batches for d, x in zip(batch.column("docs").to_pylist(), batch.column("hashes").to_pylist())]
+    if not parts:
+        return
+    doc, h = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.argsort(doc, kind="stable")
+    doc, h = doc[order], h[order]
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    for lo in range(0, len(at), 5_000):
+        some, ends = at[lo : lo + 5_000], np.append(at[1:], len(doc))[lo : lo + 5_000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([h[a:z].tobytes() for a, z in zip(some, ends)], pa.binary())], ["key", "replies"])
+
+
 def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat, starts = split_words(text)
     return word_hashes(flat), starts
@@ -186,16 +205,12 @@ def raw_set(raw: bytes) -> np.ndarray:
     return _unpack(raw, 6)
 
 
-def _joined(column: pa.Array) -> list[bytes | None]:
-    return [b"".join(x) if x else None for x in column.to_pylist()]
-
-
 def _candidates(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in _texts(batches):
             h, starts = _hashed(text)
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            mask = _near(h, starts, _joined(batch.column("replies")), buckets)
+            mask = _near(h, starts, batch.column("replies").to_pylist(), buckets)
             if mask.any():
                 yield from _entries(batch.column("doc_id").to_numpy(), window_hashes(h, WIDTH)[mask], row[: len(mask)][mask], buckets, 8, True)
 
@@ -212,7 +227,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = np.zeros(count, bool)
             if named.is_valid and reply.is_valid and count >= WIDTH:
                 flat = pa.array(own, pa.large_binary())
-                hit = np.isin(window_hashes(word_hashes(flat), WIDTH) & _LOW48, raw_set(b"".join(reply.as_py())))
+                hit = np.isin(window_hashes(word_hashes(flat), WIDTH) & _LOW48, raw_set(reply.as_py()))
                 step = np.zeros(count + 1, np.int64)
                 at = np.flatnonzero(hit)
                 step[at] += 1
@@ -244,7 +259,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     def collected(entries: DataFrame, width: int, smaller: bool) -> DataFrame:
         replies = entries.repartition(parts, "bucket").mapInArrow(_replies(buckets, width, smaller), _REPLY)
-        return replies.groupBy("key").agg(F.collect_list("hashes").alias("replies")).hint("shuffle_hash")
+        return replies.repartition(parts, "part").mapInArrow(_sorted_out, "key long, replies binary").hint("shuffle_hash")
 
     shared = collected(dealt.mapInArrow(_anchors(buckets), _ENTRY), 5, False)
     near = dealt.join(shared, "key").select("doc_id", "packed", "replies")
