@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import mixed, slices, split_words, whole_windows, window_hashes, word_hashes, written
@@ -18,6 +18,10 @@ BANDS, ROWS = 24, 5
 #: Least share of equal minima for a pair to be compared in full. At a similarity of 0.8 the share
 #: of 120 minima is below this with a chance under 1e-6.
 SIGNATURE_SHARE = 0.6
+#: Rounds of comparing a bucket with one of its members.
+STARS = 3
+#: Cells of the sketch that orders shingles by rarity, and how many travel together.
+CELLS, BLOCK = 1 << 20, 1 << 10
 _SEED = np.random.default_rng(20240229)
 _MUL = _SEED.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -126,22 +130,92 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _top(members: DataFrame, k: int) -> DataFrame:
-    """The first k members of each bucket, by degree; a large bucket is cut into 64 parts first."""
-    part = Window.partitionBy("key", F.pmod(F.xxhash64("rep"), F.lit(64))).orderBy(F.desc("degree"), "rep")
-    rest = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-    some = members.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    return some.withColumn("r", F.row_number().over(rest)).where(F.col("r") <= k)
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.uint32)
+    for batch in slices(batches):
+        out, at = shingles(batch.column("text"))
+        row = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(at))
+        both = np.unique(np.column_stack([row, out]), axis=0)[:, 1] if len(out) else out
+        counts += np.bincount((both % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+    blocks = counts.reshape(-1, BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[b].tobytes() for b in some], pa.binary())], ["block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            total[b] = total.get(b, 0) + np.frombuffer(raw, np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each of CELLS hash cells occur: of fixed size, whatever the input."""
+    schema = "block int, counts binary"
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint32)
+    for r in texts.select("text").mapInArrow(_sketched, schema).repartition("block").mapInArrow(_summed, schema).collect():  # CELLS numbers
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
+
+
+def _prefixes(rarity: np.ndarray, threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            out, at = shingles(batch.column("text"))
+            keep, size, length = [], [], []
+            for i in range(batch.num_rows):
+                own = np.unique(out[at[i] : at[i + 1]])
+                n = len(own)
+                first = n - -(-threshold * n // 100) + 1 if n else 0
+                keep.append(own[np.lexsort((own, rarity[(own % np.uint64(CELLS)).astype(np.int64)]))[:first]])
+                size.append(first)
+                length.append(n)
+            rep, component = (np.repeat(batch.column(c).to_numpy(), size) for c in ("rep", "component"))
+            place = np.concatenate([np.arange(k) for k in size])
+            cols = [np.concatenate(keep).view(np.int64), rep, component, place.astype(np.int32), np.repeat(length, size).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "rep", "component", "place", "n"])
+
+    return run
+
+
+def _across(texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) in different components that can still be linked, whatever their bands.
+
+    Two linked sets share one of the rarest shingles of each (all but ``threshold`` % of it, in one common order), and
+    what stands from the first shared one on bounds what they share. For each shingle only those outside its
+    most frequent component look for partners, so a large component is never paired with itself.
+    """
+    rows = written(texts.mapInArrow(_prefixes(_rarity(texts), threshold), "shingle long, rep long, component long, place int, n int"), "prefixes")
+    usual = rows.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("usual"), F.count("*").alias("components")).where("components > 1")
+    named = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "place", "n")))
+    seekers = named("a").join(usual.select("shingle", "usual"), "shingle").where("component_a <> usual")
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    once = (F.col("component_b") == F.col("usual")) | (F.col("rep_a") < F.col("rep_b"))
+    bound = 100 * most >= threshold * (F.col("n_a") + F.col("n_b") - most)
+    other = named("b").withColumnRenamed("shingle", "of")
+    pairs = seekers.join(other, (F.col("shingle") == F.col("of")) & (F.col("component_a") != F.col("component_b")) & once & bound)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` may be among ``ids`` (rep): a sieve of 2**23 bits in 2**17 rows at most, whatever the input, drops
+    most others before their texts are shuffled. A full sieve drops none; the join that follows is exact."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+    sieve = ids.select(at("rep").alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits"))
+    held = rows.withColumn("h", at(key)).join(F.broadcast(sieve), F.floor(F.col("h") / 64) == F.col("word"))
+    return held.where(F.col("bits").bitwiseAND(bit(F.col("h"))) != 0).drop("h", "word", "bits")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * shared shingles >= ``threshold`` * all shingles of the two
-    (5-word shingles, ASCII lower case). Equal sets are one class. Representatives that share a band
-    are compared with the bucket's best connected member first; whatever is still apart is compared
-    with more and more members, until each bucket is one component or every pair across components
-    has been compared. No bucket emits all its pairs unless all its members stay apart.
+    (5-word shingles, ASCII lower case). Equal sets are one class, with its smallest doc_id as representative.
+    In each band bucket the representatives are compared with its best connected one, then those left over with the
+    best connected of them, STARS times. Documents of buckets that are still in several components are
+    then compared across components by an exact filter (``_across``). No bucket emits all its pairs.
 
     Needs columns doc_id and text; others are ignored. Text null or without words: no shingles, linked
     with nothing. doc_id null: component null, kept. Repeated rows: each is returned; texts with the same
@@ -149,44 +223,49 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     own = written(signatures(docs), "signatures")
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"))
-    reps = own.join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    classes = written(classes, "classes")  # so that the joins below can split a large class
+    reps = own.select("set_lo", "set_hi", "doc_id", "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi")
+    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(shared, "key"), "members")
-    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    active = written(members.join(degree, "rep").select("key", "rep", "degree"), "active")
-    signature = written(reps.join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "signature"), "reps")
-    text = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
-    found: DataFrame = None
-    k = 1
-    while not active.isEmpty():
-        hubs = written(_top(active, k).select("key", F.col("rep").alias("hub"), *(["component"] if found is not None else [])), "hubs")
-        pairs = active.join(hubs.withColumnRenamed("component", "other"), "key").where("rep <> hub")
-        if found is not None:
-            pairs = pairs.where("component <> other")
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        signed = pairs.join(signature.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a").join(signature.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
-        close = signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long").distinct()
+    degree = written(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degree")
+    whole = written(members.join(degree, "rep").select("key", "rep", "degree", F.col("rep").alias("component")), "active")
+    signature = written(_sifted(own.select("doc_id", "set_lo", "set_hi", "signature"), "doc_id", degree).join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi").join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "signature"), "reps")
+    text = written(_sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", degree).join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    def linked(close: DataFrame) -> DataFrame:
         texts = close.join(text.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        links = texts.select("a", "b", "text_a", "text_b").mapInArrow(_linked(threshold), "a long, b long")
-        if found is None:
-            found = written(connected_components(links), "components")
-        else:  # link the components found so far
-            of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
-            merged = connected_components(between)
-            known = found.unionByName(between.select(F.explode(F.array("a", "b")).alias("node"), F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-            found = written(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")).where("node <> component"), "components")
-        rest = active.select("key", "rep", "degree").join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        placed = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        active = written(placed.join(apart, "key", "left_semi").select("key", "rep", "degree", "component"), "active")
-        k *= 8
+        return texts.select("a", "b", "text_a", "text_b").mapInArrow(_linked(threshold), "a long, b long")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """``found`` after more links, which join the components found so far."""
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        between = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).where("a <> b").distinct(), "between")
+        if between.isEmpty():
+            return found
+        to = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        known = moved.unionByName(to.select(F.col("component").alias("node"), F.col("to").alias("component")))
+        return written(known.groupBy("node").agg(F.min("component").alias("component")), "components")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        of = found.select(F.col("node").alias("rep"), F.col("component").alias("now"))
+        return rows.join(of, "rep", "left").withColumn("component", F.coalesce("now", "rep")).drop("now")
+
+    active = whole
+    for _ in range(STARS):
+        hubs = written(active.groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep"))).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("other")), "hubs")
+        pairs = active.join(hubs, "key").where("component <> other").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        signed = pairs.join(signature.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a").join(signature.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
+        found = merged(linked(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")))
+        of_hub = placed(hubs.select("key", F.col("hub").alias("rep"))).select("key", F.col("component").alias("other"))
+        active = written(placed(active).join(of_hub, "key").where("component <> other").drop("other"), "active")
+    apart = placed(whole).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_ = written(placed(whole).join(apart, "key", "left_semi").select("rep", "component").distinct(), "open")
+    found = merged(linked(_across(text.join(open_, "rep").select("rep", "component", "text"), threshold)))
     out = own.select("doc_id", "n_shingles", "set_lo", "set_hi").join(classes, ["set_lo", "set_hi"], "left")
-    if found is not None:
-        out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    linked: Column = F.coalesce("component", "rep", "doc_id")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(linked)
+    out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    linked_to: Column = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(linked_to)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
