@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
         level = rest / weight
         full = F.col("source_size") * epochs <= F.col("weight") * level
         now = weighed.agg(F.coalesce(F.sum(F.when(full, F.col("source_size") * epochs)), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
-        if total - now[0] == rest:
+        if now[1] == weight:
             break
         rest, weight = total - now[0], now[1]
     target = F.least(F.col("source_size") * float(epochs), F.col("weight") * F.lit(float(level)))
@@ -99,8 +99,9 @@ cand AS (
   SELECT c.cap,
     ((SELECT sum(source_size) FROM lev) - coalesce((SELECT sum(3 * source_size) FROM lev l WHERE l.cap <= c.cap), 0))
       / nullif((SELECT sum(weight) FROM lev l WHERE l.cap > c.cap), 0) AS level
-  FROM (SELECT cap FROM lev UNION ALL SELECT -1) c),
-fit AS (SELECT min(level) AS level FROM cand WHERE level > cap),
+  , lead(c.cap) OVER (ORDER BY c.cap) AS next_cap
+  FROM (SELECT DISTINCT cap FROM lev UNION ALL SELECT -1) c),
+fit AS (SELECT max(level) AS level FROM cand WHERE level >= cap AND (next_cap IS NULL OR level < next_cap)),
 tgt AS (
   SELECT source, source_size, CAST(least(source_size * 3.0, weight * (SELECT level FROM fit)) AS DOUBLE) AS target FROM lev),
 ord AS (

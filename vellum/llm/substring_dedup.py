@@ -67,6 +67,8 @@ def _entries(ids: np.ndarray, h: np.ndarray, row: np.ndarray, buckets: int, widt
     """Rows for the buckets of the hashes: each hash of a slice once, with the smallest document there that
     has it (kind 0), so that a very common hash makes one entry a slice. Documents whose hash is shared
     within the slice already get their answer here (kind 1, dealt by document)."""
+    if not len(h):
+        return
     order = np.lexsort((ids[row], h))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
