@@ -14,55 +14,96 @@ from vellum.llm.common import written
 SHARDS = 24
 #: Hex digits of a group's key that make a bucket: the driver holds a size for each of these 4,096 buckets.
 DIGITS = 3
-#: Capacities tried at a time.
-TRIES = 256
+#: Pieces of the group order that the driver gets a size for at a time.
+PIECES = 1 << 14
 
 
 def _buckets() -> Column:
     return F.substring("gid", 1, DIGITS)
 
 
-def _cuts(groups: DataFrame, starts: list[tuple[str, int]], total: int, largest: int, shards: int) -> list[int]:
-    """Offsets where shards begin. The driver has only the bucket starts; each greedy step looks up, for all
-    capacities tried, the last group end up to the limit and the first past it, in the buckets where the limits lie.
+def _refined(groups: DataFrame, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """First group start, last group start and number of groups in equal slices of the windows: PIECES rows, or two a
+    window, at most."""
+    slices = max(2, PIECES // len(windows))
+    bounds = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(z).cast("long").alias("z")) for a, z in windows))
+    near = groups.where((F.col("begin") >= windows[0][0]) & (F.col("begin") < windows[-1][1])).select("begin", F.element_at(F.filter(bounds, lambda w: w["a"] <= F.col("begin")), -1).alias("w")).where("begin < w.z")
+    nth = F.floor((F.col("begin") - F.col("w.a")) / (F.col("w.z") - F.col("w.a")) * slices)
+    found = near.groupBy(F.col("w.a").alias("a"), nth.alias("nth")).agg(F.min("begin").alias("low"), F.max("begin").alias("high"), F.count("*").alias("n"))
+    return [(r["low"], r["high"], r["n"]) for r in found.collect()]
+
+
+def _cuts(groups: DataFrame, total: int, shards: int) -> list[int]:
+    """Offsets where shards begin: the greedy cuts of the smallest capacity that ``shards`` shards hold.
+
+    The driver knows some group starts, and which pieces between them are single groups. Greedy steps that cut at
+    known starts alone are possible for sure; steps that cut anywhere within unknown pieces are the most that can be
+    hoped for. Binary searches over both give bounds of the capacity, and thus of each cut; the unknown pieces
+    where limits can lie are sliced by one job a round, until there are none.
 
     A group above the capacity gets a shard of its own, so one huge group doesn't leave the other
     shards uneven; the largest shard is the smallest possible all the same.
     """
-    names, offsets = [b for b, _ in starts], [o for _, o in starts]
-    spark = groups.sparkSession
-
-    def ends(limits: dict[int, int]) -> dict[int, tuple[int, int]]:
-        asked = [{"c": c, "bucket": names[bisect_right(offsets, x) - 1], "x": x} for c, x in limits.items()]
-        table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(asked)), "array<struct<c:bigint,bucket:string,x:bigint>>")))
-        near = groups.where(F.col("bucket").isin(sorted({a["bucket"] for a in asked}))).join(F.broadcast(table), "bucket")
-        up, past = F.max(F.when(F.col("end") <= F.col("x"), F.col("end"))), F.min(F.when(F.col("end") > F.col("x"), F.col("end")))
-        found = {r["c"]: (r["up"], r["past"]) for r in near.groupBy("c").agg(up.alias("up"), past.alias("past")).collect()}
-        return {a["c"]: (found[a["c"]][0] or offsets[names.index(a["bucket"])], found[a["c"]][1]) for a in asked}
-
-    def greedy(capacities: list[int]) -> dict[int, list[int] | None]:
-        """For each capacity the shard starts, or None if the shards don't hold all."""
-        out: dict[int, list[int]] = {c: [0] for c in capacities}
-        going = set(capacities)
-        for _ in range(shards):
-            going = {c for c in going if out[c][-1] < total}
-            limits = {c: out[c][-1] + c for c in going if out[c][-1] + c < total}
-            found = ends(limits) if limits else {}
-            for c in going:
-                up, past = found.get(c, (total, total))
-                out[c].append(up if up > out[c][-1] else past)
-        return {c: (cuts[:-1] if cuts[-1] >= total else None) for c, cuts in out.items()}
-
-    low, high = 0, -(-total // shards) + largest  # infeasible, feasible
-    best = None
-    while best is None or high - low > 1:
-        tried = sorted({low + 1 + (high - low - 1) * i // (TRIES - 1) for i in range(TRIES)}) if high - low > 1 else [high]
-        found = greedy(tried)
-        good = [c for c in tried if found[c] is not None]
-        first = min(good)
-        best, high = found[first], first
-        low = max((c for c in tried if c < first), default=low)
-    return best
+    edges, single = [0, total], set()
+
+    def walk(capacity: int, hopeful: bool) -> list[int] | None:
+        """Shard starts and the end of the last shard; None where sure steps get stuck."""
+        cuts = [0]
+        while cuts[-1] < total and len(cuts) <= shards:
+            limit = cuts[-1] + capacity
+            if limit >= total:
+                cuts.append(total)
+                break
+            k = bisect_right(edges, limit) - 1
+            if edges[k] > cuts[-1]:
+                cuts.append(limit if hopeful and edges[k] not in single else edges[k])
+            elif hopeful or edges[k] in single:
+                cuts.append(edges[k + 1])
+            else:
+                return None
+        return cuts
+
+    def smallest(hopeful: bool) -> int:
+        low, high = 0, total  # held by less than all shards, or not; held by one
+        while high - low > 1:
+            middle = (low + high) // 2
+            cuts = walk(middle, hopeful)
+            low, high = (low, middle) if cuts and cuts[-1] >= total else (middle, high)
+        return high
+
+    moved = True
+    while True:
+        least, most = smallest(True), smallest(False)
+        sure, hoped = walk(least, False), walk(most, True)
+        unknown: set[int] = set()
+        windows = []
+        for i, far in enumerate(hoped):
+            from_ = sure[min(i, len(sure) - 1)] if sure else 0
+            if far >= total and from_ >= total:
+                break
+            a, z = (bisect_right(edges, min(x, total - 1)) - 1 for x in (from_ + least, far + most))
+            open_ = [k for k in range(a, z + 1) if edges[k] not in single]
+            unknown.update(open_)
+            if open_:
+                windows.append((edges[open_[0]], edges[open_[-1] + 1]))
+        if not unknown:
+            return walk(most, False)[:-1]
+        if moved:  # the stretch of each cut
+            merged: list[tuple[int, int]] = []
+            for a, z in sorted(windows):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = merged[-1][0], max(z, merged[-1][1])
+                else:
+                    merged.append((a, z))
+        else:  # such slices told nothing new: each piece by itself
+            merged = [(edges[k], edges[k + 1]) for k in sorted(unknown)]
+        before = len(edges) + len(single)
+        starts = set(edges)
+        for low, high, n in _refined(groups, merged):
+            starts |= {low, high}
+            single |= {high, low} if n <= 2 else {high}
+        edges = sorted(starts)
+        moved = len(edges) + len(single) > before
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,8 +141,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -
     before = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
     placed = units.withColumn("b0", before("bytes")).withColumn("r0", before("n")).join(F.broadcast(known), "bucket")
     placed = written(placed.select("gid", "sub", "bucket", (F.col("byte") + F.col("b0")).alias("begin"), (F.col("row") + F.col("r0")).alias("first"), "bytes"), "placed")
-    groups = written(placed.groupBy("bucket", "gid").agg(F.min("begin").alias("begin"), F.sum("bytes").alias("bytes"), F.min("first").alias("first")).select("bucket", "gid", "begin", (F.col("begin") + F.col("bytes")).alias("end"), "bytes", "first").repartitionByRange("bucket").sortWithinPartitions("bucket"), "groups")
-    cuts = _cuts(groups, [(b, o) for b, o, _ in starts], byte, groups.agg(F.max("bytes")).first()[0], shards)
+    groups = written(placed.groupBy("bucket", "gid").agg(F.min("begin").alias("begin"), F.sum("bytes").alias("bytes"), F.min("first").alias("first")).select("gid", "begin", "first").repartitionByRange("begin").sortWithinPartitions("begin"), "groups")
+    cuts = _cuts(groups, byte, shards)
     shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("begin"))) - 1
     of = groups.select("gid", shard.alias("shard"), "first")
     base = of.groupBy("shard").agg(F.min("first").alias("base"))  # one row a shard
