@@ -75,14 +75,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on (doc_id, text, label 0 or 1): ``rows`` rows of each label at most, by hashed id. Half of them
-    build the dictionaries, the other half calibrates. Without labelled rows of both kinds the score is constant.
+def fit(docs: DataFrame, marked: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on docs (doc_id, text) and marked (doc_id, label 0 or 1): ``rows`` ids of each label at most, by hashed id.
+    Half of the rows build the dictionaries, the other half calibrates. Without labelled rows of both kinds the score is
+    constant. Ids alone meet the labels; texts are then fetched for the chosen ids, and never shuffled before.
     """
-    known = labelled.where("label in (0, 1) and text is not null").select("doc_id", "label", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    ids = docs.where("text is not null").select("doc_id").join(marked.where("label in (0, 1)"), "doc_id").distinct()
+    known = ids.select("doc_id", "label", F.md5(F.col("doc_id").cast("string")).alias("h"))
     chosen = known.where("label = 0").orderBy("h", "doc_id").limit(rows).unionByName(known.where("label = 1").orderBy("h", "doc_id").limit(rows))
-    found = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "h", "text").collect()  # bounded by ``rows``
-    found = sorted({(r["h"], r["label"], r["text"]) for r in found})
+    found = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "h", "text").distinct().collect()  # bounded by ``rows``
+    found = sorted((r["h"], r["label"], r["text"]) for r in found)
     dictionary = [[t.encode() for i, (_, label, t) in enumerate(found) if label == k and i % 2] for k in (0, 1)]
     if not all(dictionary):
         return Model(b"", b"", (0.0, 0.0, 0.0, 0.0, 0.0))
@@ -125,7 +127,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(held_out(F.col("doc_id"), 5) != 0)
-    model = fit(base.join(marked, "doc_id"), rows)
+    model = fit(base, marked, rows)
     scored = base.mapInArrow(scorer(model), "doc_id long, score double")
     return scored.select("doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -135,7 +137,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     ``quality_scores``; the rows pass the scorer whole, so nothing is joined back."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(held_out(F.col("doc_id"), 5) != 0)
-    score = scorer(fit(base.join(marked, "doc_id"), rows))
+    score = scorer(fit(base, marked, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
