@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: The word separators of every contract: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
+SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 8 << 20
 
@@ -45,8 +46,7 @@ def partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """Array of the words of a text, natively; null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

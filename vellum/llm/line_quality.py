@@ -3,10 +3,10 @@ host, lines above the limits removed, and depleted documents rejected."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACES, words
+from vellum.llm.common import words, written
 
 #: A line is boilerplate on a host if more documents than this have it, and more than this share of the host's.
 LINE_DOCS, LINE_SHARE = 10, 0.02
@@ -19,13 +19,13 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     are sorted only where two are equal; the covered words are the gaps between such windows, 5 at most each. Each step is a column of its own, used more than once, so that
     it is computed once per row."""
     df = df.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = F.transform(F.sequence(F.lit(1), F.size("hashed") - 4), lambda i: F.xxhash64(F.slice("hashed", i, 5)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("hashed") - 5), lambda i: F.xxhash64(*(F.get("hashed", i + j) for j in range(5))))
     df = df.withColumn("windows", F.when(F.size("hashed") > 5, windows))
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
-    df = df.withColumn("ranked", F.when(twice, F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    df = df.withColumn("ranked", F.when(twice, F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
     near = lambda k: F.try_element_at("ranked", k)["w"]
     again = lambda x, k: (x["w"] == near(k + 2)) | ((k > 0) & (x["w"] == near(F.greatest(k, F.lit(1)))))
-    df = df.withColumn("places", F.when(F.col("ranked").isNotNull(), F.array_sort(F.transform(F.filter("ranked", again), lambda x: x["i"]))))
+    df = df.withColumn("places", F.when(F.col("ranked").isNotNull(), F.sort_array(F.transform(F.filter("ranked", again), lambda x: x["i"]))))
     step = lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 5).otherwise(F.least(F.lit(5), p - acc["last"]))).alias("sum"))
     covered = F.aggregate("places", F.struct(F.lit(-1).alias("last"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"])
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
@@ -49,31 +49,31 @@ def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_D
     fewer than ``left_words`` words or less than ``left_share`` of the words remain.
 
     Needs columns doc_id, text and ``host``; others are ignored. Text null or empty: no words, base_failed. Null
-    hosts are one host. doc_id null: judged; rows with equal doc_id and equal text count their own lines once each.
-    Repeated rows: each is returned, and counts as a document. Empty table: no rows.
+    hosts are one host. doc_id null: judged. Repeated rows: each is returned, and counts as a document. Empty table: no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bare = lambda c: F.translate(c, SPACES.replace("\n", ""), "")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"), F.xxhash64(text).alias("same"))
-    split = F.filter(F.split("text", "\n"), lambda x: F.length(bare(x)) > 0)
-    hashed = lambda x: F.struct(F.xxhash64(F.lower(bare(x))).alias("a"), F.hash(F.lower(bare(x))).alias("b"))
-    lines = base.select("doc_id", "host", "same", split.alias("lines"))
-    common = line_frequency(lines.select("host", F.array_distinct(F.transform("lines", hashed)).alias("hashes")), line_docs, line_share)
-    counted = lines.select("doc_id", "host", "same", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "same", "at", hashed(F.col("x")).alias("line"), F.size(words(F.col("x"))).alias("n"))
-    hit = counted.join(common.select(F.col("host").alias("on_host"), F.col("line").alias("on_line")), F.col("host").eqNullSafe(F.col("on_host")) & (F.col("line") == F.col("on_line")))
-    removed = hit.groupBy("doc_id", "host", "same", "at").agg(F.max("n").alias("n")).groupBy("doc_id", "host", "same").agg(F.sum("n").alias("n_common_words"))
-    own = base.select("doc_id", "host", "same", "text", words(F.col("text")).alias("words"), split.alias("lines"))
-    # `words` stands in this twice, so it is not folded into the lambdas above.
-    own = _with_repeats(own)
-    stats = own.select(
-        "doc_id", "host", "same", F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    # The words are split once, line by line; no word goes over the end of a line.
+    own = own.withColumn("line_words", F.transform("lines", words))
+    own = _with_repeats(own.withColumn("words", F.flatten("line_words")))
+    bare = F.transform("line_words", lambda x: F.struct(F.lower(F.array_join(x, "")).alias("k"), F.size(x).alias("n")))
+    # Without the texts this is small, and the row's number holds from here on.
+    rows = written(
+        own.select(
+            "row", "doc_id", "host", F.size("words").cast("long").alias("n_words"),
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+            (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            "n_repeat_words", F.transform(bare, lambda x: F.struct(F.xxhash64(x["k"]).alias("a"), F.hash(x["k"]).alias("b"), x["n"].alias("n"))).alias("lines"),
+        ), "lines",
     )
-    of = removed.select(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("same").alias("s"), "n_common_words")
-    out = stats.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h")) & (F.col("same") == F.col("s")), "left")
+    key = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
+    common = line_frequency(rows.select("host", F.array_distinct(F.transform("lines", key)).alias("hashes")), line_docs, line_share)
+    single = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", key(F.col("x")).alias("line"), F.col("x.n").alias("n"))
+    hit = single.join(common.select(F.col("host").alias("on_host"), F.col("line").alias("on_line")), F.col("host").eqNullSafe(F.col("on_host")) & (F.col("line") == F.col("on_line")))
+    removed = hit.groupBy("row").agg(F.sum("n").alias("n_common_words"))
+    out = rows.drop("lines", "host").join(removed, "row", "left")
     gone = F.coalesce("n_common_words", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - gone
