@@ -259,3 +259,35 @@ def test_pipeline_stages(spark):
     assert first.columns == docs.columns
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+
+
+def components(ids, linked):
+    """Smallest id reachable, by brute force over all pairs."""
+    up = {i: i for i in ids}
+    moved = True
+    while moved:
+        moved = False
+        for i in ids:
+            for j in ids:
+                if up[j] < up[i] and linked(i, j):
+                    up[i], moved = up[j], True
+    return up
+
+
+def test_near_dedup_stage_links_at_80_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(3, 19):  # 117 shingles, of which a pair shares 117 - k: 0.8 at k = 13
+        base = text(121)
+        rows += [(10 * k, " ".join(base), "a"), (10 * k + 1, " ".join([*base[: 121 - k], *text(k)]).upper(), "b")]
+    sets = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) for i, t, _ in rows}
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert sum(0.8 <= share(i, i + 1) < 0.85 for i in sets if i + 1 in sets) == 4
+    up = components(list(sets), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    docs = fixture(spark, rows)
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(up.values()))
+    assert near_duplicates(docs).where("kept").count() == len(set(up.values())) + 4  # op7 stays at 85
