@@ -291,3 +291,17 @@ def test_near_dedup_stage_links_at_80_percent(spark):
     got = corpus_pipeline.near_dedup(spark, docs, SF)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(up.values()))
     assert near_duplicates(docs).where("kept").count() == len(set(up.values())) + 4  # op7 stays at 85
+
+
+def test_secret_verdicts_count_repositories(spark):
+    value = [f"ghp_Ab3dEf6hIj9lMn2pQr5t{k}" for k in "uvwx"]
+    rows = [(i, f"see {value[0]} and {value[0]}", "hot") for i in range(10)]  # ten repositories of one owner
+    rows += [(20 + i, f"see {value[1]}", "hot") for i in range(9)] + [(20, f"see {value[1]}", "hot")] * 3  # nine, one of them repeated
+    rows += [(40 + i, f"see {value[2]}", "ab"[i]) for i in range(2)] + [(50 + i, f"see {value[3]}", "ab"[i % 2]) for i in range(10)]
+    rows += [(70, None, "a"), (71, "token = aaaaaaaaaaaaaaaa", "a")]  # no value; one that doesn't look live
+    got = secret_spans(fixture(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = lambda i: (2, 0, 0, 0, 10) if i < 10 else (0, 1, 0, 1, 9) if i < 40 else (0, 0, 1, 0, 2) if i < 50 else (1, 0, 0, 0, 10) if i < 70 else (0, 0, 0, 0, i - 70)
+    assert all((r.n_copied, r.n_live, r.n_shared, r.n_owned, r.max_repositories) == want(r.doc_id) and (r.spans == "owned:4:29") == (20 <= r.doc_id < 40) for r in got)
+    few = secret_spans(fixture(spark, rows), copied_repositories=11).where("doc_id < 10").collect()
+    assert {(r.n_copied, r.n_live, r.max_repositories) for r in few} == {(0, 2, 10)}

@@ -17,6 +17,8 @@ OWNED = r"()((?:gh[opsu]_|sk_live_|xox[abp]-|glpat-|AIza|eyJ)[A-Za-z0-9_.-]{16,}
 KINDS = ("assign", "access", "hex", "owned")
 #: A value with this many owners is a widely copied example.
 COPIED_OWNERS = 3
+#: So is one in this many repositories, however few owners they have. A choice, not fitted to a table.
+COPIED_REPOSITORIES = 10
 #: Least share of different characters, by the length up to 20, of a value that looks live.
 LIVE_VARIETY = 0.4
 
@@ -50,13 +52,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_owned, n_copied, n_live.
+def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_live,
+    n_shared and max_repositories.
 
     Base spans are whole matches in code points, ends exclusive, ordered by start and kind; ``spans`` adds
-    further candidates (kind ``owned``) that overlap no base span, if their value has a single owner in the corpus and
-    looks live. n_copied counts the document's spans whose value ``copied_owners`` owners or more have; n_live those
-    of one owner that look live. Values are counted by hash, by distinct repository and owner.
+    further candidates (kind ``owned``) that overlap no base span, if their value has a single owner in the corpus, isn't
+    copied and looks live. n_copied counts the document's spans whose value stands with ``copied_owners`` owners or more, or in
+    ``copied_repositories`` repositories or more; n_shared those of several owners that aren't copied; n_live those of one
+    owner that aren't copied and look live. The rest has one owner and doesn't look live. max_repositories is the largest
+    number of repositories of a value of the document, 0 without one. Values are counted by hash, by distinct repository and owner;
+    a repository name under two owners is two repositories.
 
     Needs columns doc_id, text, ``owner`` and ``repository``; others are ignored. Text null or empty: no spans. Null
     owners count as one owner, null repositories as one repository. doc_id null: scanned like others. Repeated
@@ -86,16 +92,19 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     places = single.groupBy("s.key", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("key", "owner").agg(F.count("*").alias("repositories"))
     counts = places.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = single.select("row", "s", F.col("s.key").alias("key")).join(counts, "key")
-    own = (F.col("owners") == 1) & F.col("s.live")
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    own = (F.col("owners") == 1) & ~copied & F.col("s.live")
     taken = (F.col("s.rank") < 3) | own
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"))
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(taken, span)).alias("kept"),
         F.count_if(own & (F.col("s.rank") == 3)).alias("n_owned"),
-        F.count_if(F.col("owners") >= copied_owners).alias("n_copied"),
+        F.count_if(copied).alias("n_copied"),
         F.count_if(own).alias("n_live"),
+        F.count_if(~copied & (F.col("owners") > 1)).alias("n_shared"),
+        F.max("repositories").alias("max_repositories"),
     )
     out = rows.drop("all", "owner", "repository").join(per_row, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     spans = F.coalesce(_joined(F.col("kept")), F.lit(""))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), zero("n_owned"), zero("n_copied"), zero("n_live"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), zero("n_owned"), zero("n_copied"), zero("n_live"), zero("n_shared"), zero("max_repositories"))
