@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, near-dedup, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``. Each row is judged by itself, repeated ones and those
+without a doc_id too, save in near-dedup; null texts and empty tables pass through without a failure.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shared_dir, table
+from vellum.llm.common import shared_dir, table, written
 from vellum.llm.compression_quality import good_documents
 from vellum.llm.decontamination import clean_documents
 from vellum.llm.mixing import mixed
@@ -35,9 +36,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: links of NEAR % of the five-word shingles."""
-    kept = near_duplicates(docs, threshold=NEAR).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The first document of each group of near duplicates: links of NEAR % of the five-word shingles.
+
+    One row of each doc_id stays, any one where rows with the same doc_id differ. Rows without a doc_id are compared with
+    nothing and all stay.
+    """
+    near = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null")
+    kept = written(near.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
+    repeated = written(kept.where("n > 1"), "repeated")  # ids alone, most often none, so that no other text is shuffled
+    among = lambda ids: docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return among(kept.where("n = 1")).unionByName(among(repeated).dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

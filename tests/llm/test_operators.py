@@ -305,3 +305,40 @@ def test_secret_verdicts_count_repositories(spark):
     assert all((r.n_copied, r.n_live, r.n_shared, r.n_owned, r.max_repositories) == want(r.doc_id) and (r.spans == "owned:4:29") == (20 <= r.doc_id < 40) for r in got)
     few = secret_spans(fixture(spark, rows), copied_repositories=11).where("doc_id < 10").collect()
     assert {(r.n_copied, r.n_live, r.max_repositories) for r in few} == {(0, 2, 10)}
+
+
+def test_stages_on_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    item, base, own = text(30), text(80), text(60)
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "a"), (2, base + " tail", "b"), (3, own, None), (4, None, "a"), (4, None, "a"), (5, "", None), (6, "x " + item, "a"), (6, "x " + item, "a"), (None, base, "a"), (None, base, "a"), (None, item, "b"), (None, None, None)]
+    good, bad = [f"the house of a friend {text(20)}" for _ in range(20)], ["buy now $$$ " * 20 + text(3) for _ in range(20)]
+    rows += [(100 + i, t, "c") for i, t in enumerate(good + bad)]
+    spark.createDataFrame([(100 + i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, odd = fixture(spark, rows), Counter((i, t, s) for i, t, s in rows)
+    of = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+
+    words5 = {i: set(zip(*((t or "").split()[k:] for k in range(5)))) for i, t, _ in rows if i is not None}
+    up = components(list(words5), lambda i, j: bool(words5[i]) and 10 * len(words5[i] & words5[j]) >= 8 * len(words5[i] | words5[j]))
+    first = {k: 1 if k[0] is not None else n for k, n in odd.items() if k[0] is None or up[k[0]] == k[0]}
+    assert of(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == first
+
+    assert of(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == Counter({k: n for k, n in odd.items() if item not in (k[1] or "")})
+
+    scored = quality_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1")
+    assert Counter(i for i, *_ in of(corpus_pipeline.quality(spark, docs, str(tmp_path))).elements()) == Counter(r.doc_id for r in scored.collect())
+
+    copies = Counter()
+    for r in mixed(docs).collect():
+        copies[r.doc_id] += r.copies
+    assert Counter(i for i, *_ in of(corpus_pipeline.mix(spark, docs, str(tmp_path))).elements()) == +copies
+
+    placed = corpus_pipeline.shard(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in placed) == Counter(i for i, _, _ in rows) and len({(r.shard, r.slot) for r in placed}) == len(rows)
+    assert all(len({r.shard for r in placed if r.doc_id == i}) == 1 for i in (1, 4, 6))
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, fixture(spark, []), str(tmp_path)).count() == 0
