@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share: spark.checkpoint.dir. A local one serves only where driver and executors are one
+    process; a cluster without the setting is refused, as each machine would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or "/tmp/checkpoints"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -40,6 +45,41 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1/SPREAD of a table's rows is hot: fewer than SPREAD keys can be.
+SPREAD = 256
+#: Below this many rows no key is hot.
+SPREAD_LEAST = 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows_of: str | None = None, share: int = SPREAD, least: int = SPREAD_LEAST) -> DataFrame:
+    """Join on ``key``, of which ``right`` has each value once; no task gets all rows of a hot key.
+
+    Rows of ``left`` with a key of more than 1/``share`` of its rows are dealt over salts, and the key's one row of ``right`` goes
+    to each of them. Fewer than ``share`` keys are that frequent, whatever the input: so many rows the driver gets. Both tables
+    are read more than once: they should be written ones, or cheap. ``rows_of`` names a column of ``right`` with the rows of ``left``
+    that have the key, where that is known. Null keys match nothing.
+    """
+    total = right.agg(F.coalesce(F.sum(rows_of), F.lit(0))).first()[0] if rows_of else left.count()
+    if total <= least:
+        return left.join(right, key, how)
+    unit = max(least, total // share)
+    if rows_of:
+        counts = right.select(F.col(key).alias("hot_key"), F.col(rows_of).alias("rows_of"))
+    else:
+        counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("rows_of"))
+    hot = counts.where(F.col("rows_of") > unit).select("hot_key", F.ceil(F.col("rows_of") / unit).cast("int").alias("salts"))
+    found = hot.collect()  # fewer than ``share`` rows
+    if not found:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    on = F.col(key) == F.col("hot_key")
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = left.join(hot, on, "left").withColumn("salt", salt).drop("hot_key", "salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
+    copied = right.join(hot, on, "left").withColumn("salt", copies).drop("hot_key", "salts")
+    return dealt.join(copied, [key, "salt"], how).drop("salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -93,14 +133,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values (runs across texts included: the caller masks them)."""
+def window_hashes(h: np.ndarray, width: int, factor: np.uint64 = _M1) -> np.ndarray:
+    """Hash of each run of ``width`` consecutive values (runs across texts included: the caller masks them). Another odd
+    ``factor`` gives another hash."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     acc = h[:n].copy()
     for j in range(1, width):
-        acc *= _M1
+        acc *= factor
         acc += h[j : j + n]
     return mixed(acc)
 

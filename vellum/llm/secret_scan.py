@@ -6,20 +6,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import spread_join, written
 
 # What the kinds match. Group 1 is what stands before the value, group 2 the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"()(AKIA[A-Z0-9]{14,})"
 HEX = r"()([0-9a-f]{16,})"
-#: Further candidates, which count only if one owner alone has them: tokens of a vendor's prefix, or long mixed ones.
-OWNED = r"()((?:gh[opsu]_|sk_live_|xox[abp]-|glpat-|AIza|eyJ)[A-Za-z0-9_.-]{16,}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/_=-]{24,})"
+#: Further candidates, which count only if one owner alone has them: tokens of a vendor's prefix, or long ones, which must then
+#: mix digits, capitals and small letters (``mixed_value``). No part looks beyond its own run of characters.
+PREFIX = r"(?:gh[opsu]_|sk_live_|xox[abp]-|glpat-|AIza|eyJ)[A-Za-z0-9_.-]{16,}"
+OWNED = rf"()({PREFIX}|[A-Za-z0-9+/_=-]{{24,}})"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value with this many owners is a widely copied example.
 COPIED_OWNERS = 3
 #: So is one in this many repositories, however few owners they have. A choice, not fitted to a table.
 COPIED_REPOSITORIES = 10
-#: Least share of different characters, by the length up to 20, of a value that looks live.
+#: Least share of different characters, by the length or the alphabet (16 for hex, else 62), whichever is less, of a value that
+#: looks live.
 LIVE_VARIETY = 0.4
 
 
@@ -47,6 +50,18 @@ def _matches(pieces: str, kind: int, least: int) -> Column:
     return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, add, lambda acc: acc["found"])).otherwise(none)
 
 
+def mixed_value(value: Column) -> Column:
+    """Whether a value of kind ``owned`` has a vendor's prefix, or digits, capitals and small letters."""
+    return value.rlike(f"^{PREFIX}$") | (value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]"))
+
+
+def live(value: Column) -> Column:
+    """Whether the whole value is varied enough, and names itself no example."""
+    alphabet = F.when(value.rlike("^[0-9A-Fa-f]+$"), 16).otherwise(62)
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= LIVE_VARIETY * F.least(F.length(value), alphabet)
+    return varied & ~F.lower(value).rlike("example|sample|changeme|placeholder|xxxx|your")
+
+
 def _joined(spans: Column) -> Column:
     name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
@@ -67,7 +82,7 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     Needs columns doc_id, text, ``owner`` and ``repository``; others are ignored. Text null or empty: no spans. Null
     owners count as one owner, null repositories as one repository. doc_id null: scanned like others. Repeated
     rows: each is returned, and they count once. Empty table: no rows. Every value's counts are pre-aggregated,
-    so no value gathers its documents in one place.
+    and a value of many documents is joined back in parts (``spread_join``), so no value gathers its documents in one place.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(
@@ -78,20 +93,16 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
         F.monotonically_increasing_id().alias("row"),
     ).select("doc_id", "owner", "repository", "row", *(_matches(f"p{k}", k, least).alias(c) for k, (c, least) in enumerate({"assign": 12, "access": 1, "hex": 1, "more": 1}.items())))
     base = F.concat("assign", "access", "hex")
-    free = lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
+    free = lambda m: mixed_value(m["value"]) & ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
     found = found.withColumn("base", base).withColumn("more", F.filter("more", free))
     keyed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("key"), live(s["value"]).alias("live")))
 
-    def live(value: Column) -> Column:
-        cut = F.substring(value, 1, 20)
-        return (F.size(F.array_distinct(F.split(cut, ""))) >= LIVE_VARIETY * F.length(cut)) & ~F.lower(value).rlike("example|sample|changeme|placeholder|xxxx|your")
-
     # Without the texts this is small, and the row's number holds from here on.
     rows = written(found.select("row", "doc_id", "owner", "repository", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), keyed(F.concat("base", "more")).alias("all")), "secrets")
     single = rows.select("row", "owner", "repository", F.explode("all").alias("s")).select("row", "owner", "repository", "s")
     places = single.groupBy("s.key", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("key", "owner").agg(F.count("*").alias("repositories"))
     counts = places.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = single.select("row", "s", F.col("s.key").alias("key")).join(counts, "key")
+    judged = spread_join(single.select("row", "s", F.col("s.key").alias("key")), written(counts, "counts"), "key")
     copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
     own = (F.col("owners") == 1) & ~copied & F.col("s.live")
     taken = (F.col("s.rank") < 3) | own
