@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import words, written
 
-#: A line is boilerplate on a host if more documents than this have it, and more than this share of the host's.
-LINE_DOCS, LINE_SHARE = 10, 0.02
+#: A line is boilerplate on a host if more documents than this have it, and more than this share of the host's; on a host so
+#: large that the share is above LINE_MOST documents, that many are enough.
+LINE_DOCS, LINE_SHARE, LINE_MOST = 10, 0.02, 200
 #: A document is depleted if less than this share of its words, or fewer words than this, remain.
 LEFT_SHARE, LEFT_WORDS = 0.5, 10
 
@@ -31,25 +32,27 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def line_frequency(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(doc_id, host, hashes: distinct line hashes) to the (host, line) above the limits. Counts are summed before
-    the shuffle; a line or host of a third of all rows is a row for each task."""
-    size = lines.groupBy("host").agg(F.count("*").alias("docs"))
-    found = lines.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+def line_frequency(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST) -> DataFrame:
+    """(doc, host, hashes: line hashes) to the (host, line) above the limits, by distinct documents. Distinct documents are
+    told apart by (host, line, doc), so a line or host of a third of all rows is spread; the counts are summed before the shuffle."""
+    size = lines.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
+    found = lines.select("doc", "host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
     common = found.where(F.col("n") > line_docs)
-    return common.join(size, common["host"].eqNullSafe(size["host"])).where(F.col("n") > line_share * F.col("docs")).select(common["host"], "line")
+    limit = F.least(line_share * F.col("docs"), F.lit(line_most))
+    return common.join(size, common["host"].eqNullSafe(size["host"])).where(F.col("n") > limit).select(common["host"], "line")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE, left_words: int = LEFT_WORDS) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST, left_share: float = LEFT_SHARE, left_words: int = LEFT_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     and n_common_words (words in removed lines).
 
     A line is compared without white space and in lower case. It is removed where it stands in more than ``line_docs``
-    documents and more than ``line_share`` of the documents of its host. kept is false if base_failed, or if
+    documents and more than ``line_share`` of the documents of its host, or ``line_most`` where that is less. kept is false if base_failed, or if
     fewer than ``left_words`` words or less than ``left_share`` of the words remain.
 
     Needs columns doc_id, text and ``host``; others are ignored. Text null or empty: no words, base_failed. Null
-    hosts are one host. doc_id null: judged. Repeated rows: each is returned, and counts as a document. Empty table: no rows.
+    hosts are one host. doc_id null: judged, and each such row counts as a document. Repeated rows: each is returned, and rows
+    with one doc_id count as one document. Empty table: no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -69,7 +72,8 @@ def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_D
         ), "lines",
     )
     key = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
-    common = line_frequency(rows.select("host", F.array_distinct(F.transform("lines", key)).alias("hashes")), line_docs, line_share)
+    doc = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row")).alias("doc")
+    common = line_frequency(rows.select(doc, "host", F.array_distinct(F.transform("lines", key)).alias("hashes")), line_docs, line_share, line_most)
     single = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", key(F.col("x")).alias("line"), F.col("x.n").alias("n"))
     hit = single.join(common.select(F.col("host").alias("on_host"), F.col("line").alias("on_line")), F.col("host").eqNullSafe(F.col("on_host")) & (F.col("line") == F.col("on_line")))
     removed = hit.groupBy("row").agg(F.sum("n").alias("n_common_words"))

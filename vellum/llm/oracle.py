@@ -21,34 +21,34 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 
 QUALITY_RULES = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("text")} AS w,
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, {_WORDS.format("text")} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0) AS l
   FROM documents),
 win AS (
-  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+  SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
 rep AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (
-    SELECT win.doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.g = twice.g)
-  GROUP BY doc_id),
+  SELECT r, count(DISTINCT p) AS n FROM (
+    SELECT win.r, unnest(range(i, i + 5)) AS p FROM win JOIN twice ON win.r = twice.r AND win.g = twice.g)
+  GROUP BY r),
 line AS (
-  SELECT doc_id, source, lower(translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) AS k, len({_WORDS.format("x")}) AS n
-  FROM (SELECT doc_id, source, unnest(l) AS x FROM d)),
-host AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+  SELECT r, coalesce('d' || doc_id, 'r' || r) AS doc, source, lower(translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) AS k, len({_WORDS.format("x")}) AS n
+  FROM (SELECT r, doc_id, source, unnest(l) AS x FROM d)),
+host AS (SELECT source, count(DISTINCT coalesce('d' || doc_id, 'r' || r)) AS docs FROM d GROUP BY source),
 common AS (
-  SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM line GROUP BY source, k) c
-  JOIN host ON c.source IS NOT DISTINCT FROM host.source WHERE c.n > 10 AND c.n > 0.02 * host.docs),
+  SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc) AS n FROM line GROUP BY source, k) c
+  JOIN host ON c.source IS NOT DISTINCT FROM host.source WHERE c.n > 10 AND c.n > least(0.02 * host.docs, 200)),
 gone AS (
-  SELECT line.doc_id, sum(n) AS n FROM line JOIN common ON line.source IS NOT DISTINCT FROM common.source AND line.k = common.k
-  GROUP BY line.doc_id),
+  SELECT line.r, sum(n) AS n FROM line JOIN common ON line.source IS NOT DISTINCT FROM common.source AND line.k = common.k
+  GROUP BY line.r),
 s AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_common_words
-  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
+  FROM d LEFT JOIN rep ON d.r = rep.r LEFT JOIN gone ON d.r = gone.r)
 SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
     AND n_words - n_common_words >= 10 AND n_words - n_common_words >= 0.5 * n_words AS kept
