@@ -1,5 +1,6 @@
 """Compression classifier: zstandard dictionaries built from good and bad labelled text; the normalised
-difference of the compressed sizes becomes a calibrated score."""
+difference of the compressed sizes becomes a calibrated score. The calibration weighs the difference by the length of the text,
+and also looks at how well the good dictionary compresses the text at all."""
 
 from __future__ import annotations
 
@@ -19,16 +20,24 @@ CHUNK = 2048
 DICTIONARY_BYTES = 64 << 10
 #: The bound of the fit: labelled rows of each class, by the order of their hashed ids.
 FIT_ROWS = 3000
+#: Bytes at which a text weighs half as much as a long one.
+SHORT = 200
 LEVEL = 3
 
 
 @dataclass(frozen=True)
-class Model:
+class Half:
+    """Dictionaries of one half of the labelled rows, and weights fitted on the other."""
+
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
 
 
+#: The score's logit is the mean of its halves'.
+Model = tuple[Half, ...]
+
+
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressor:
     known = zstandard.ZstdCompressionDict(raw) if raw else None
     if known is not None:
@@ -46,21 +55,21 @@ def _trained(texts: list[bytes]) -> bytes:
 
 
 def features(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Of the whole text: size with the good less with the bad dictionary, both by bytes; the good one's rate;
-    and how far the text is from empty."""
+    """Of the whole text: size with the good less with the bad dictionary, by the sum of both; the good one's rate; and how far the
+    text is from empty. A frame's fixed bytes don't count, so that a tiny text is as neutral as an empty one."""
     raw = (text or "").encode()
-    if not raw:
-        return 0.0, 0.0, 0.0
+    fixed = len(good.compress(b"")), len(bad.compress(b""))
     g = b = 0
     for i in range(0, len(raw), CHUNK):
         piece = raw[i : i + CHUNK]
-        g += len(good.compress(piece))
-        b += len(bad.compress(piece))
-    return (g - b) / len(raw), g / len(raw), 1.0 / (1.0 + len(raw) / 200.0)
+        g += max(0, len(good.compress(piece)) - fixed[0])
+        b += max(0, len(bad.compress(piece)) - fixed[1])
+    return (g - b) / max(g + b, 1), min(1.0, g / max(len(raw), 1)), len(raw) / (len(raw) + SHORT)
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), 20 * x[:, 0], x[:, 1], x[:, 2], 20 * x[:, 0] * x[:, 2]])
+    difference, rate, weight = 20 * x[:, 0], x[:, 1], x[:, 2]
+    return np.column_stack([np.ones(len(x)), difference, difference * weight, weight, rate * weight])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -77,23 +86,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, marked: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on docs (doc_id, text) and marked (doc_id, label 0 or 1): ``rows`` ids of each label at most, by hashed id.
-    Half of the rows build the dictionaries, the other half calibrates. Without labelled rows of both kinds the score is
-    constant. Ids alone meet the labels; texts are then fetched for the chosen ids, and never shuffled before.
+    Each half of the rows builds dictionaries, which the other half calibrates. Without labelled rows of both kinds in a half the
+    score is constant. Ids alone meet the labels; texts are then fetched for the chosen ids, and never shuffled before.
     """
     ids = docs.where("text is not null").select("doc_id").join(marked.where("label in (0, 1)"), "doc_id").distinct()
     known = ids.select("doc_id", "label", F.md5(F.col("doc_id").cast("string")).alias("h"))
     chosen = known.where("label = 0").orderBy("h", "doc_id").limit(rows).unionByName(known.where("label = 1").orderBy("h", "doc_id").limit(rows))
     found = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "h", "text").distinct().collect()  # bounded by ``rows``
     found = sorted((r["h"], r["label"], r["text"]) for r in found)
-    dictionary = [[t.encode() for i, (_, label, t) in enumerate(found) if label == k and i % 2] for k in (0, 1)]
-    if not all(dictionary):
-        return Model(b"", b"", (0.0, 0.0, 0.0, 0.0, 0.0))
-    bad, good = map(_trained, dictionary)
-    tools = _dictionary(good), _dictionary(bad)
-    rest = [(label, t) for i, (_, label, t) in enumerate(found) if i % 2 == 0]
-    x = np.array([features(t, *tools) for _, t in rest])
-    y = np.array([float(label) for label, _ in rest])
-    return Model(good, bad, tuple(_logistic(_design(x), y)))
+    halves = [[(label, t) for _, label, t in found][k::2] for k in (0, 1)]
+    model = []
+    for own, rest in (halves, halves[::-1]):
+        dictionary = [[t.encode() for label, t in own if label == k] for k in (0, 1)]
+        if not all(dictionary) or not rest:
+            return (Half(b"", b"", (0.0, 0.0, 0.0, 0.0, 0.0)),)
+        bad, good = map(_trained, dictionary)
+        tools = _dictionary(good), _dictionary(bad)
+        x = np.array([features(t, *tools) for _, t in rest])
+        model.append(Half(good, bad, tuple(_logistic(_design(x), np.array([float(label) for label, _ in rest])))))
+    return tuple(model)
 
 
 def scorer(model: Model) -> Callable:
@@ -101,11 +112,11 @@ def scorer(model: Model) -> Callable:
     raw = base64.b64encode(pickle.dumps(model)).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = pickle.loads(base64.b64decode(raw))
-        tools, w = (_dictionary(m.good), _dictionary(m.bad)), np.array(m.weights)
+        halves = [(_dictionary(h.good), _dictionary(h.bad), np.array(h.weights)) for h in pickle.loads(base64.b64decode(raw))]
         for batch in batches:
-            x = np.array([features(t, *tools) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            score = 1 / (1 + np.exp(-np.clip(_design(x) @ w, -30, 30)))
+            texts = batch.column("text").to_pylist()
+            logits = [_design(np.array([features(t, good, bad) for t in texts]).reshape(-1, 3)) @ w for good, bad, w in halves]
+            score = 1 / (1 + np.exp(-np.clip(np.mean(logits, axis=0), -30, 30)))
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(score)], [*keep, "score"])
 
@@ -120,8 +131,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from labels (doc_id, quality) outside fold 0 of 5 by crc32 of the id; scores every whole text by
-    its compression alone. Needs columns doc_id and text of ``docs``; others are ignored. Text null or empty: a score
-    from the fitted constant. doc_id null: scored, held_out null. Repeated rows: each is returned. Labels that
+    its compression alone: a logistic curve over the normalised difference of the two compressed sizes, the rate of the good
+    dictionary, and the length, by which both are weighed. Needs columns doc_id and text of ``docs``; others are ignored. Text null or empty: a score
+    from the fitted constant, which tiny texts are near to. doc_id null: scored, held_out null. Repeated rows: each is returned. Labels that
     are null or not 0 or 1, or that contradict each other, only add noise to the fit. Empty tables: no rows, or
     a score of 0.5.
     """
