@@ -63,19 +63,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     rows gets a copy more is open, the rows returned are the same. A source without words: target 0. Empty table: no rows.
     """
     size = F.size(words(F.col("text").cast("string"))).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep)
-    base = base.withColumn("class", _size_class(F.col("size"))).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = base.withColumn("part", F.substring("h", 1, 2))
-    light = written(base.select("doc_id", "source", "size", "class", "h", "part"), "sizes") if not keep else base
-    parts = written(light.groupBy("source", "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "parts")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.when(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("text"), *keep)
+    base = base.withColumn("class", _size_class(F.col("size"))).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text"), F.md5("text")), F.lit(""))))
+    # One key of the part, never null, so that ranking and the join below share one exchange of the rows.
+    part = F.md5(F.concat_ws("|", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")), "class", F.substring("h", 1, 2)))
+    base = base.withColumn("part", F.substring("h", 1, 2)).withColumn("key", part)
+    light = written(base.select("doc_id", "source", "size", "class", "h", "part", "key"), "sizes") if not keep else base
+    parts = written(light.groupBy("key", "source", "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "parts")
     targets = written(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs), "targets")
     order = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = parts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("source", "class", "part", "before")
+    ahead = parts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("key", "source", "before")
     known = ahead.join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("\x00")))), 1, 5), 16, 10).cast("double") / 1048576
-    known = known.withColumn("offset", offset).withColumnsRenamed({"source": "s", "class": "c", "part": "p"})
-    within = F.row_number().over(Window.partitionBy("source", "class", "part").orderBy("h", "size", "doc_id")) - 1
-    placed = light.withColumn("own", within).join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("part") == F.col("p")))
+    known = known.withColumn("offset", offset).drop("source")
+    within = F.row_number().over(Window.partitionBy("key").orderBy("h", "size", "doc_id")) - 1
+    placed = light.withColumn("own", within).join(known, "key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("own") + F.col("before")
     crossed = F.floor(F.col("offset") + (place + 1) * rate) - F.floor(F.col("offset") + place * rate)
