@@ -2,11 +2,15 @@
 
 A region within e edits of an item of m characters shares at least m - q + 1 - q*e of the item's q-grams
 with it, all within e diagonals. So shared character q-grams are counted in overlapping bands of diagonals;
-bands that reach the bound are verified by banded alignment."""
+bands that reach the bound are verified by banded alignment. Items longer than a window are looked for by overlapping windows, so
+that a long excerpt is found as well as the whole."""
 
 from __future__ import annotations
 
 import functools
+import pickle
+import zlib
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import slices
+from vellum.llm.common import slices, written
 
 Q = 12
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.05
-#: Items held by a task at a time; a larger benchmark is handled in blocks, each against all documents.
-BLOCK_ITEMS = 20_000
+#: Characters of a window; windows of an item begin half a window apart.
+WINDOW = 256
+#: Characters of benchmark held by a task at a time (some 20 bytes each); a larger benchmark takes several passes over the documents.
+BLOCK_CHARS = 4 << 20
+#: Pairs of a text's and an item's equal q-grams that are looked at together.
+PAIRS = 1 << 20
 
 
 @functools.cache
@@ -63,46 +71,52 @@ def _qgrams(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    ids: np.ndarray
+    """Windows of items, each an item of its own here. An item of up to WINDOW characters is one."""
+
+    ids: list[int]
     texts: list[np.ndarray]
     edits: np.ndarray
     need: np.ndarray  # least number of shared q-grams
-    size: np.ndarray  # of the q-grams of each item: q, or all of a shorter item
-    keys: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    grams: list[np.ndarray]  # of each window, by place
+    size: np.ndarray  # of each window's q-grams
+    posted: dict[int, tuple[np.ndarray, np.ndarray]]  # by that size: distinct (q-gram, window), sorted
     sieve: np.ndarray
 
 
-def index(items: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE) -> Index:
-    ids, texts, edits, need, size, keys, item, place = [], [], [], [], [], [], [], []
+def gram_size(length: int, edits: int, q: int = Q) -> int:
+    """The largest size up to ``q`` of which text within ``edits`` must still share one: size * (edits + 1) <= length."""
+    return max(1, min(q, length // (edits + 1)))
+
+
+def index(items: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE, window: int = WINDOW) -> Index:
+    ids, texts, edits, need, grams, size = [], [], [], [], [], []
     for name, raw in items:
         codes = normalised(_codes(raw))[0]
         codes = codes[1:] if len(codes) and codes[0] == 32 else codes
         codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
-        m = len(codes)
-        if not m:
-            continue
-        own = min(q, m)
-        e = max(0, min(int(share * m), (m - own) // own))
-        grams = _qgrams(codes, own)
-        k = len(ids)
-        ids.append(name)
-        texts.append(codes)
-        edits.append(e)
-        need.append(m - own + 1 - own * e)
-        size.append(own)
-        keys.append(grams)
-        item.append(np.full(len(grams), k))
-        place.append(np.arange(len(grams)))
+        last = max(0, len(codes) - window)
+        for at in [*range(0, last, max(1, window // 2)), last] if len(codes) else []:
+            part = codes[at : at + window]
+            m = len(part)
+            e = int(share * m)
+            own = gram_size(m, e, q)
+            ids.append(name)
+            texts.append(part)
+            edits.append(e)
+            need.append(m - own + 1 - own * e)
+            grams.append(_qgrams(part, own))
+            size.append(own)
     sieve = np.zeros(1 << 20, bool)
-    if not ids:
-        z = np.empty(0, np.int64)
-        return Index(z, [], z, z, z, np.empty(0, np.uint64), z, z, sieve)
-    keys, item, place = map(np.concatenate, (keys, item, place))
-    order = np.argsort(keys, kind="stable")
-    sieve[(keys & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
-    return Index(np.array(ids), texts, np.array(edits), np.array(need), np.array(size), keys[order], item[order], place[order], sieve)
+    posted = {}
+    for own in sorted(set(size)):
+        some = [k for k in range(len(ids)) if size[k] == own]
+        keys, item = np.concatenate([grams[k] for k in some]), np.repeat(some, [len(grams[k]) for k in some]).astype(np.int32)
+        sieve[(keys & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+        order = np.lexsort((item, keys))
+        keys, item = keys[order], item[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]))
+        posted[own] = keys[new], item[new]
+    return Index(ids, texts, np.array(edits, np.int64), np.array(need, np.int64), grams, np.array(size, np.int64), posted, sieve)
 
 
 def aligned(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
@@ -131,101 +145,151 @@ def aligned(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int,
     return (int(cost[d]), int(begin[d]), m + d) if cost[d] <= edits else None
 
 
-def _hits(codes: np.ndarray, known: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, item, place in the item) of every q-gram that the text shares with an item."""
-    found = [(np.empty(0, np.int64),) * 3]
-    for q in sorted(set(known.size.tolist())):
-        grams = _qgrams(codes, q)
-        hit = np.flatnonzero(known.sieve[(grams & np.uint64(len(known.sieve) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(known.keys, grams[hit]), np.searchsorted(known.keys, grams[hit], side="right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        good = known.size[known.item[at]] == q
-        found.append((np.repeat(hit, n)[good], known.item[at][good], known.place[at][good]))
-    return tuple(map(np.concatenate, zip(*found)))
-
-
-def _regions(codes: np.ndarray, known: Index) -> list[tuple[int, int, int, int]]:
-    """(item number, first, past the last, edits) in normalised text."""
-    pos, item, place = _hits(codes, known)
-    if not len(pos):
-        return []
-    step = np.maximum(known.edits[item], 1)
-    low = (pos - place) // step
-    found: list[tuple[int, int, int, int]] = []
+def _candidates(shared: np.ndarray, known: Index, q: int) -> list[int]:
+    """Windows of which the text has distinct q-grams enough to reach their bound anywhere. Each distinct q-gram of the text is
+    looked up once, so what this holds is bounded by the index, however often a phrase stands in the text."""
+    keys, item = known.posted[q]
+    own = np.unique(shared)
+    lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+    n = hi - lo
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    seen = np.bincount(item[at], minlength=len(known.ids))
+    # ``need`` counts places; a q-gram that a window repeats may cover several of them
+    few = known.need - (np.array([len(g) for g in known.grams]) - np.bincount(item, minlength=len(known.ids)))
+    return np.flatnonzero((seen >= np.maximum(few, 1)) & (known.size == q)).tolist()
+
+
+def _of_item(codes: np.ndarray, places: np.ndarray, shared: np.ndarray, k: int, known: Index) -> list[tuple[int, int, int]]:
+    """(first, past the last, edits) of window ``k`` in the text; ``shared`` are its q-grams that windows may have, at ``places``."""
+    text, own, e, need = known.texts[k], known.grams[k], int(known.edits[k]), int(known.need[k])
+    m = len(text)
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own[order], shared), np.searchsorted(own[order], shared, side="right")
+    n = hi - lo
+    stretch = 4 * (m + 4 * e + 4)
+    if n.sum() > PAIRS and places[-1] - places[0] > 2 * stretch:  # a repetitive text: stretch by stretch, each longer than any region
+        found = []
+        for a in range(int(places[0]), int(places[-1]) + 1, stretch - 2 * (m + 2 * e + 2)):
+            x, z = np.searchsorted(places, (a, a + stretch))
+            found += _of_item(codes, places[x:z], shared[x:z], k, known) if z > x else []
+        return found
+    pos = np.repeat(places, n)
+    place = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     # Bands are two steps wide and begin at each step, so that any e diagonals lie in one of them. First
     # the bands with hits enough at all, then those with enough distinct q-grams of the item.
-    band_of = np.concatenate([low, low - 1]) + len(codes)
-    diagonal = np.tile(pos - place, 2)
-    item, place = np.tile(item, 2), np.tile(place, 2)
-    key = item * (2 * len(codes) + 2) + band_of
-    order = np.argsort(key, kind="stable")
-    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    n = np.diff(np.append(at, len(order)))
-    for g in np.flatnonzero(n >= known.need[item[order[at]]]).tolist():
-        rows = order[at[g] : at[g] + n[g]]
-        k = int(item[rows[0]])
-        if len(np.unique(place[rows])) < known.need[k]:
+    step = max(e, 1)
+    low = (pos - place) // step
+    band, diagonal, place = np.concatenate([low, low - 1]), np.tile(pos - place, 2), np.tile(place, 2)
+    by = np.argsort(band, kind="stable")
+    first = np.flatnonzero(np.append(True, band[by][1:] != band[by][:-1])) if len(by) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(by)))
+    found = []
+    for g in np.flatnonzero(size >= need).tolist():
+        rows = by[first[g] : first[g] + size[g]]
+        if len(np.unique(place[rows])) < need:
             continue
         straight, often = np.unique(diagonal[rows], return_counts=True)
-        d, m = int(straight[often.argmax()]), len(known.texts[k])
-        if d >= 0 and np.array_equal(codes[d : d + m], known.texts[k]):  # the diagonal of most shared q-grams: no edits
-            found.append((k, d, d + m, 0))
+        d = int(straight[often.argmax()])
+        if d >= 0 and np.array_equal(codes[d : d + m], text):  # the diagonal of most shared q-grams: no edits
+            found.append((d, d + m, 0))
             continue
-        e = int(known.edits[k])
-        lead = max(0, int(band_of[rows[0]] - len(codes)) * max(e, 1) - e)
-        best = aligned(known.texts[k], codes[lead : lead + len(known.texts[k]) + 6 * e + 2], e)
+        lead = int(band[rows[0]]) * step - e
+        before = np.full(max(0, -lead), 0xFFFFFFFE, np.uint32)  # what is before the text equals nothing
+        best = aligned(text, np.concatenate([before, codes[max(0, lead) : max(0, lead + m + 6 * e + 2)]]), e)
         if best is not None:
-            found.append((k, lead + best[1], lead + best[2], best[0]))
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for hit in sorted(found, key=lambda x: (x[3], x[1])):  # overlapping finds of an item: the best stays
-        if all(hit[2] <= x[1] or hit[1] >= x[2] for x in out.get(hit[0], [])):
-            out.setdefault(hit[0], []).append(hit)
-    return sorted(x for own in out.values() for x in own)
+            found.append((max(0, lead + best[1]), lead + best[2], best[0]))
+    return found
 
 
-def _scan(known: Index) -> Callable:
-    gap = "\ufffe" * (int(known.edits.max(initial=0)) + 2)  # more than any edit budget: no region spans two texts
+def _regions(codes: np.ndarray, known: Index) -> list[tuple[int, int, int, int]]:
+    """(item id, first, past the last, edits) in normalised text. Of overlapping finds of a window the best stays; overlapping
+    regions of one item's windows are one region, with the most edits of a window in it."""
+    by_item: dict[int, list[tuple[int, int, int]]] = {}
+    for q in known.posted:
+        grams = _qgrams(codes, q)
+        places = np.flatnonzero(known.sieve[(grams & np.uint64(len(known.sieve) - 1)).astype(np.int64)])
+        shared = grams[places]
+        for k in _candidates(shared, known, q):
+            taken: list[tuple[int, int, int]] = []
+            for hit in sorted(_of_item(codes, places, shared, k, known), key=lambda x: (x[2], x[0])):
+                i = bisect(taken, hit)
+                if (i == 0 or taken[i - 1][1] <= hit[0]) and (i == len(taken) or hit[1] <= taken[i][0]):
+                    insort(taken, hit)
+            by_item.setdefault(known.ids[k], []).extend(taken)
+    out = []
+    for name, hits in by_item.items():
+        joined: list[tuple[int, int, int]] = []
+        for a, z, e in sorted(hits):
+            if joined and a < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(z, joined[-1][1]), max(e, joined[-1][2])
+            else:
+                joined.append((a, z, e))
+        out += [(name, *x) for x in joined]
+    return sorted(out)
+
+
+@functools.lru_cache(1)
+def _index_of(packed: bytes) -> Index:
+    """Made by each Python worker from the texts, once for all its tasks of a pass."""
+    return index(*pickle.loads(zlib.decompress(packed)))
+
+
+def _scan(items: list[tuple[int, str]], q: int, share: float, window: int) -> Callable:
+    packed = zlib.compress(pickle.dumps((items, q, share, window)), 1)
+    gap = "\ufffe" * (int(share * window) + 2)  # more than any edit budget: no region spans two texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _index_of(packed)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
         for batch in slices(batches, limit=1 << 20):
             texts = [(t or "").replace("\ufffe", " ") for t in batch.column("text").to_pylist()]
             begin = np.cumsum([0, *(len(t) + len(gap) for t in texts)])
             codes, origin = normalised(_codes("".join(t + gap for t in texts)))
-            out: list[list[dict]] = batch.column("regions").to_pylist()
-            for k, a, z, e in _regions(codes, known):
+            out: list[list[dict]] = [[] for _ in texts]
+            for name, a, z, e in _regions(codes, known):
                 first, last = int(origin[a]), int(origin[z - 1]) + 1
                 i = int(np.searchsorted(begin, first, side="right")) - 1
-                out[i].append({"item_id": int(known.ids[k]), "start": first - int(begin[i]), "end": last - int(begin[i]), "edits": e})
-            others = [n for n in batch.schema.names if n != "regions"]
+                out[i].append({"item_id": name, "start": first - int(begin[i]), "end": last - int(begin[i]), "edits": e})
+            others = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), pa.array(out, kind)], [*others, "regions"])
 
     return run
 
 
-def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, block: int = BLOCK_ITEMS, carry: bool = False) -> DataFrame:
+_REGIONS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
+
+
+def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, window: int = WINDOW, block: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, and regions: array of (item_id, start, end, edits) in code points of the text.
 
-    A region is a part of the text within floor(share * m) edits (fewer for items so short that the bound on
-    shared q-grams would vanish; none below 2q characters) of the m characters of a benchmark item, after
-    lower-casing and turning each run of other characters than letters and digits into a space. Needs doc_id and text of
+    A region is a part of the text within floor(share * m) edits of the m characters of a benchmark item, after
+    lower-casing and turning each run of other characters than letters and digits into a space. An item of more than ``window``
+    characters is looked for by windows of so many, half a window apart: an excerpt of one and a half windows is always found,
+    and overlapping finds are one region. Needs doc_id and text of
     ``docs``, item_id and text of ``benchmark``; others are ignored. Text null, or without letters and digits: no
     regions, and such items match nothing. doc_id null: scanned like others. Repeated rows: each is returned;
-    repeated items are reported under the smallest item_id. Empty tables: no rows, or no regions.
+    repeated items are reported under the smallest item_id (-1 without one). Empty tables: no rows, or no regions.
 
-    Blocks of items follow each other over the same rows; each adds its regions. ``carry`` keeps a column ``row``.
+    Up to ``block`` characters of benchmark, documents are read in one pass and nothing is shuffled. A larger benchmark is dealt
+    into blocks of about so many; each is a pass of its own that writes only the rows with regions, which are put together in the end.
+    ``carry`` keeps a column ``row``.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["row"] if carry else []))
-    items = benchmark.where("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    blocks = max(1, -(-items.count() // block))
-    kind = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
-    out = base.withColumn("regions", F.array().cast(kind))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        known = index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own.collect()), q, share)  # about ``block`` items
-        out = out.mapInArrow(_scan(known), out.schema)
-    return out.drop("text")
+    items = benchmark.where("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.coalesce(F.min(F.col("item_id").cast("long")), F.lit(-1)).alias("item_id"))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
+
+    def scanned(rows: DataFrame, b: int) -> DataFrame:
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about ``block`` characters
+        held = sorted((r["item_id"], r["text"]) for r in own)
+        return rows.mapInArrow(_scan(held, q, share, window), rows.drop("text").withColumn("regions", F.array().cast(_REGIONS)).schema)
+
+    if blocks == 1:
+        return scanned(base, 0)
+    numbered = written(base.withColumn("scanned", F.monotonically_increasing_id()), "scanned")
+    hits = [written(scanned(numbered.select("scanned", "text"), b).where(F.size("regions") > 0), "hits") for b in range(blocks)]
+    found = functools.reduce(DataFrame.unionByName, hits).groupBy("scanned").agg(F.array_sort(F.flatten(F.collect_list("regions"))).alias("regions"))
+    out = numbered.drop("text").join(found, "scanned", "left").drop("scanned")
+    return out.withColumn("regions", F.coalesce("regions", F.array().cast(_REGIONS)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
