@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import mixed, slices, split_words, whole_windows, window_hashes, word_hashes, written
+from vellum.llm.common import mixed, slices, split_words, spread_join, whole_windows, window_hashes, word_hashes, written
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
@@ -84,9 +84,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("sig_rep", "sig_hub"))
         good = (a == b).mean(axis=1) >= SIGNATURE_SHARE
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+        yield batch.filter(pa.array(good)).select(["rep", "hub"])
 
 
 def _linked(threshold: int):
@@ -95,7 +95,7 @@ def _linked(threshold: int):
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 sets: list[list[np.ndarray]] = []
-                for c in ("text_a", "text_b"):
+                for c in ("text_rep", "text_hub"):
                     col = batch.column(c).dictionary_encode()  # a hub's text stands in many rows: one set for all
                     out, at = shingles(col.dictionary)
                     own = [np.unique(out[at[i] : at[i + 1]]) for i in range(len(col.dictionary))]
@@ -106,7 +106,7 @@ def _linked(threshold: int):
                     if 100 * small >= threshold * large > 0:
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         good[i] = 100 * both >= threshold * (small + large - both)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+                yield batch.filter(pa.array(good)).select(["rep", "hub"])
 
     return run
 
@@ -119,9 +119,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined: a join of two plain exchanges is one that adaptive execution can split at a hub.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         links = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         state = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -225,9 +227,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")  # so that the joins below can split a large class
     reps = own.select("set_lo", "set_hi", "doc_id", "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(shared, "key"), "members")
+    banded = written(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "banded")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = written(spread_join(banded, shared, "key", rows_of="n"), "members")
     degree = written(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degree")
     whole = written(members.join(degree, "rep").select("key", "rep", "degree", F.col("rep").alias("component")), "active")
     signature = written(_sifted(own.select("doc_id", "set_lo", "set_hi", "signature"), "doc_id", degree).join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi").join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "signature"), "reps")
@@ -235,8 +237,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     found = docs.sparkSession.createDataFrame([], "node long, component long")
 
     def linked(close: DataFrame) -> DataFrame:
-        texts = close.join(text.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        return texts.select("a", "b", "text_a", "text_b").mapInArrow(_linked(threshold), "a long, b long")
+        # The hub's text comes last, so that it is not shuffled with each of its pairs.
+        texts = close.join(text.select("rep", F.col("text").alias("text_rep")), "rep").join(text.select(F.col("rep").alias("hub"), F.col("text").alias("text_hub")), "hub")
+        return texts.select("rep", "hub", "text_rep", "text_hub").mapInArrow(_linked(threshold), "rep long, hub long").withColumnsRenamed({"rep": "a", "hub": "b"})
 
     def merged(links: DataFrame) -> DataFrame:
         """``found`` after more links, which join the components found so far."""
@@ -255,15 +258,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
     active = whole
     for _ in range(STARS):
-        hubs = written(active.groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep"))).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("other")), "hubs")
-        pairs = active.join(hubs, "key").where("component <> other").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        signed = pairs.join(signature.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a").join(signature.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
-        found = merged(linked(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")))
-        of_hub = placed(hubs.select("key", F.col("hub").alias("rep"))).select("key", F.col("component").alias("other"))
-        active = written(placed(active).join(of_hub, "key").where("component <> other").drop("other"), "active")
+        if active.isEmpty():
+            break
+        hubs = written(active.groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.struct("degree", -F.col("rep"))).alias("h"), F.count("*").alias("n")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("other"), "n"), "hubs")
+        met = spread_join(active, hubs, "key", rows_of="n").where("component <> other")
+        # A pair once, whichever of the two is the hub, or both are.
+        pairs = met.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(F.min("hub").alias("hub")).select(F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("rep"), "hub")
+        signed = pairs.join(signature.select("rep", F.col("signature").alias("sig_rep")), "rep").join(signature.select(F.col("rep").alias("hub"), F.col("signature").alias("sig_hub")), "hub")
+        found = merged(linked(signed.select("rep", "hub", "sig_rep", "sig_hub").mapInArrow(_alike, "rep long, hub long")))
+        of_hub = written(placed(hubs.select("key", "n", F.col("hub").alias("rep"))).select("key", "n", F.col("component").alias("other")), "of-hub")
+        active = written(spread_join(placed(active), of_hub, "key", rows_of="n").where("component <> other").drop("other", "n"), "active")
     apart = placed(whole).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = written(placed(whole).join(apart, "key", "left_semi").select("rep", "component").distinct(), "open")
-    found = merged(linked(_across(text.join(open_, "rep").select("rep", "component", "text"), threshold)))
+    if not open_.isEmpty():
+        across = _across(text.join(open_, "rep").select("rep", "component", "text"), threshold)
+        found = merged(linked(across.withColumnsRenamed({"a": "rep", "b": "hub"})))
     out = own.select("doc_id", "n_shingles", "set_lo", "set_hi").join(classes, ["set_lo", "set_hi"], "left")
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linked_to: Column = F.coalesce("component", "rep", "doc_id")
