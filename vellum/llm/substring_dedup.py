@@ -25,8 +25,14 @@ PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WIDTH - PERIOD + 1
 _ENTRY = "bucket int, kind int, docs binary, which binary, hashes binary"
 _REPLY = "part long, docs binary, hashes binary"
-#: Bits of a window hash that go back to its document, where they only tell its own windows apart.
+#: Bits of an anchor's hash that go back to its document, where they only tell its own windows apart.
 _LOW48 = np.uint64((1 << 48) - 1)
+#: Bytes of a hash on its way to its bucket, and back: anchors (a false match only makes a window a candidate), and
+#: windows, whose 128 bits decide.
+ANCHOR_BYTES, WINDOW_BYTES = (5, 6), (16, 8)
+#: Buckets for each shuffle partition. A task sorts its buckets, spilling where it must, and holds one at a time.
+SUB = 16
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _pack(h: np.ndarray, width: int) -> bytes:
@@ -63,16 +69,26 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, pa.array([unpack.decompress(x) for x in part.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
 
 
-def _entries(ids: np.ndarray, h: np.ndarray, row: np.ndarray, buckets: int, width: int, smaller: bool) -> Iterator[pa.RecordBatch]:
+def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of each run of equal values."""
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.empty(0, np.int64)
+    return zip(at.tolist(), np.append(at[1:], len(sorted_)).tolist())
+
+
+def _entries(ids: np.ndarray, h: np.ndarray, second: np.ndarray | None, row: np.ndarray, buckets: int, smaller: bool) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets of the hashes: each hash of a slice once, with the smallest document there that
     has it (kind 0), so that a very common hash makes one entry a slice. Documents whose hash is shared
-    within the slice already get their answer here (kind 1, dealt by document)."""
+    within the slice already get their answer here (kind 1, dealt by document). ``second`` makes the hashes 128 bits."""
     if not len(h):
         return
-    order = np.lexsort((ids[row], h))
+    width, back = ANCHOR_BYTES if second is None else WINDOW_BYTES
+    order = np.lexsort((ids[row], h) if second is None else (ids[row], second, h))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    if second is not None:
+        second = second[order]
+        new[1:] |= second[1:] != second[:-1]
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     least, most = ids[row[first]], ids[row[np.append(first[1:], len(h)) - 1]]
@@ -81,62 +97,51 @@ def _entries(ids: np.ndarray, h: np.ndarray, row: np.ndarray, buckets: int, widt
     bucket = (own_h % np.uint64(buckets)).astype(np.int64)
     out: list[tuple] = []
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for b in range(buckets):
-        pick = by[cuts[b] : cuts[b + 1]]
-        if len(pick):
-            docs, which = np.unique(own_row[pick], return_inverse=True)
-            shared = multi[pick]
-            out.append((b, 0, ids[docs].tobytes(), (which.astype("<u4") << 1 | shared).astype("<u4").tobytes() if len(docs) > 32_000 else (which << 1 | shared).astype("<u2").tobytes(), _pack(own_h[pick] // np.uint64(buckets), width)))
+    for a, z in _groups(bucket[by]):
+        pick = by[a:z]
+        docs, which = np.unique(own_row[pick], return_inverse=True)
+        marked = (which.astype("<u4") << 1 | multi[pick]).astype("<u4" if len(docs) > 32_000 else "<u2")
+        raw = _pack(own_h[pick] // np.uint64(buckets), min(width, 8)) + (b"" if second is None else second[first[pick]].astype("<u8").tobytes())
+        out.append((int(bucket[pick[0]]), 0, ids[docs].tobytes(), marked.tobytes(), raw))
     if settled.any():
         rows, hashes = row[settled], h[settled]
         by = np.argsort(rows, kind="stable")
         rows, hashes = rows[by], hashes[by]
-        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        for a, z in zip(at, np.append(at[1:], len(rows))):
+        for a, z in _groups(rows):
             doc = int(ids[rows[a]])
-            out.append((doc % buckets, 1, doc.to_bytes(8, "little", signed=True), b"", _pack(np.unique(hashes[a:z]) & _LOW48, 6)))
+            out.append((doc % buckets, 1, doc.to_bytes(8, "little", signed=True), b"", _pack(np.unique(hashes[a:z] & _LOW48 if back == 6 else hashes[a:z]), back)))
     if out:
         cols = list(zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "kind", "docs", "which", "hashes"])
 
 
-def _replies(buckets: int, width: int, smaller: bool) -> Callable:
-    """Of each bucket: for every entry whose hash other documents have too (``smaller``: smaller ones), its hash.
-    A task holds the buckets dealt to it, whose size falls with the number of shuffle partitions."""
+def _replies(buckets: int, smaller: bool) -> Callable:
+    """Of each bucket: for every entry whose hash other documents have too (``smaller``: smaller ones), its hash. Entries come
+    sorted by bucket; one bucket is held at a time."""
+    width, back = WINDOW_BYTES if smaller else ANCHOR_BYTES
 
     def send(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each group of documents: the documents, and their hashes in turn."""
         group = doc % buckets
         order = np.lexsort((h, doc, group))
         group, doc, h = group[order], doc[order], h[order]
-        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
-        rows = [(int(group[a]), doc[a:z].tobytes(), _pack(h[a:z] & _LOW48, 6)) for a, z in zip(cuts, np.append(cuts[1:], len(doc)))]
+        rows = [(int(group[a]), doc[a:z].tobytes(), _pack(h[a:z] & _LOW48 if back == 6 else h[a:z], back)) for a, z in _groups(group)]
         if rows:
             g, d, x = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            settled: list[tuple[int, bytes, bytes]] = []
-            for r in batch.to_pylist():
-                if r["kind"]:
-                    settled.append((r["bucket"], r["docs"] * (len(r["hashes"]) // 6), r["hashes"]))
-                    continue
-                h = _unpack(r["hashes"], width) * np.uint64(buckets) + np.uint64(r["bucket"])
-                which = np.frombuffer(r["which"], "<u2" if len(r["which"]) == 2 * len(h) else "<u4").astype(np.int64)
-                parts.append((h, np.frombuffer(r["docs"], np.int64)[which >> 1], (which & 1).astype(bool)))
-            if settled:
-                g, d, x = zip(*settled)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
-        if not parts:
-            return
-        h, doc, multi = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        order = np.lexsort((doc, h))
-        h, doc, multi = h[order], doc[order], multi[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    def resolved(entries: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for bucket, docs, which, hashes in entries:
+            n = len(hashes) // width
+            h = _unpack(hashes[: n * min(width, 8)], min(width, 8)) * np.uint64(buckets) + np.uint64(bucket)
+            second = np.frombuffer(hashes[n * 8 :], "<u8") if width == 16 else np.zeros(n, np.uint64)
+            of = np.frombuffer(which, "<u2" if len(which) == 2 * n else "<u4").astype(np.int64)
+            parts.append((h, second, np.frombuffer(docs, np.int64)[of >> 1], (of & 1).astype(bool)))
+        h, second, doc, multi = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, second, h) if width == 16 else (doc, h))
+        h, second, doc, multi = h[order], second[order], doc[order], multi[order]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (second[1:] != second[:-1])))
         size = np.diff(np.append(first, len(h)))
         least = np.repeat(doc[first], size)
         if smaller:
@@ -146,22 +151,53 @@ def _replies(buckets: int, width: int, smaller: bool) -> Callable:
             good = ((least < most) | np.repeat(np.logical_or.reduceat(multi, first), size)) & ~multi
         yield from send(doc[good], h[good])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes, bytes]] = []
+        for batch in batches:
+            settled: list[tuple[int, bytes, bytes]] = []
+            for bucket, kind, docs, which, hashes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "docs", "which", "hashes"))):
+                if kind:
+                    settled.append((bucket, docs * (len(hashes) // back), hashes))
+                    continue
+                if held and held[0][0] != bucket:
+                    yield from resolved(held)
+                    held = []
+                held.append((bucket, docs, which, hashes))
+            if settled:
+                g, d, x = zip(*settled)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
+        if held:
+            yield from resolved(held)
+
     return run
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replies to the documents dealt to this task: a row for each document."""
-    parts = [(np.frombuffer(d, np.int64), np.frombuffer(x, np.uint8).reshape(-1, 6)) for batch in batches for d, x in zip(batch.column("docs").to_pylist(), batch.column("hashes").to_pylist())]
-    if not parts:
-        return
-    doc, h = (np.concatenate(x) for x in zip(*parts))
-    parts.clear()
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    for lo in range(0, len(at), 5_000):
-        some, ends = at[lo : lo + 5_000], np.append(at[1:], len(doc))[lo : lo + 5_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([h[a:z].tobytes() for a, z in zip(some, ends)], pa.binary())], ["key", "replies"])
+def _sorted_out(width: int) -> Callable:
+    """Replies, sorted by part, to a row for each document; one part is held at a time."""
+
+    def put(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        doc = np.frombuffer(b"".join(d for d, _ in parts), np.int64)
+        h = np.frombuffer(b"".join(x for _, x in parts), np.uint8).reshape(-1, width)
+        order = np.argsort(doc, kind="stable")
+        doc, h = doc[order], h[order]
+        runs = list(_groups(doc))
+        for lo in range(0, len(runs), 5_000):
+            some = runs[lo : lo + 5_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in some]]), pa.array([h[a:z].tobytes() for a, z in some], pa.binary())], ["key", "replies"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for part, docs, hashes in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "hashes"))):
+                if held and part != now:
+                    yield from put(held)
+                    held = []
+                now = part
+                held.append((docs, hashes))
+        if held:
+            yield from put(held)
+
+    return run
 
 
 def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +216,7 @@ def _anchors(buckets: int) -> Callable:
             m = len(wide)
             good = whole_windows(starts, ANCHOR) & np.isin(at[:m] % PERIOD, COVER) & (n[row[:m]] >= WIDTH)
             # Five bytes of a hash and its bucket are enough here: a false match only makes a window a candidate.
-            yield from _entries(batch.column("doc_id").to_numpy(), wide[good] % np.uint64(buckets << 40), row[:m][good], buckets, 5, False)
+            yield from _entries(batch.column("doc_id").to_numpy(), wide[good] % np.uint64(buckets << 40), None, row[:m][good], buckets, False)
 
     return run
 
@@ -195,7 +231,7 @@ def _near(h: np.ndarray, starts: np.ndarray, replies: list[bytes | None], bucket
             a, z = int(starts[i]), int(starts[i + 1])
             own = wide[a : z - ANCHOR + 1]
             at = np.arange(len(own))
-            hit = np.isin(own, raw_set(raw)) & np.isin(at % PERIOD, COVER)
+            hit = np.isin(own, _unpack(raw, 6)) & np.isin(at % PERIOD, COVER)
             step = np.zeros(len(own) + 1, np.int64)  # an anchor at p stands in the windows p-6 to p
             np.add.at(step, np.maximum(at[hit] - PERIOD + 1, 0), 1)
             np.add.at(step, at[hit] + 1, -1)
@@ -203,10 +239,6 @@ def _near(h: np.ndarray, starts: np.ndarray, replies: list[bytes | None], bucket
     return mask
 
 
-def raw_set(raw: bytes) -> np.ndarray:
-    return _unpack(raw, 6)
-
-
 def _candidates(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in _texts(batches):
@@ -214,7 +246,7 @@ def _candidates(buckets: int) -> Callable:
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             mask = _near(h, starts, batch.column("replies").to_pylist(), buckets)
             if mask.any():
-                yield from _entries(batch.column("doc_id").to_numpy(), window_hashes(h, WIDTH)[mask], row[: len(mask)][mask], buckets, 8, True)
+                yield from _entries(batch.column("doc_id").to_numpy(), window_hashes(h, WIDTH)[mask], window_hashes(h, WIDTH, _SECOND)[mask], row[: len(mask)][mask], buckets, True)
 
     return run
 
@@ -229,7 +261,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = np.zeros(count, bool)
             if named.is_valid and reply.is_valid and count >= WIDTH:
                 flat = pa.array(own, pa.large_binary())
-                hit = np.isin(window_hashes(word_hashes(flat), WIDTH) & _LOW48, raw_set(reply.as_py()))
+                hit = np.isin(window_hashes(word_hashes(flat), WIDTH), _unpack(reply.as_py(), WINDOW_BYTES[1]))
                 step = np.zeros(count + 1, np.int64)
                 at = np.flatnonzero(hit)
                 step[at] += 1
@@ -250,21 +282,23 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     nothing is removed, and nothing is removed because of it. Repeated rows (equal doc_id): neither
     is smaller, so both lose only what smaller documents have. Empty table: no rows.
 
-    Texts are shuffled once, compressed, by document; each later pass joins them where they lie. Memory of
-    a task follows its share of the hashes, so spark.sql.shuffle.partitions sets it.
+    Texts are shuffled once, compressed, by document; each later pass joins them where they lie. Spark sorts the hashes of
+    a task by bucket, spilling where it must; Python holds one bucket of SUB a partition at a time. That two documents have a window
+    in common is decided by 128 bits.
     """
     parts = partitions(docs.sparkSession)
-    buckets = 2 * parts
+    buckets = SUB * parts
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())])
     dealt = base.mapInArrow(_packed, schema).repartition(parts, "key")
 
-    def collected(entries: DataFrame, width: int, smaller: bool) -> DataFrame:
-        replies = entries.repartition(parts, "bucket").mapInArrow(_replies(buckets, width, smaller), _REPLY)
-        return replies.repartition(parts, "part").mapInArrow(_sorted_out, "key long, replies binary").hint("shuffle_hash")
+    def collected(entries: DataFrame, smaller: bool) -> DataFrame:
+        replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, smaller), _REPLY)
+        sorted_out = _sorted_out(WINDOW_BYTES[1] if smaller else ANCHOR_BYTES[1])
+        return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sorted_out, "key long, replies binary").hint("shuffle_hash")
 
-    shared = collected(dealt.mapInArrow(_anchors(buckets), _ENTRY), 5, False)
+    shared = collected(dealt.mapInArrow(_anchors(buckets), _ENTRY), False)
     near = dealt.join(shared, "key").select("doc_id", "packed", "replies")
-    covered = collected(near.mapInArrow(_candidates(buckets), _ENTRY), 8, True)
+    covered = collected(near.mapInArrow(_candidates(buckets), _ENTRY), True)
     out = dealt.join(covered, "key", "left").select("doc_id", "packed", "replies")
     return out.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_text string")
