@@ -9,13 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import SLICE_BYTES, slices, split_words
 from vellum.llm.compression_quality import held_out
 
-#: The bound of the fit: documents of each language, by the order of their hashed ids.
+#: The bound of the fit: about so many documents of each language, by their hashed ids.
 FIT_ROWS = 800
 ORDERS = (1, 2, 3, 4)
 TABLE_BITS = 17
@@ -85,25 +86,59 @@ def _grams(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndar
     return codes, out
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on (doc_id, text, lang): whole texts of ``rows`` documents of each language at most, by hashed id."""
-    known = labelled.where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("r", rank).where(F.col("r") <= rows).select("doc_id", "lang")
-    found = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect()  # bounded by ``rows`` a language
-    langs = tuple(sorted({r["lang"] for r in found}))
-    table = np.full((len(langs), 1 << TABLE_BITS), 0.02)
-    scripts = np.zeros((len(SCRIPTS) + 2, len(langs)))
-    for k, lang in enumerate(langs):
-        own = [r["text"] for r in found if r["lang"] == lang]
-        for lo in range(0, len(own), 50):
-            text = "\n".join(own[lo : lo + 50]).lower().replace("\x02", " ").replace("\x03", " ")
+_COUNTS = "lang string, block int, counts binary"
+#: Cells of the table that travel in one row.
+BLOCK = 1 << 12
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gram counts of each language in blocks; block -1 counts the scripts of its letters."""
+    cells: dict[str, np.ndarray] = {}
+    scripts: dict[str, np.ndarray] = {}
+    for batch in slices(batches, limit=1 << 20):
+        for lang in batch.column("lang").unique().to_pylist():
+            own = batch.column("text").filter(pc.equal(batch.column("lang"), lang)).to_pylist()
+            text = "\n".join(own).lower().replace("\x02", " ").replace("\x03", " ")
             words = [w for w in text.split() if any(map(str.isalpha, w))]
+            at = cells.setdefault(lang, np.zeros(1 << TABLE_BITS, np.int64))
+            of = scripts.setdefault(lang, np.zeros(len(SCRIPTS) + 2, np.int64))
             if words:
                 codes, grams = _grams(words)
                 for h, _ in grams:
-                    table[k] += np.bincount(h, minlength=1 << TABLE_BITS)
-                scripts[:, k] += np.bincount(_script_of(codes), minlength=len(scripts))
+                    at += np.bincount(h, minlength=len(at))
+                of += np.bincount(_script_of(codes), minlength=len(of))
+    for lang in cells:
+        blocks = [*cells[lang].reshape(-1, BLOCK), scripts[lang]]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks)), pa.array([*range(len(blocks) - 1), -1], pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["lang", "block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for lang, block, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "counts"))):
+            total[lang, block] = total.get((lang, block), 0) + np.frombuffer(raw, np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["lang", "block", "counts"])
+
+
+def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on (doc_id, text, lang): whole texts of about ``rows`` documents of each language, those with the least hashed ids. Texts are
+    counted where they lie; the driver gets one table of fixed size for each language."""
+    known = labelled.where("lang is not null and text is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    langs = tuple(sorted(r["lang"] for r in sizes))
+    table = np.full((len(langs), 1 << TABLE_BITS), 0.02)
+    scripts = np.zeros((len(SCRIPTS) + 2, len(langs)))
+    if langs:
+        rate = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["n"])) for r in sizes], "lang string, rate double")
+        place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2**32
+        chosen = known.join(F.broadcast(rate), "lang").where(place < F.col("rate")).select("lang", "text")
+        for r in chosen.mapInArrow(_counted, _COUNTS).repartition("lang", "block").mapInArrow(_summed, _COUNTS).collect():
+            k, counts = langs.index(r["lang"]), np.frombuffer(r["counts"], np.int64)
+            if r["block"] < 0:
+                scripts[:, k] += counts
+            else:
+                table[k, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += counts
     letters = scripts[1:].sum(axis=0)
     allowed = scripts >= SCRIPT_SHARE * np.maximum(letters, 1)
     return Model(langs, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32).copy(), allowed)
@@ -166,7 +201,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) ->
         top = now.argmax(axis=2)
         change = np.take_along_axis(now, top[:, :, None], 2) - np.float32(penalty)
         stay = now >= change
-        back.append(np.where(stay, np.arange(langs)[None, None, :], top[:, :, None]).astype(np.uint8))
+        back.append(np.where(stay, np.arange(langs)[None, None, :], top[:, :, None]).astype(np.min_scalar_type(langs)))
         best[:live] = np.where(stay, now, change) + scores[begin_o[:live] + t][:, None, :]
     gain = np.empty_like(best)
     gain[order] = best
