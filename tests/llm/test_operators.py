@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from vellum.llm import language_id, oracle
-from vellum.llm.common import words
-from vellum.llm.compression_quality import good_documents, quality_scores
-from vellum.llm.decontamination import clean_documents, decontaminate, index, normalised
+from vellum.llm import compression_quality, decontamination, language_id, oracle, token_counts
+from vellum.llm.common import spread_join, words
+from vellum.llm.compression_quality import _dictionary, features, good_documents, quality_scores
+from vellum.llm.decontamination import _codes, _regions, clean_documents, decontaminate, gram_size, index, normalised
 from vellum.llm.language_id import languages
 from vellum.llm.line_quality import quality_rules
 from vellum.llm.mixing import mixed
@@ -23,7 +23,7 @@ from vellum.llm.near_dup import connected_components, near_duplicates
 from vellum.llm.secret_scan import secret_spans
 from vellum.llm.sharding import sharded
 from vellum.llm.substring_dedup import substring_dedup
-from vellum.llm.token_counts import allocated, section_tokens
+from vellum.llm.token_counts import VOCABULARY, _encoder, allocated, encoded, read_vocabulary, section_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, key string, row string, size int"
 
@@ -189,17 +189,64 @@ def test_decontamination(spark):
     docs = fixture(spark, [(i, t, "a") for i, t in enumerate(texts)])
     kept = clean_documents(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6]
-    many = {r.doc_id: r.n_regions for r in decontaminate(docs, bench, block=1).collect()}
-    assert many == {i: got[i].n_regions for i in got}
-    assert index([]).keys.size == 0 and normalised(np.array([65, 44, 32, 66], np.uint32))[0].tolist() == [97, 32, 98]
+    bench = bench.unionByName(spark.createDataFrame([(11, "unrelated words only unrelated words only", "x")], bench.schema))
+    one, many = ({r.doc_id: r.item_ids for r in decontaminate(docs, bench, block=b).collect()} for b in (1 << 20, 60))
+    assert many == one and one[6] == [11]
+    assert not index([]).ids and normalised(np.array([65, 44, 32, 66], np.uint32))[0].tolist() == [97, 32, 98]
+
+
+def edits_within(item, text):
+    """Least edits between the item and any part of the text, by the plain recursion."""
+    before = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(item, 1):
+        now = np.minimum(before[:-1] + (text != c), before[1:] + 1)
+        row = [i]
+        for x in now:
+            row.append(min(x, row[-1] + 1))
+        before = np.array(row)
+    return before.min()
+
+
+def test_regions_equal_brute_force():
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(400):
+        letters = list("abcdefghij "[: int(rng.integers(3, 12))])
+        item = "x".join(" ".join("".join(rng.choice(letters, int(rng.integers(3, 120)))).split()).split("x")) or "abc"
+        edited = list(item)
+        for _ in range(int(rng.integers(0, 9))):
+            at = int(rng.integers(0, max(1, len(edited))))
+            edited[at : at + int(rng.integers(0, 2))] = list(rng.choice(letters, int(rng.integers(0, 2))))
+        around = ["".join(rng.choice(list("klmnop "), int(rng.integers(0, 60)))) for _ in range(2)]
+        text = normalised(_codes("".join(edited).join(around)))[0]
+        codes = normalised(_codes(item))[0]
+        want = edits_within(codes, text) <= int(0.05 * len(codes))
+        assert bool(_regions(np.append(text, np.full(20, 0xFFFE, np.uint32)), index([(1, item)]))) == want
+        found += want
+    assert 100 < found < 300
+
+
+def test_long_items_and_repetitive_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    long = word(300)
+    known = index([(3, long), (4, "ab" * 120)])
+    part = long[500:1000]
+    hit = _regions(normalised(_codes(f"{word(40)} {part} {word(40)}"))[0], known)
+    assert len(hit) == 1 and hit[0][0] == 3 and hit[0][2] - hit[0][1] > 250
+    assert _regions(normalised(_codes(long))[0], known) == [(3, 0, len(long), 0)]
+    assert not _regions(normalised(_codes(f"{word(40)} {long[500:700]} {word(40)}"))[0], known)
+    many = _codes("ab" * 4000)
+    whole = _regions(many, known)
+    monkeypatch.setattr(decontamination, "PAIRS", 1000)
+    assert _regions(many, known) == whole and len(whole) == 33
+    assert [gram_size(m, int(0.05 * m)) for m in (3, 12, 19, 20, 23, 24, 60)] == [3, 12, 12, 10, 11, 12, 12]
 
 
 def test_token_counts(spark):
     texts = ["one line", "a\nb b\n\nç é\n", "", None, "word " * 5000]
     got = section_tokens(fixture(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
-    from vellum.llm.token_counts import VOCABULARY, _encoder
-
-    encoder = _encoder(VOCABULARY)[0]
+    encoder, width = _encoder(read_vocabulary(VOCABULARY))
     for i, t in enumerate(texts):
         own = sorted((r.section, r.start, r.end, r.n_tokens) for r in got if r.doc_id == i)
         assert sum(x[3] for x in own) == len(encoder.encode_ordinary(t or "")) and own[-1][2] == len(t or "") and len(own) == (t or "").count("\n") + 1
@@ -207,6 +254,87 @@ def test_token_counts(spark):
     assert [allocated(ends, cuts, r).tolist() for r in ("first", "last", "majority")] == [[2, 1], [1, 2], [1, 2]]
 
 
+def test_sections_by_brute_force(spark):
+    """Every token counted where its first byte lies, by looking at all sections."""
+    texts = ["a\nb b\n\nç é\n", " \n \n  x\n\n\n", "日本\n語 words\r\n  tail", "\n" * 7, "no newline"]
+    encoder, width = _encoder(read_vocabulary(VOCABULARY))
+    got = section_tokens(fixture(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        ends = np.cumsum([len(x.encode()) for x in t.splitlines(keepends=True) if False] or [len((x + "\n").encode()) for x in t.split("\n")])
+        want, at = [0] * len(ends), 0
+        for token in encoder.encode_ordinary(t):
+            want[next(k for k, end in enumerate(ends) if at < end)] += 1
+            at += width[token]
+        assert [r.n_tokens for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)] == want
+
+
+def test_very_long_runs_are_encoded(spark, monkeypatch):
+    n = 2_000_000
+    texts = ["x" + " " * n + "y", "a" * n, "\n" * n]
+    got = section_tokens(fixture(spark, [(i, t, "a") for i, t in enumerate(texts)])).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("end").alias("end")).collect()
+    assert {r.doc_id: r.end for r in got} == {i: len(t) for i, t in enumerate(texts)} and all(0 < r.n <= n + 2 for r in got)
+    encoder = _encoder(read_vocabulary(VOCABULARY))[0]
+    monkeypatch.setattr(token_counts, "LONG_RUN", re.compile(token_counts.LONG_RUN.pattern.replace("10000", "2")))
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", " ", "\n", "a", "B", "1", ".", "\t", "'s", "\x1c", "\x85", "\u3000", "\xa0", "\u200b"], int(rng.integers(0, 15))))
+        assert encoded(t, encoder) == encoder.encode_ordinary(t)
+
+
+def test_long_texts_are_scanned_for_secrets_at_once(spark):
+    rows = [(0, " ".join(f"w{i}" for i in range(20_000)), "a"), (1, "see docs/2024/some/long/path/name. Then", "a"), (2, "q8Zk2Lw9Xc4Vb7Nm1Qa5Sd3F and zzzzzzzzzzzzzzzzzzzzA1zzzzzzzzzzz", "a"), (3, "Ab1" * 400_000, "b")]
+    got = {r.doc_id: r for r in secret_spans(fixture(spark, rows)).collect()}
+    assert [got[i].spans for i in range(3)] == ["", "", "owned:0:24"]
+
+
+def test_secret_counts_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    value = [f"ghp_{''.join(rng.choice(list('ghijkmGHIJKM23456789'), 24))}" for _ in range(40)]
+    rows = [(int(i), " ".join(value[k] for k in rng.integers(0, 40, int(rng.integers(0, 4))) if k < 30 or i < 20), f"s{int(rng.integers(0, 30)) ** 2 // 60}") for i in range(120)]
+    owners, places = defaultdict(set), defaultdict(set)
+    for i, t, s in rows:
+        for v in t.split():
+            owners[v].add(s)
+            places[v].add((s, i))
+    copied = {v for v in owners if len(owners[v]) >= 3 or len(places[v]) >= 10}
+    for r in secret_spans(fixture(spark, rows)).collect():
+        own = rows[r.doc_id][1].split()
+        want = (sum(v in copied for v in own), sum(v not in copied and len(owners[v]) == 1 for v in own), sum(v not in copied and len(owners[v]) > 1 for v in own), max([len(places[v]) for v in own], default=0))
+        assert (r.n_copied, r.n_live, r.n_shared, r.max_repositories) == want and len([x for x in r.spans.split(",") if x]) == want[1]
+
+
+def test_lines_count_distinct_documents(spark):
+    line = "shared boiler plate line number one of all"
+    rows = [(5, f"{line}\nand {' '.join(f'own{k}' for k in range(12))}", "a")] * 12  # one document, twelve rows
+    rows += [(100 + i, f"{line} b\nand {' '.join(f'o{i}w{k}' for k in range(12))}", "b") for i in range(11)] + [(None, f"{line} c\nshort", "c")] * 11
+    got = quality_rules(fixture(spark, rows)).collect()
+    assert {(r.doc_id, r.n_common_words, r.kept) for r in got} == {(5, 0, True), *((100 + i, 9, True) for i in range(11)), (None, 10, False)}
+    hosts = [(i, f"{line}\n{' '.join(f'o{i}w{k}' for k in range(12))}", "large") for i in range(30)] + [(100 + i, " ".join(f"p{i}w{k}" for k in range(12)), "large") for i in range(30)]
+    assert {r.n_common_words for r in quality_rules(fixture(spark, hosts), line_share=0.9).where("doc_id < 30").collect()} == {0}
+    assert {r.n_common_words for r in quality_rules(fixture(spark, hosts), line_share=0.9, line_most=20).where("doc_id < 30").collect()} == {8}
+
+
+def test_spread_join(spark):
+    rows = [(k % 7 if k % 3 else 0, k) for k in range(3000)] + [(None, 1)]
+    left, right = spark.createDataFrame(rows, "key long, x long"), spark.createDataFrame([(k, k * k) for k in range(0, 9, 2)] + [(None, 5)], "key long, y long")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, left.join(right, "key", how).collect()))
+        assert Counter(map(tuple, spread_join(left, right, "key", how, share=8, least=100).collect())) == want
+
+
+def test_tiny_texts_score_alike_and_features_are_the_sizes(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    tiny = fixture(spark, [(10**9 + i, t, "a") for i, t in enumerate(["", None, "a", "the", "?"])]).select("doc_id", "text", "lang", "source", "n_chars")
+    scores = [r.score for r in quality_scores(docs.unionByName(tiny.withColumn("n_chars", F.col("n_chars").cast(docs.schema["n_chars"].dataType))), labels).where("doc_id >= 1000000000").collect()]
+    assert len(scores) == 5 and max(scores) - min(scores) < 0.1 and max(scores) < 0.99
+    good, bad = _dictionary(b"some good text " * 50), _dictionary(b"bad bad spam " * 50)
+    text = "some good text and more " * 400
+    pieces = [text[i : i + 2048].encode() for i in range(0, len(text), 2048)]
+    net = [sum(len(c.compress(p)) - len(c.compress(b"")) for p in pieces) for c in (good, bad)]
+    assert features(text, good, bad) == pytest.approx(((net[0] - net[1]) / sum(net), net[0] / len(text), len(text) / (len(text) + compression_quality.SHORT)))
+    assert features("", good, bad) == features(None, good, bad) == (0, 0, 0)
+
+
 def test_classifiers_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     truth = {r.doc_id: r.quality for r in labels.collect()}
@@ -318,7 +446,7 @@ def test_stages_on_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
     rows += [(100 + i, t, "c") for i, t in enumerate(good + bad)]
     spark.createDataFrame([(100 + i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs, odd = fixture(spark, rows), Counter((i, t, s) for i, t, s in rows)
+    docs, odd = fixture(spark, rows).withColumns({"kept_id": F.lit(1), "n": F.lit(2), "copies": F.lit(3), "regions": F.lit("x"), "of": F.lit(0), "score": F.lit(0.5)}), Counter((i, t, s) for i, t, s in rows)
     of = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
 
     words5 = {i: set(zip(*((t or "").split()[k:] for k in range(5)))) for i, t, _ in rows if i is not None}
