@@ -31,7 +31,12 @@ def _row(docs: DataFrame):
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject."""
+    """Documents that the compression classifier doesn't reject.
+
+    Null, empty and tiny texts get the score of the fitted constant, and go or stay together; a text is judged whole, however long.
+    Repeated rows and rows without a doc_id are judged each by its own text. Without labels of both kinds all stay. Columns of any
+    name pass. An empty table stays empty.
+    """
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -39,28 +44,44 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates: links of NEAR % of the five-word shingles.
 
     One row of each doc_id stays, any one where rows with the same doc_id differ. Rows without a doc_id are compared with
-    nothing and all stay.
+    nothing and all stay, as do documents without words, null or empty. Of equal texts the smallest doc_id stays. Columns of any
+    name pass. An empty table stays empty.
     """
     near = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null")
     kept = written(near.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
     repeated = written(kept.where("n > 1"), "repeated")  # ids alone, most often none, so that no other text is shuffled
-    among = lambda ids: docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return among(kept.where("n = 1")).unionByName(among(repeated).dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(_row(docs))  # a column by itself, so that no name of the documents clashes
+    among = lambda ids: rows.join(ids, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
+    one = among(repeated).groupBy(F.col("row.doc_id").alias("of")).agg(F.first("row").alias("row")).select("row")
+    return among(kept.where("n = 1")).unionByName(one).unionByName(rows.where("row.doc_id is null")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay. Repeated rows and rows without a doc_id are judged each by its own whole text. Null
+    items match nothing; with an empty benchmark all stay. Columns of any name pass. An empty table stays empty.
+    """
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A null source is one of the sources. Documents without words, null or empty, are lined up with the rest of their source and
+    taken at its rate, though they add no words; a source without any words is not taken. Repeated rows and rows without a
+    doc_id are each lined up. Columns of any name pass. An empty table stays empty.
+    """
     taken = mixed(docs.select("doc_id", "text", "source", _row(docs)), keep=("row",)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and the slot of each row."""
+    """The shard and the slot of each row: doc_id, lang, source, size, text_crc32, law, shard, slot.
+
+    Equal texts, repeated rows among them, share a shard, as do all null texts. Rows without a doc_id are placed like others. Columns
+    besides these are dropped. An empty table stays empty.
+    """
     placed = sharded(docs.select("doc_id", "text", F.struct("lang", "source").alias("row")), keep=("row",))
     return placed.select("doc_id", "row.lang", "row.source", "size", "text_crc32", "law", "shard", "slot")
 
