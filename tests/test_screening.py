@@ -5,16 +5,19 @@ from __future__ import annotations
 import datetime
 import glob
 import hashlib
+import json
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from vellum.functions import dates, measures, mrz
-from vellum.operators import fusion, ledger, signals
+from vellum.operators import fusion, ledger, rules, signals, text
 from vellum.plans import registry
+from vellum.sources import store
 
 
 def plain(frame):
@@ -77,13 +80,13 @@ def test_measures(spark):
 
 
 def scenario(spark, rows):
-    schema = "doc_id long, pos int, id string, source string, finding_type string, polarity string, severity string, confidence double, field string, region array<int>"
+    schema = "doc_id long, pos int, id string, source string, finding_type string, polarity string, severity string, confidence double, field string, region array<int>, message string"
     items = spark.createDataFrame(rows, schema)
     return fusion.risk(items, fusion.pairs(items)).first()
 
 
 def item(pos, source, polarity, severity, confidence=1.0, field=None, region=None):
-    return (1, pos, f"{source}:{pos}", source, "x", polarity, severity, confidence, field, region)
+    return (1, pos, f"{source}:{pos}", source, "x", polarity, severity, confidence, field, region, f"told {pos}")
 
 
 @pytest.mark.parametrize(
@@ -113,14 +116,237 @@ def test_merkle_root(spark):
         assert value(spark, ledger.merkle_root(held)) == root(leaves)
 
 
-def test_ledger_breaks_where_it_is_changed(spark):
-    tx = registry.renumbered(registry.transactions(spark, SF)).cache()
-    chain = registry.chain(spark, SF).cache()
-    assert ledger.verified(chain, tx).first().ok
-    gone = ledger.verified(chain.where("block_index <> 5"), tx).first()
-    assert (gone.ok, gone.broken_at, gone.reason) == (False, 6, "index")
-    changed = chain.withColumn("timestamp", F.when(F.col("block_index") == 9, "1900-01-01").otherwise(F.col("timestamp")))
-    assert ledger.verified(changed, tx).first().broken_at == 9
+def ledger_of(spark, difficulty=0):
+    rows = [("SCREENING", "clerk" if i % 2 else None, (f"L{i}", i), str(i), "analysis", f"2024-01-{1 + i // 4:02d}T00:00:00", i % 4, 1 + i // 4) for i in range(22)]
+    tx = spark.createDataFrame(rows, "action string, actor string, payload struct<risk_level:string,risk_score:long>, subject_id string, subject_type string, timestamp string, tx_index int, block_index long")
+    tx = ledger.with_hash(tx).cache()
+    return tx, ledger.sealed(ledger.blocks(tx), difficulty=difficulty).cache()
+
+
+def test_ledger_reports_the_first_broken_block(spark):
+    tx, chain = ledger_of(spark)
+    sound = ledger.verified(chain, tx).first()
+    assert (sound.ok, sound.blocks, sound.transactions, sound.broken_at, sound.reason) == (True, 7, 22, None, None)
+    change = lambda c, i, x: chain.withColumn(c, F.when(F.col("block_index") == i, F.lit(x)).otherwise(F.col(c)))
+    swapped = chain.withColumn("block_index", F.when(F.col("block_index") == 3, 4).when(F.col("block_index") == 4, 3).otherwise(F.col("block_index")))
+    cases = {
+        (5, "index"): (chain.where("block_index <> 4"), tx),
+        (1, "index"): (chain.where("block_index <> 0"), tx),
+        (3, "link"): (swapped, tx),
+        (2, "transaction"): (chain, ledger.tampered(tx, 2)),
+        (4, "merkle"): (change("merkle", 4, "0" * 64), tx),
+        (6, "merkle"): (chain, tx.where("not (block_index = 6 and tx_index = 0)")),
+        (5, "hash"): (change("timestamp", 5, "1900-01-01T00:00:00"), tx),
+        (6, "hash"): (change("nonce", 6, 9), tx),
+    }
+    for (at, why), (blocks, held) in cases.items():
+        found = ledger.verified(blocks, held).first()
+        assert (found.ok, found.broken_at, found.reason) == (False, at, why), (at, why, found)
+    both = ledger.verified(change("timestamp", 5, "x"), ledger.tampered(tx, 3)).first()
+    assert (both.broken_at, both.reason) == (3, "transaction")
+    healed = ledger.restored(ledger.tampered(tx, 2), tx.where("block_index = 2"))
+    assert ledger.verified(chain, healed).first().ok
+    none = ledger.verified(chain.where("false"), tx.where("false")).first()
+    assert none.ok and none.head is None and none.blocks == 0
+
+
+def test_ledger_work_and_append(spark):
+    tx, chain = ledger_of(spark, difficulty=2)
+    assert ledger.verified(chain, tx).first().ok and all(r.hash.startswith("00") for r in chain.collect())
+    lazy = ledger_of(spark)[1].withColumn("difficulty", F.lit(1)).where("block_index = 0")
+    assert ledger.verified(lazy, tx.where("false")).first().reason == "hash"
+    rows = ledger.blocks(tx).cache()
+    first = ledger.sealed(rows.where("block_index <= 3"))
+    head = first.orderBy(F.desc("block_index")).first()
+    more = ledger.sealed(rows.where("block_index > 3"), (head.block_index, head.hash))
+    assert sorted(first.unionByName(more).collect()) == sorted(ledger.sealed(rows).collect())
+    gaps = spark.createDataFrame([(k,) for k in (5, 7, 7, 200_000, 3_000_000)], "k long")
+    assert sorted((r.k, r.n) for r in ledger.numbered(gaps, "k", "n", first=1).collect()) == [(5, 1), (7, 2), (7, 2), (200_000, 3), (3_000_000, 4)]
+    content = spark.createDataFrame([(1, None, ("é", None))], "b int, a string, c struct<z:string,y:int>")
+    assert content.select(ledger.canonical(content, "a", "b", "c").alias("j")).first().j == '{"a":null,"b":1,"c":{"y":null,"z":"é"}}'
+
+
+def page_of(spark, rows):
+    """Lines of one document: (text, x, y), 30 high and 12 wide a character."""
+    return spark.createDataFrame([(1, i, t, 0.95, x, y, x + 12 * len(t), y + 30) for i, (t, x, y) in enumerate(rows)], "doc_id long, line_pos int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([("Date of birth 12 APR 1998", 100, 100)], {"date_of_birth": "12 APR 1998"}),
+        ([("Date of issue", 100, 100), ("12 APR 2018", 100, 140), ("Date of expiry", 400, 100), ("11 APR 2028", 400, 140)], {"issue_date": "12 APR 2018", "expiry_date": "11 APR 2028"}),
+        ([("Date of birth", 100, 100), ("12/04/1998", 400, 105)], {"date_of_birth": "12/04/1998"}),
+        ([("12 APR 1998", 100, 20), ("Date of birth", 100, 100)], {}),
+        ([("Date of birth", 100, 100), ("12 APR 1998", 100, 300)], {}),
+        ([("Birth and issue 2018-01-02", 100, 100), ("2019-03-04", 100, 140)], {"date_of_birth": "2018-01-02", "issue_date": "2019-03-04"}),
+        ([("Valid until 1-2-30", 100, 100), ("issued 12 APRIL 2018", 100, 200)], {"expiry_date": "1-2-30"}),
+    ],
+)
+def test_dates_go_to_their_labels(spark, rows, want):
+    assert {r.field: r.value for r in text.labelled_dates(page_of(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("line,name", [("SURNAME: ERIKSSON", "ERIKSSON"), ("Surname / Nom ERIKSSON", "ERIKSSON"), ("Name - ANNA MARIA", "ANNA MARIA"), ("Surname", None), ("Surname Eriksson", None), ("first name ANNA", None), ("SURNAME ERIKSSON", "SURNAME ERIKSSON")])
+def test_names(spark, line, name):
+    found = {r.field: r.value for r in text.labelled_texts(page_of(spark, [(line, 0, 0)])).collect()}
+    assert found.get("name") == name
+
+
+L1, L2 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
+SERIAL = "SERIAL0123456789012345678"
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([L1, L2], (L1, L2)), ([L1, L2, SERIAL], (L1, L2)), ([L1 + L2], (L1, L2)), ([L1 + L2, SERIAL], (L1 + L2, SERIAL)), ([SERIAL], (SERIAL, None)),
+        ([f"{L1[:20]} {L1[20:]}".lower(), L2], (L1, L2)), ([SERIAL, L1, SERIAL + "X"], (L1, SERIAL + "X")), (["P<UTO PASSPORT"], None),
+    ],
+)
+def test_zone_lines(spark, rows, want):
+    found = text.mrz_pair(text.mrz_candidates(page_of(spark, [(t, 10, 900 + 40 * i) for i, t in enumerate(rows)]))).collect()
+    assert ((found[0].line1, found[0].line2) if found else None) == want
+    if rows == [L1, L2]:
+        assert found[0].zone_box == [10, 900, 10 + 12 * 44, 970]
+
+
+def test_fields_fall_back_to_the_zone(spark):
+    page = page_of(spark, [("PASSPORT NO L898902", 0, 0), ("Date of birth 12 AUG 1974", 0, 50), (L1, 0, 900), (L2, 0, 940)])
+    zone = mrz.with_mrz(text.mrz_pair(text.mrz_candidates(page)))
+    found = {r.field: (r.value, r.source, r.confidence) for r in text.fields(page, zone).collect()}
+    assert found == {
+        "document_number": ("L898902", "visual", 0.95), "date_of_birth": ("12 AUG 1974", "visual", 0.95), "nationality": ("UTO", "mrz", 0.9),
+        "name": ("ANNA MARIA ERIKSSON", "mrz", 0.9), "expiry_date": ("120415", "mrz", 0.9),
+    }
+    kinds = [text.classified(p, text.mrz_pair(text.mrz_candidates(p))).first().confidence for p in (page, page.where("line_pos < 2"), page.where("line_pos = 1"))]
+    assert kinds == [0.98, 0.85, 0.40]
+
+
+def test_recognised_words(spark):
+    raw = [(1, 0, 1, 0, 0, "one", 90, 5, 5, 10, 10), (1, 1, 0, 0, 0, " two ", 250, 0, 0, 10, 10), (1, 2, 1, 0, 0, " ", 90, 0, 0, 1, 1), (1, 3, 1, 0, 0, "gone", -1, 0, 0, 1, 1), (1, 4, 1, 0, 0, "three", 0, 0, 0, 1, 1)]
+    found = text.recognised_words(spark.createDataFrame(raw, "doc_id long, seq int, block int, par int, line int, text string, conf int, x int, y int, w int, h int"))
+    assert sorted((r.line_id, r.text, r.confidence, r.x2) for r in found.collect()) == [(0, "one", 0.9, 15), (0, "three", 0.0, 1), (1, "two", 1.0, 10)]
+
+
+GOOD = {
+    "document_number": "L898902C3", "number_source": "visual", "nationality": "UTO", "nationality_source": "visual", "name": "ANNA MARIA ERIKSSON", "name_source": "visual", "date_of_birth": "12 AUG 1974", "dob_source": "visual",
+    "issue_date": "15 APR 2002", "issue_source": "visual", "expiry_date": "15 APR 2012", "expiry_source": "visual", "line1": L1, "line2": L2,
+}
+
+
+def judged(spark, **changes):
+    row = {"doc_id": 1, **GOOD, **changes}
+    docs = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if k == 'doc_id' else 'string'}" for k in row))
+    return [(r.rule_id, r.status, r.severity) for r in rules.findings(rules.prepared(docs, "2010-01-01")).orderBy("pos").collect()]
+
+
+def test_a_sound_document_has_thirty_passes(spark):
+    found = judged(spark)
+    assert len(found) == 30 and all(x[1:] == ("PASS", "INFO") for x in found)
+    assert [x[0] for x in found if x[0].startswith("CONSISTENCY")] == [f"CONSISTENCY_{c}" for c in ("NAME", "DOB", "DOCUMENT_NUMBER", "NATIONALITY", "EXPIRY")]
+
+
+@pytest.mark.parametrize(
+    "changes,want",
+    [
+        ({"name": "ERIKSSON"}, ("CONSISTENCY_NAME", "PASS", "INFO")),
+        ({"name": "ANNA ANNA ERIKSSON"}, ("CONSISTENCY_NAME", "FAIL", "HIGH")),
+        ({"name": "ANNA-MARIA ERIKSSON"}, ("CONSISTENCY_NAME", "FAIL", "HIGH")),
+        ({"name_source": "mrz"}, ("CONSISTENCY_NAME", "NOT_APPLICABLE", "INFO")),
+        ({"document_number": "L898902"}, ("CONSISTENCY_DOCUMENT_NUMBER", "WARNING", "LOW")),
+        ({"document_number": "--"}, ("CONSISTENCY_DOCUMENT_NUMBER", "FAIL", "HIGH")),
+        ({"document_number": "l 898902-c3"}, ("CONSISTENCY_DOCUMENT_NUMBER", "PASS", "INFO")),
+        ({"number_source": "mrz"}, ("CONSISTENCY_DOCUMENT_NUMBER", "NOT_APPLICABLE", "INFO")),
+        ({"nationality": "u-t-o"}, ("CONSISTENCY_NATIONALITY", "PASS", "INFO")),
+        ({"nationality_source": "mrz"}, ("CONSISTENCY_NATIONALITY", "NOT_APPLICABLE", "INFO")),
+        ({"expiry_date": "16 APR 2012"}, ("CONSISTENCY_EXPIRY", "FAIL", "HIGH")),
+        ({"expiry_date": "soon"}, ("CONSISTENCY_EXPIRY", "FAIL", "MEDIUM")),
+        ({"expiry_date": "120415", "expiry_source": "mrz"}, ("CONSISTENCY_EXPIRY", "NOT_APPLICABLE", "INFO")),
+        ({"expiry_date": "120415", "expiry_source": "mrz"}, ("DATE_VALID_EXPIRY_DATE", "PASS", "INFO")),
+        ({"issue_date": "16 APR 2012"}, ("DATE_ISSUE_BEFORE_EXPIRY", "FAIL", "HIGH")),
+        ({"line1": None, "line2": None}, ("CONSISTENCY_MRZ", "NOT_APPLICABLE", "INFO")),
+        ({"line2": L2[1:] + "<"}, ("MRZ_UNRELIABLE", "WARNING", "MEDIUM")),
+        ({"date_of_birth": None}, ("REQUIRED_DATE_OF_BIRTH", "FAIL", "MEDIUM")),
+    ],
+)
+def test_rules_on_changed_documents(spark, changes, want):
+    assert want in judged(spark, **changes)
+
+
+def test_correlations_of_all_kinds(spark):
+    schema = "doc_id long, pos int, id string, source string, finding_type string, polarity string, severity string, confidence double, field string, region array<int>, message string"
+    kinds = lambda rows: [(r.type, r.field, r.ids) for r in (lambda i: fusion.correlations(i, fusion.pairs(i)))(spark.createDataFrame(rows, schema)).orderBy("pos").collect()]
+    face = item(9, "biometrics", "CONCERN", "CRITICAL", 0.95, "identity")
+    calm = [item(0, "rules", "REASSURING", "INFO"), item(5, "forensics", "REASSURING", "INFO")]
+    assert kinds(calm) == [("CONSISTENCY", None, ["rules:0", "forensics:5"])]
+    assert kinds([*calm, face]) == [("CONTRADICTION", "identity", ["biometrics:9"])]
+    assert kinds([item(0, "rules", "CONCERN", "LOW", field="name"), face]) == []
+    both = [item(0, "rules", "CONCERN", "HIGH", 1.0, "photo", [100, 300, 400, 340]), item(1, "forensics", "CONCERN", "HIGH", 0.85, "photo", [110, 305, 390, 338]), item(2, "biometrics", "REASSURING", "INFO", 0.95, "photo")]
+    assert kinds(both) == [("CORROBORATION", "photo", ["rules:0", "forensics:1"]), ("CONTRADICTION", "photo", ["rules:0", "biometrics:2"]), ("CONTRADICTION", "photo", ["forensics:1", "biometrics:2"])]
+    items = spark.createDataFrame(both, schema)
+    linked = fusion.pairs(items)
+    told = fusion.explained(items, fusion.correlations(items, linked), fusion.risk(items, linked)).first()
+    assert told.primary_concern == "[rules] told 0" and told.based_on == ["rules:0", "forensics:1", "rules:0+forensics:1"] and told.targets == ["rules:0", "forensics:1"]
+    assert told.reasons == ["[rules] told 0", "[forensics] told 1", "Multiple independent engines identify corroborating inconsistencies.", "Some engines were unavailable (biometrics); their evidence is unknown, not clean."]
+    assert told.reasoning[1] == "forensics found 'x' on photo (severity HIGH, confidence 0.85) → contributed 18.5 points." and len(told.reasoning) == 7
+
+
+def test_missing_layers_and_errors_are_neutral(spark):
+    layers = spark.createDataFrame([(1, 1, "a", "calibration_missing", False, "high", 0.5, None, "ok"), (1, 2, "b", "normal", False, "high", 0.5, None, "ok"), (1, 3, "c", "x_anomaly", False, "odd", 0.5, [1, 2, 3, 4], "ok")], "doc_id long, layer int, layer_name string, finding_type string, passed boolean, severity string, confidence double, region array<int>, status string")
+    found = fusion.forensic_items(layers, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert sorted((r.doc_id, r.id, r.polarity, r.severity, r.field) for r in found.collect()) == [(1, "forensics:a", "NEUTRAL", "INFO", None), (1, "forensics:b", "REASSURING", "INFO", None), (1, "forensics:c", "CONCERN", "MEDIUM", "photo"), (2, "forensics:unavailable", "NEUTRAL", "INFO", None)]
+
+
+def test_every_value_counts_in_a_histogram(spark):
+    rows = spark.createDataFrame([("a", x) for x in (-5.0, 0.0, 250.0, 500.0, 900.0, float("nan"), None)], "k string, v double")
+    assert sorted((r.bin, r.share) for r in signals.histogram(rows, "k", "v", 0.0, 500.0).collect()) == [(0, 0.4), (128, 0.2), (255, 0.4)]
+
+
+def test_percentile_and_mahalanobis(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 2]]) + 3
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double")
+    for q in (0.0, 0.33, 0.95, 1.0):
+        assert signals.percentile(rows, "a", q) == pytest.approx(np.percentile(x[:, 0], 100 * q))
+    assert signals.percentile(rows.where("false"), "a", 0.5) is None
+    inverse = np.linalg.pinv(np.cov(x, rowvar=False) + 1e-6 * np.eye(3))
+    far = [float(np.sqrt(d @ inverse @ d)) for d in x - x.mean(axis=0)]
+    mean, found, threshold = signals.colour_baseline(rows, ["a", "b", "c"])
+    assert threshold == pytest.approx(np.percentile(far, 95))
+    got = {r.i: r.d for r in rows.select("i", signals.mahalanobis(["a", "b", "c"], mean, found).alias("d")).collect()}
+    assert [got[i] for i in range(400)] == pytest.approx(far)
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "sha256 string, n int")
+    assert [store.append_new(rows, f"{tmp_path}/files", "sha256") for _ in range(2)] == [2, 0]
+    assert store.append_new(spark.createDataFrame([("c", 3), ("a", 9)], rows.schema), f"{tmp_path}/files", "sha256") == 1
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/files").collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    store.save_json(rows, f"{tmp_path}/json", "sha256")
+    assert spark.read.json(f"{tmp_path}/json").count() == 3
+    for name in ("b.JPG", "a.png", "c.txt", "d.tif"):
+        (tmp_path / "img").mkdir(exist_ok=True)
+        (tmp_path / "img" / name).write_bytes(b"123")
+    assert [(r.name, r.media_type, r.length) for r in store.image_files(spark, f"{tmp_path}/img").collect()] == [("a.png", "image/png", 3), ("b.JPG", "image/jpeg", 3), ("d.tif", "image/tiff", 3)]
+    assert [r.name for r in store.image_files(spark, f"{tmp_path}/img").where("media_type = 'image/jpeg'").collect()] == ["b.JPG"]
+
+
+def test_calibration_is_never_made_anew(spark, tmp_path):
+    def made(where, **meta):
+        for name in ("intensity", "texture"):
+            spark.createDataFrame([([1.0, 2.0],)], "bins array<double>").write.parquet(f"{tmp_path}/{where}/{name}")
+        (tmp_path / where / "metadata").mkdir()
+        (tmp_path / where / "metadata" / "m.json").write_text(json.dumps(meta))
+        return f"{tmp_path}/{where}"
+
+    assert signals.calibration(spark, made("good", algorithm_version="2", artifacts_locked=True), "2").count() == 2
+    with pytest.raises(RuntimeError):
+        signals.calibration(spark, made("old", algorithm_version="1", artifacts_locked=True), "2")
+    with pytest.raises(RuntimeError):
+        signals.calibration(spark, made("open", algorithm_version="2", artifacts_locked=False), "2")
+    with pytest.raises(FileNotFoundError):
+        signals.calibration(spark, f"{tmp_path}/none", "2")
 
 
 def test_faces(spark):

@@ -14,30 +14,52 @@ DATES = ("date_of_birth", "issue_date", "expiry_date")
 CHECKS = {"NUMBER": "document_number", "DOB": "date_of_birth", "EXPIRY": "expiry_date", "OPTIONAL": "optional", "COMPOSITE": "composite"}
 
 
+#: What each type of document must have; other types are held to the passport's.
+REQUIRED_BY_TYPE = {"passport": (*REQUIRED, "mrz")}
+
+
+def missing_fields(typed: DataFrame, present: DataFrame) -> DataFrame:
+    """(doc_id, type) and (doc_id, field) to the (doc_id, field) that the type requires and the document lacks. The requirements are
+    a table of a row a type, which is broadcast."""
+    spark = typed.sparkSession
+    need = spark.createDataFrame([(t, list(f)) for t, f in REQUIRED_BY_TYPE.items()], "type string, need array<string>")
+    default = F.array(*map(F.lit, REQUIRED_BY_TYPE["passport"]))
+    wanted = typed.join(F.broadcast(need), "type", "left").select("doc_id", F.explode(F.coalesce("need", default)).alias("field"))
+    return wanted.join(present.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
+
+
 def prepared(docs: DataFrame, as_of: str) -> DataFrame:
     """Adds the parsed zone, dates and normalised values that rules look at, each computed once per document."""
     docs = with_mrz(docs)
     day = F.lit(as_of).cast("date")
     value = lambda c: F.nullif(F.trim(c), F.lit(""))
-    tokens = lambda c: F.array_sort(F.filter(F.split(F.upper(c), "[^A-Z]+"), lambda t: t != ""))
+    tokens = lambda c: F.filter(F.split(F.upper(c), r"\s+"), lambda t: t != "")
+    visual = lambda c, source: F.when(F.col(source) == "visual", value(F.col(c)))
+    usable = lambda c, source: F.col(c).isNotNull() & ((F.col(source) != "mrz") | ~F.col("has_mrz") | F.col("reliable"))
+    read = lambda c, source, expiry: F.when(F.col(source) == "mrz", parse_mrz_date(F.col(c), day, expiry)).otherwise(parse_date(F.col(c)))
     ident = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    dob = F.when(F.col("dob_source") == "mrz", parse_mrz_date(F.col("date_of_birth"), day, False)).otherwise(parse_date(F.col("date_of_birth")))
     return docs.withColumns(
         {
             "as_of": day,
-            "dob_usable": F.col("date_of_birth").isNotNull() & ((F.col("dob_source") != "mrz") | ~F.col("has_mrz") | F.col("reliable")),
-            "dob_date": dob,
-            "issue_day": parse_date(F.col("issue_date")),
-            "expiry_day": parse_date(F.col("expiry_date")),
+            "dob_usable": usable("date_of_birth", "dob_source"),
+            "issue_usable": usable("issue_date", "issue_source"),
+            "expiry_usable": usable("expiry_date", "expiry_source"),
+            "dob_date": read("date_of_birth", "dob_source", False),
+            "issue_day": read("issue_date", "issue_source", False),
+            "expiry_day": read("expiry_date", "expiry_source", True),
             "zone_dob": parse_mrz_date(F.col("mrz_dob"), day, False),
             "zone_expiry": parse_mrz_date(F.col("mrz_expiry"), day, True),
             "v_nationality": value(F.col("nationality")),
             "v_number": value(F.col("document_number")),
-            "v_name": value(F.col("name")),
-            "v_dob": F.when(F.col("dob_source") == "visual", value(F.col("date_of_birth"))),
-            "v_expiry": value(F.col("expiry_date")),
+            "own_number": visual("document_number", "number_source"),
+            "own_name": visual("name", "name_source"),
+            "own_dob": visual("date_of_birth", "dob_source"),
+            "own_expiry": visual("expiry_date", "expiry_source"),
+            "own_nationality": visual("nationality", "nationality_source"),
             "name_tokens": tokens(F.col("name")),
             "zone_tokens": tokens(F.concat_ws(" ", "given", "surname")),
+            "id_nationality": ident(F.col("nationality")),
+            "zone_nationality": ident(F.col("mrz_nationality")),
             "id_number": ident(F.col("document_number")),
             "zone_number": ident(F.col("mrz_number")),
         }
@@ -50,20 +72,20 @@ def _finding(rule: str, category: str, field: str, when: Column, status: Column,
     return F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(field).alias("field"), status.alias("status"), low.alias("severity")))
 
 
-def findings(docs: DataFrame) -> DataFrame:
+def findings(docs: DataFrame, kind: str = "passport") -> DataFrame:
     """(doc_id, pos, rule_id, category, field, status, severity) of ``prepared`` documents, in catalogue order."""
     c, yes = F.col, F.lit(True)
     ok = lambda good, bad: F.when(F.coalesce(good, F.lit(False)), "PASS").otherwise(bad)
     sev = F.lit
     has, good = c("has_mrz"), c("reliable")
-    dob_use = c("dob_usable")
-    dob, issue, expiry = F.when(dob_use, c("dob_date")), c("issue_day"), c("expiry_day")
+    uses = (c("dob_usable"), c("issue_usable"), c("expiry_usable"))
+    dob, issue, expiry = (F.when(use, c(day)) for use, day in zip(uses, ("dob_date", "issue_day", "expiry_day")))
     out = [_finding(f"REQUIRED_{f.upper()}", "required_field", f, yes, ok(F.trim(c(f)) != "", "FAIL"), sev("MEDIUM")) for f in REQUIRED]
     out.append(_finding("REQUIRED_MRZ", "required_field", "mrz", yes, ok(has, "WARNING"), sev("MEDIUM")))
     out += [_finding(f"FORMAT_NONEMPTY_{f.upper()}", "format", f, c(f).isNotNull() & (F.trim(c(f)) == ""), F.lit("FAIL"), sev("LOW")) for f in REQUIRED]
     out.append(_finding("FORMAT_NATIONALITY", "format", "nationality", c("v_nationality").isNotNull(), ok(F.upper("v_nationality").rlike("^[A-Z]{3}$"), "WARNING"), sev("LOW")))
     out.append(_finding("FORMAT_DOCUMENT_NUMBER_GENERIC", "format", "document_number", c("v_number").isNotNull(), ok(c("v_number").rlike(r"^[A-Za-z0-9\- ]{4,20}$"), "WARNING"), sev("LOW")))
-    for field, use, day in zip(DATES, (dob_use, c("issue_date").isNotNull(), c("expiry_date").isNotNull()), (dob, issue, expiry)):
+    for field, use, day in zip(DATES, uses, (dob, issue, expiry)):
         out.append(_finding(f"DATE_VALID_{field.upper()}", "date", field, use, ok(day.isNotNull(), "FAIL"), sev("HIGH")))
     out.append(_finding("DATE_ISSUE_BEFORE_EXPIRY", "date", "issue_date", issue.isNotNull() & expiry.isNotNull(), ok(issue < expiry, "FAIL"), sev("HIGH")))
     out.append(_finding("DATE_EXPIRY_STATUS", "date", "expiry_date", expiry.isNotNull(), ok(expiry >= c("as_of"), "WARNING"), sev("LOW")))
@@ -76,16 +98,22 @@ def findings(docs: DataFrame) -> DataFrame:
         out.append(_finding(f"MRZ_CHECK_{name}", "mrz", field, good & hit.isNotNull(), ok(hit, "FAIL"), sev("HIGH")))
     out.append(_finding("CONSISTENCY_MRZ", "consistency", "mrz", ~good, F.lit("NOT_APPLICABLE"), sev("INFO")))
     both = lambda a, b, status: F.when(a.isNull() | b.isNull() | (b == ""), "NOT_APPLICABLE").otherwise(status)
-    subset = F.size(F.array_except("name_tokens", "zone_tokens")) == 0
-    out.append(_finding("CONSISTENCY_NAME", "consistency", "name", good, both(c("v_name"), F.concat("given", "surname"), ok(subset, "FAIL")), sev("HIGH")))
-    for rule, field, text, day, zone in (("DOB", "date_of_birth", "v_dob", c("dob_date"), c("zone_dob")), ("EXPIRY", "expiry_date", "v_expiry", expiry, c("zone_expiry"))):
+    times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+    within = (F.size("name_tokens") > 0) & F.forall("name_tokens", lambda t: times("name_tokens", t) <= times("zone_tokens", t))
+    out.append(_finding("CONSISTENCY_NAME", "consistency", "name", good, both(c("own_name"), F.concat("given", "surname"), ok(within, "FAIL")), sev("HIGH")))
+
+    def same_day(rule: str, field: str, text: str, day: Column, zone: Column) -> Column:
         status = F.when(c(text).isNull() | zone.isNull(), "NOT_APPLICABLE").otherwise(ok(day == zone, "FAIL"))
-        out.append(_finding(f"CONSISTENCY_{rule}", "consistency", field, good, status, F.when(day.isNull(), "MEDIUM").otherwise("HIGH")))
-    cut = c("id_number").startswith(c("zone_number")) | c("zone_number").startswith(c("id_number"))
+        return _finding(f"CONSISTENCY_{rule}", "consistency", field, good, status, F.when(day.isNull(), "MEDIUM").otherwise("HIGH"))
+
+    out.append(same_day("DOB", "date_of_birth", "own_dob", c("dob_date"), c("zone_dob")))
     same = c("id_number") == c("zone_number")
-    number = both(c("v_number"), c("zone_number"), F.when(same, "PASS").when(cut, "WARNING").otherwise("FAIL"))
+    cut = (c("id_number") != "") & (c("zone_number") != "") & (c("id_number").startswith(c("zone_number")) | c("zone_number").startswith(c("id_number")))
+    number = both(c("own_number"), c("mrz_number"), F.when(same, "PASS").when(cut, "WARNING").otherwise("FAIL"))
     out.append(_finding("CONSISTENCY_DOCUMENT_NUMBER", "consistency", "document_number", good, number, F.when(cut, "LOW").otherwise("HIGH")))
-    out.append(_finding("CONSISTENCY_NATIONALITY", "consistency", "nationality", good, both(c("v_nationality"), c("mrz_nationality"), ok(F.upper("v_nationality") == c("mrz_nationality"), "FAIL")), sev("MEDIUM")))
+    nation = both(c("own_nationality"), c("mrz_nationality"), ok(c("id_nationality") == c("zone_nationality"), "FAIL"))
+    out.append(_finding("CONSISTENCY_NATIONALITY", "consistency", "nationality", good, nation, sev("MEDIUM")))
+    out.append(same_day("EXPIRY", "expiry_date", "own_expiry", c("expiry_day"), c("zone_expiry")))
     out.append(_finding("PASSPORT_DOC_NUMBER_FORMAT", "passport", "document_number", c("v_number").isNotNull(), ok(c("id_number").rlike("^[A-Z0-9]{1,9}$"), "WARNING"), sev("MEDIUM")))
     out.append(_finding("PASSPORT_MRZ_FORMAT", "passport", "mrz", has, ok(c("two_lines"), "WARNING"), sev("MEDIUM")))
     out.append(_finding("PASSPORT_MRZ_TYPE", "passport", "mrz", good, ok(c("mrz_type") == "P", "WARNING"), sev("MEDIUM")))
@@ -111,16 +139,21 @@ _ZONE = "CASE WHEN regexp_full_match({0}, '[0-9]{{6}}') THEN CAST(try_strptime({
 def sql_prepared(as_of: str) -> str:
     """Continues the SQL of the documents with relation ``r``."""
     ident = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
-    tokens = "list_filter(regexp_split_to_array(upper({0}), '[^A-Z]+'), lambda t: t <> '')"
+    tokens = "list_filter(regexp_split_to_array(upper({0}), '\\s+'), lambda t: t <> '')"
+    usable = "{0} IS NOT NULL AND ({1} <> 'mrz' OR NOT has_mrz OR reliable)"
+    visual = "CASE WHEN {1} = 'visual' THEN nullif(trim({0}), '') END"
     born = f"CASE WHEN 2000 + try_cast(substr({{0}}, 1, 2) AS INTEGER) > year(DATE '{as_of}') THEN '19' ELSE '20' END"
-    return f""", r AS (SELECT *, DATE '{as_of}' AS as_of,
-  date_of_birth IS NOT NULL AND (dob_source <> 'mrz' OR NOT has_mrz OR reliable) AS dob_usable,
+    return f""", r AS MATERIALIZED (SELECT *, DATE '{as_of}' AS as_of,
+  {usable.format("date_of_birth", "dob_source")} AS dob_usable, {usable.format("issue_date", "issue_source")} AS issue_usable, {usable.format("expiry_date", "expiry_source")} AS expiry_usable,
   CASE WHEN dob_source = 'mrz' THEN {_ZONE.format("date_of_birth", born.format("date_of_birth"))} ELSE {_DATE.format("date_of_birth")} END AS dob_date,
-  {_DATE.format("issue_date")} AS issue_day, {_DATE.format("expiry_date")} AS expiry_day,
+  {_DATE.format("issue_date")} AS issue_day,
+  CASE WHEN expiry_source = 'mrz' THEN {_ZONE.format("expiry_date", "'20'")} ELSE {_DATE.format("expiry_date")} END AS expiry_day,
   {_ZONE.format("mrz_dob", born.format("mrz_dob"))} AS zone_dob, {_ZONE.format("mrz_expiry", "'20'")} AS zone_expiry,
-  nullif(trim(nationality), '') AS v_nationality, nullif(trim(document_number), '') AS v_number, nullif(trim(name), '') AS v_name,
-  CASE WHEN dob_source = 'visual' THEN nullif(trim(date_of_birth), '') END AS v_dob, nullif(trim(expiry_date), '') AS v_expiry,
+  nullif(trim(nationality), '') AS v_nationality, nullif(trim(document_number), '') AS v_number,
+  {visual.format("document_number", "number_source")} AS own_number, {visual.format("name", "name_source")} AS own_name, {visual.format("date_of_birth", "dob_source")} AS own_dob,
+  {visual.format("expiry_date", "expiry_source")} AS own_expiry, {visual.format("nationality", "nationality_source")} AS own_nationality,
   {tokens.format("name")} AS name_tokens, {tokens.format("given || ' ' || surname")} AS zone_tokens,
+  {ident.format("nationality")} AS id_nationality, {ident.format("mrz_nationality")} AS zone_nationality,
   {ident.format("document_number")} AS id_number, {ident.format("mrz_number")} AS zone_number FROM mrz)"""
 
 
@@ -137,29 +170,36 @@ def sql_findings() -> str:
         add(f"FORMAT_NONEMPTY_{f.upper()}", "format", f, f"trim({f}) = ''", "'FAIL'", "'LOW'")
     add("FORMAT_NATIONALITY", "format", "nationality", "v_nationality IS NOT NULL", ok("regexp_full_match(upper(v_nationality), '[A-Z]{3}')", "WARNING"), "'LOW'")
     add("FORMAT_DOCUMENT_NUMBER_GENERIC", "format", "document_number", "v_number IS NOT NULL", ok("regexp_full_match(v_number, '[A-Za-z0-9 -]{4,20}')", "WARNING"), "'LOW'")
-    dob = "(CASE WHEN dob_usable THEN dob_date END)"
-    for f, use, day in zip(DATES, ("dob_usable", "issue_date IS NOT NULL", "expiry_date IS NOT NULL"), (dob, "issue_day", "expiry_day")):
+    uses = ("dob_usable", "issue_usable", "expiry_usable")
+    dob, issue, expiry = (f"(CASE WHEN {use} THEN {day} END)" for use, day in zip(uses, ("dob_date", "issue_day", "expiry_day")))
+    for f, use, day in zip(DATES, uses, (dob, issue, expiry)):
         add(f"DATE_VALID_{f.upper()}", "date", f, use, ok(f"{day} IS NOT NULL", "FAIL"), "'HIGH'")
-    add("DATE_ISSUE_BEFORE_EXPIRY", "date", "issue_date", "issue_day IS NOT NULL AND expiry_day IS NOT NULL", ok("issue_day < expiry_day", "FAIL"), "'HIGH'")
-    add("DATE_EXPIRY_STATUS", "date", "expiry_date", "expiry_day IS NOT NULL", ok("expiry_day >= as_of", "WARNING"), "'LOW'")
-    add("DATE_DOB_BEFORE_ISSUE", "date", "date_of_birth", f"{dob} IS NOT NULL AND issue_day IS NOT NULL", ok(f"{dob} < issue_day", "FAIL"), "'HIGH'")
+    add("DATE_ISSUE_BEFORE_EXPIRY", "date", "issue_date", f"{issue} IS NOT NULL AND {expiry} IS NOT NULL", ok(f"{issue} < {expiry}", "FAIL"), "'HIGH'")
+    add("DATE_EXPIRY_STATUS", "date", "expiry_date", f"{expiry} IS NOT NULL", ok(f"{expiry} >= as_of", "WARNING"), "'LOW'")
+    add("DATE_DOB_BEFORE_ISSUE", "date", "date_of_birth", f"{dob} IS NOT NULL AND {issue} IS NOT NULL", ok(f"{dob} < {issue}", "FAIL"), "'HIGH'")
     add("MRZ_PRESENT", "mrz", "mrz", "NOT has_mrz", "'WARNING'", "'MEDIUM'")
     add("MRZ_STRUCTURE", "mrz", "mrz", "has_mrz", ok("two_lines", "FAIL"), "'MEDIUM'")
     add("MRZ_UNRELIABLE", "mrz", "mrz", "two_lines AND NOT reliable", "'WARNING'", "'MEDIUM'")
     for name, f in CHECKS.items():
         add(f"MRZ_CHECK_{name}", "mrz", f, f"reliable AND ok_{name.lower()} IS NOT NULL", ok(f"ok_{name.lower()}", "FAIL"), "'HIGH'")
     add("CONSISTENCY_MRZ", "consistency", "mrz", "NOT reliable", "'NOT_APPLICABLE'", "'INFO'")
-    add("CONSISTENCY_NAME", "consistency", "name", "reliable", both("v_name", "(given || surname)", ok("list_has_all(zone_tokens, name_tokens)", "FAIL")), "'HIGH'")
-    for rule, f, text, day, zone in (("DOB", "date_of_birth", "v_dob", "dob_date", "zone_dob"), ("EXPIRY", "expiry_date", "v_expiry", "expiry_day", "zone_expiry")):
+    times = "len(list_filter({0}, lambda x: x = t))"
+    within = f"len(name_tokens) > 0 AND len(list_filter(name_tokens, lambda t: {times.format('name_tokens')} > {times.format('zone_tokens')})) = 0"
+    add("CONSISTENCY_NAME", "consistency", "name", "reliable", both("own_name", "(given || surname)", ok(within, "FAIL")), "'HIGH'")
+
+    def same_day(rule: str, f: str, text: str, day: str, zone: str) -> None:
         add(f"CONSISTENCY_{rule}", "consistency", f, "reliable", f"CASE WHEN {text} IS NULL OR {zone} IS NULL THEN 'NOT_APPLICABLE' ELSE {ok(f'{day} = {zone}', 'FAIL')} END", f"CASE WHEN {day} IS NULL THEN 'MEDIUM' ELSE 'HIGH' END")
-    cut = "(starts_with(id_number, zone_number) OR starts_with(zone_number, id_number))"
-    add("CONSISTENCY_DOCUMENT_NUMBER", "consistency", "document_number", "reliable", both("v_number", "zone_number", f"CASE WHEN id_number = zone_number THEN 'PASS' WHEN {cut} THEN 'WARNING' ELSE 'FAIL' END"), f"CASE WHEN {cut} THEN 'LOW' ELSE 'HIGH' END")
-    add("CONSISTENCY_NATIONALITY", "consistency", "nationality", "reliable", both("v_nationality", "mrz_nationality", ok("upper(v_nationality) = mrz_nationality", "FAIL")), "'MEDIUM'")
+
+    same_day("DOB", "date_of_birth", "own_dob", "dob_date", "zone_dob")
+    cut = "(id_number <> '' AND zone_number <> '' AND (starts_with(id_number, zone_number) OR starts_with(zone_number, id_number)))"
+    add("CONSISTENCY_DOCUMENT_NUMBER", "consistency", "document_number", "reliable", both("own_number", "mrz_number", f"CASE WHEN id_number = zone_number THEN 'PASS' WHEN {cut} THEN 'WARNING' ELSE 'FAIL' END"), f"CASE WHEN {cut} THEN 'LOW' ELSE 'HIGH' END")
+    add("CONSISTENCY_NATIONALITY", "consistency", "nationality", "reliable", both("own_nationality", "mrz_nationality", ok("id_nationality = zone_nationality", "FAIL")), "'MEDIUM'")
+    same_day("EXPIRY", "expiry_date", "own_expiry", "expiry_day", "zone_expiry")
     add("PASSPORT_DOC_NUMBER_FORMAT", "passport", "document_number", "v_number IS NOT NULL", ok("regexp_full_match(id_number, '[A-Z0-9]{1,9}')", "WARNING"), "'MEDIUM'")
     add("PASSPORT_MRZ_FORMAT", "passport", "mrz", "has_mrz", ok("two_lines", "WARNING"), "'MEDIUM'")
     add("PASSPORT_MRZ_TYPE", "passport", "mrz", "reliable", ok("mrz_type = 'P'", "WARNING"), "'MEDIUM'")
     add("PASSPORT_MRZ_SEX", "passport", "sex", "reliable", ok("mrz_sex IN ('M', 'F', 'X', '<', '')", "WARNING"), "'LOW'")
     union = "\nUNION ALL ".join(f"SELECT doc_id, {i} AS o, '{rule}' AS rule_id, '{cat}' AS category, '{f}' AS field, {status} AS status, {sev} AS s FROM r WHERE {when}" for i, (rule, cat, f, when, status, sev) in enumerate(rows))
-    return f""", raw AS ({union}), f AS (
+    return f""", raw AS ({union}), f AS MATERIALIZED (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS pos, rule_id, category, field, status,
     CASE WHEN status IN ('PASS', 'NOT_APPLICABLE') THEN 'INFO' ELSE s END AS severity FROM raw)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import dates, measures, mrz
 from vellum.operators import fusion, ledger, rules, signals, text
-from vellum.sources import synth, workload
+from vellum.sources import store, synth, workload
 from vellum.sources.synth import AS_OF, table
 from vellum.streaming import ingest
 
@@ -28,21 +28,73 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _kept(label: str) -> Callable[[Query], Query]:
+    """A table that the application builds once over a folder, as a deployment stores it, and reads from then on."""
+
+    def wrap(f: Query) -> Query:
+        return lambda spark, d: store.kept(spark, d, label, lambda: f(spark, d))
+
+    return wrap
+
+
+# The chain of tables: words, lines, zones, fields, documents, findings, evidence ------------------
+@_kept("identities")
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    return synth.identity_documents(spark, d)
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    return workload.page_words(identities(spark, d))
+
+
+@_kept("lines")
+def page(spark: SparkSession, d: str) -> DataFrame:
+    return text.lines(words(spark, d))
+
+
+@_kept("zones")
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    return text.mrz_pair(text.mrz_candidates(page(spark, d)))
+
+
+@_kept("fields")
+def fields(spark: SparkSession, d: str) -> DataFrame:
+    return text.fields(page(spark, d), mrz.with_mrz(zones(spark, d)))
+
+
+@_kept("documents")
+def plain_documents(spark: SparkSession, d: str) -> DataFrame:
+    return text.documents(page(spark, d).select("doc_id").distinct(), fields(spark, d), zones(spark, d))
+
+
+@_kept("prepared")
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return rules.prepared(synth.identity_documents(spark, d), AS_OF)
+    return rules.prepared(plain_documents(spark, d), AS_OF)
 
 
+@_kept("findings")
 def found(spark: SparkSession, d: str) -> DataFrame:
     return rules.findings(documents(spark, d))
 
 
+@_kept("evidence")
 def items(spark: SparkSession, d: str) -> DataFrame:
-    docs = synth.identity_documents(spark, d)
-    return fusion.evidence(fusion.rule_items(found(spark, d)), fusion.forensic_items(workload.forensic_layers(spark, d)), fusion.biometric_items(workload.face_checks(spark, d)), fusion.ocr_items(docs))
+    ids = plain_documents(spark, d).select("doc_id")
+    return fusion.evidence(
+        fusion.rule_items(found(spark, d), text.regions(fields(spark, d), zones(spark, d))), fusion.forensic_items(workload.forensic_layers(spark, d), ids),
+        fusion.biometric_items(workload.face_checks(spark, d)), fusion.ocr_items(text.mean_confidence(ids, words(spark, d))),
+    )
+
 
+@_kept("pairs")
+def linked(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.pairs(items(spark, d))
 
-_MRZ = synth.SQL
-_RULES = synth.SQL + rules.sql_prepared(AS_OF)
+
+_LINES = synth.DOCUMENTS_SQL + workload.LINES_SQL
+_FIELDS = _LINES + workload.FIELDS_SQL
+_MRZ = _FIELDS + synth.ZONE_SQL
+_RULES = _MRZ + rules.sql_prepared(AS_OF)
 _FOUND = _RULES + rules.sql_findings()
 _EVIDENCE = _FOUND + workload.EVIDENCE_SQL
 
@@ -51,59 +103,112 @@ _EVIDENCE = _FOUND + workload.EVIDENCE_SQL
 @query("mrz_td3_parse", _MRZ + "SELECT doc_id, mrz_type, issuer, surname, given, mrz_number, mrz_nationality, mrz_dob, mrz_sex, mrz_expiry, mrz_optional FROM mrz WHERE two_lines")
 def mrz_td3_parse(spark: SparkSession, d: str) -> DataFrame:
     cols = ("mrz_type", "issuer", "surname", "given", "mrz_number", "mrz_nationality", "mrz_dob", "mrz_sex", "mrz_expiry", "mrz_optional")
-    return mrz.with_mrz(synth.identity_documents(spark, d)).where("two_lines").select("doc_id", *cols)
+    return mrz.with_mrz(zones(spark, d)).where("two_lines").select("doc_id", *cols)
 
 
 @query("mrz_check_digits", _MRZ + "SELECT doc_id, ok_number, ok_dob, ok_expiry, ok_optional, ok_composite FROM mrz WHERE two_lines")
 def mrz_check_digits(spark: SparkSession, d: str) -> DataFrame:
-    return mrz.with_mrz(synth.identity_documents(spark, d)).where("two_lines").select("doc_id", "ok_number", "ok_dob", "ok_expiry", "ok_optional", "ok_composite")
+    return mrz.with_mrz(zones(spark, d)).where("two_lines").select("doc_id", "ok_number", "ok_dob", "ok_expiry", "ok_optional", "ok_composite")
 
 
-@query("mrz_reliability", _MRZ + "SELECT doc_id, has_mrz, two_lines, coalesce(reliable, false) AS reliable FROM mrz")
+@query("mrz_reliability", _MRZ + "SELECT doc_id, has_mrz, two_lines, reliable FROM mrz")
 def mrz_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return mrz.with_mrz(synth.identity_documents(spark, d)).select("doc_id", "has_mrz", "two_lines", F.coalesce("reliable", F.lit(False)).alias("reliable"))
+    return mrz.with_mrz(plain_documents(spark, d)).select("doc_id", "has_mrz", "two_lines", F.coalesce("reliable", F.lit(False)).alias("reliable"))
 
 
 # Words, lines, fields ----------------------------------------------------------------------------
-@query("ocr_lines", text.LINES_SQL + "SELECT * FROM lines")
+_WORDS = """WITH l AS (SELECT doc_id, unnest(range(0, len(l))) AS line_id, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+wd AS (SELECT doc_id, line_id, unnest(range(0, len(w))) AS word_pos, unnest(w) AS text FROM (SELECT doc_id, line_id, string_split(line, ' ') AS w FROM l)),
+words AS (SELECT *, (length(text) * 7) % 100 / 100.0::DOUBLE AS confidence, word_pos * 50 AS x1, line_id * 40 AS y1, word_pos * 50 + length(text) * 8 AS x2, line_id * 40 + 30 AS y2 FROM wd WHERE text <> ''),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(y1), line_id) - 1 AS line_pos, string_agg(text, ' ' ORDER BY x1, word_pos) AS text,
+  round(avg(confidence), 6) AS confidence, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words GROUP BY doc_id, line_id)
+"""
+_RAW = """WITH raw AS (SELECT l_orderkey AS doc_id, l_linenumber * 8 + l_suppkey % 8 AS seq, l_suppkey % 2 AS block, 0 AS par, l_linenumber % 3 AS line, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE ' ' || l_shipmode || ' ' END AS text,
+  CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_partkey % 120 END AS conf, l_partkey % 500 AS x, l_suppkey % 90 AS y, 40 AS w, 20 AS h FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
+ok AS (SELECT * FROM raw WHERE trim(text) <> '' AND conf >= 0),
+ln AS (SELECT doc_id, block, par, line, row_number() OVER (PARTITION BY doc_id ORDER BY min(seq)) - 1 AS line_id FROM ok GROUP BY doc_id, block, par, line)
+"""
+
+
+@query("ocr_words", _RAW + "SELECT doc_id, line_id, seq AS word_pos, trim(text) AS text, least(greatest(conf / 100.0::DOUBLE, 0), 1) AS confidence, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM ok JOIN ln USING (doc_id, block, par, line)")
+def ocr_words(spark: SparkSession, d: str) -> DataFrame:
+    n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    shown = F.when(part % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "l_returnflag", "l_linestatus", F.lit(" ")))
+    raw = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (n * 8 + supp % 8).alias("seq"), (supp % 2).alias("block"), F.lit(0).alias("par"), (n % 3).alias("line"), shown.alias("text"),
+        F.when(part % 13 == 0, -1).otherwise(part % 120).alias("conf"), (part % 500).alias("x"), (supp % 90).alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h"),
+    )
+    return text.recognised_words(raw)
+
+
+@query("ocr_lines", _WORDS + "SELECT * FROM lines")
 def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
-    return text.lines(text.page_words(table(spark, d, "documents")))
+    return text.lines(workload.document_words(table(spark, d, "documents")))
+
 
+@query("ocr_full_text", _LINES + "SELECT doc_id, string_agg(text, chr(10) ORDER BY line_pos) AS full_text FROM ln GROUP BY doc_id")
+def ocr_full_text(spark: SparkSession, d: str) -> DataFrame:
+    return text.full_text(page(spark, d))
 
-@query("ocr_mean_confidence", text.LINES_SQL + "SELECT d.doc_id, coalesce(sum(CAST(round(confidence * 100) AS BIGINT))::DOUBLE / count(confidence) / 100, 0) AS confidence, count(confidence) AS words FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id")
+
+@query("ocr_mean_confidence", _WORDS + "SELECT d.doc_id, round_even(coalesce(sum(CAST(round(confidence * 10000) AS BIGINT))::DOUBLE / count(confidence) / 10000, 0), 4) AS confidence, count(confidence) AS words FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id")
 def ocr_mean_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return text.mean_confidence(table(spark, d, "documents").select("doc_id"), text.page_words(table(spark, d, "documents")))
+    return text.mean_confidence(table(spark, d, "documents").select("doc_id"), workload.document_words(table(spark, d, "documents")))
 
 
-@query("mrz_candidates", _MRZ + text.PAGE_SQL + "SELECT doc_id, line_pos, candidate FROM cand")
+@query("mrz_candidates", _LINES + "SELECT doc_id, line_pos, candidate FROM cand")
 def mrz_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return text.mrz_candidates(text.page_lines(synth.identity_documents(spark, d)))
+    return text.mrz_candidates(page(spark, d)).select("doc_id", "line_pos", "candidate")
 
 
-@query("mrz_pair_select", _MRZ + text.PAGE_SQL + text.PAIR_SQL)
+@query("mrz_pair_select", _LINES + "SELECT doc_id, line1, line2, array_to_string(zone_box, ',') AS zone_box FROM zone")
 def mrz_pair_select(spark: SparkSession, d: str) -> DataFrame:
-    return text.mrz_pair(text.mrz_candidates(text.page_lines(synth.identity_documents(spark, d))))
+    return text.mrz_pair(text.mrz_candidates(page(spark, d))).withColumn("zone_box", F.array_join("zone_box", ","))
 
 
-@query("classify_document", _MRZ + text.PAGE_SQL + text.CLASSIFY_SQL)
+@query("classify_document", _LINES + """SELECT l.doc_id, 'passport' AS type, CASE WHEN w AND z THEN 0.98::DOUBLE WHEN w OR z THEN 0.85::DOUBLE ELSE 0.40::DOUBLE END AS confidence
+FROM (SELECT doc_id, bool_or(regexp_matches(upper(text), 'PASSPORT|PASSEPORT|PASAPORTE')) AS w FROM ln GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, starts_with(upper(line1), 'P') AS z FROM zone) USING (doc_id)""".replace("w OR z", "w OR coalesce(z, false)"))
 def classify_document(spark: SparkSession, d: str) -> DataFrame:
-    return text.classified(text.page_lines(synth.identity_documents(spark, d)))
+    return text.classified(page(spark, d), zones(spark, d))
+
+
+@query("extract_dates", _FIELDS + "SELECT doc_id, field, value, confidence, array_to_string(box, ',') AS box FROM dates")
+def extract_dates(spark: SparkSession, d: str) -> DataFrame:
+    return text.labelled_dates(page(spark, d)).withColumn("box", F.array_join("box", ","))
 
 
-@query("extract_fields", _MRZ + text.PAGE_SQL + text.EXTRACT_SQL)
+@query("extract_fields", _FIELDS + "SELECT doc_id, field, value, confidence, array_to_string(box, ',') AS box FROM printed WHERE field IN ('document_number', 'nationality', 'name')")
 def extract_fields(spark: SparkSession, d: str) -> DataFrame:
-    return text.extracted(text.page_lines(synth.identity_documents(spark, d)))
+    return text.labelled_texts(page(spark, d)).withColumn("box", F.array_join("box", ","))
+
+
+@query("document_fields", _FIELDS + "SELECT doc_id, field, value, confidence, array_to_string(box, ',') AS box, source FROM fields")
+def document_fields(spark: SparkSession, d: str) -> DataFrame:
+    return fields(spark, d).withColumn("box", F.array_join("box", ","))
 
 
-@query("mrz_fallback_fields", _MRZ + text.FALLBACK_SQL)
+@query("mrz_fallback_fields", _FIELDS + "SELECT doc_id, document_number, number_source, nationality, nationality_source, name, name_source, date_of_birth, dob_source, issue_date, issue_source, expiry_date, expiry_source FROM doc")
 def mrz_fallback_fields(spark: SparkSession, d: str) -> DataFrame:
-    return text.with_fallback(mrz.with_mrz(synth.identity_documents(spark, d)))
+    return plain_documents(spark, d).drop("line1", "line2")
+
+
+@query("field_regions", _FIELDS + "SELECT doc_id, field, array_to_string(region, ',') AS region FROM region_of")
+def field_regions(spark: SparkSession, d: str) -> DataFrame:
+    return text.regions(fields(spark, d), zones(spark, d)).withColumn("region", F.array_join("region", ","))
+
+
+@query("required_fields", _FIELDS + """, need AS (SELECT unnest(['document_number', 'name', 'date_of_birth', 'nationality', 'issue_date', 'expiry_date', 'mrz']) AS field),
+have AS (SELECT doc_id, field FROM fields UNION ALL SELECT doc_id, 'mrz' FROM zone)
+SELECT doc.doc_id, need.field FROM doc CROSS JOIN need WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.doc_id = doc.doc_id AND have.field = need.field)""")
+def required_fields(spark: SparkSession, d: str) -> DataFrame:
+    typed = text.classified(page(spark, d), zones(spark, d)).select("doc_id", "type")
+    return rules.missing_fields(typed, text.regions(fields(spark, d), zones(spark, d)))
 
 
 # Dates and rules ---------------------------------------------------------------------------------
-@query("parse_date_text", _RULES + "SELECT doc_id, issue_day, expiry_day FROM r")
+@query("parse_date_text", _RULES + "SELECT doc_id, issue_day, CASE WHEN expiry_source = 'visual' THEN expiry_day END AS expiry_day FROM r")
 def parse_date_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = synth.identity_documents(spark, d)
+    docs = plain_documents(spark, d)
     return docs.select("doc_id", dates.parse_date(F.col("issue_date")).alias("issue_day"), dates.parse_date(F.col("expiry_date")).alias("expiry_day"))
 
 
@@ -136,9 +241,9 @@ def rule_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Evidence, risk ----------------------------------------------------------------------------------
-@query("evidence_normalize", _EVIDENCE + "SELECT doc_id, pos, id, source, polarity, severity, confidence, field, array_to_string(region, ',') AS region FROM items")
+@query("evidence_normalize", _EVIDENCE + "SELECT doc_id, pos, id, source, finding_type, polarity, severity, confidence, field, array_to_string(region, ',') AS region FROM items")
 def evidence_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("doc_id", "pos", "id", "source", "polarity", "severity", "confidence", "field", F.array_join("region", ",").alias("region"))
+    return items(spark, d).select("doc_id", "pos", "id", "source", "finding_type", "polarity", "severity", "confidence", "field", F.array_join("region", ",").alias("region"))
 
 
 @query("polarity_counts", _EVIDENCE + "SELECT doc_id, count(*) FILTER (polarity = 'CONCERN') AS concern, count(*) FILTER (polarity = 'REASSURING') AS reassuring, count(*) FILTER (polarity = 'NEUTRAL') AS neutral, count(DISTINCT source) AS sources FROM items GROUP BY doc_id")
@@ -149,7 +254,7 @@ def polarity_counts(spark: SparkSession, d: str) -> DataFrame:
 
 for _name, _type in {"corroboration_pairs": "CORROBORATION", "contradiction_pairs": "CONTRADICTION"}.items():
     query(_name, _EVIDENCE + f"SELECT doc_id, field, id_a, id_b FROM pair WHERE type = '{_type}'")(
-        lambda spark, d, of=_type: fusion.pairs(items(spark, d)).where(F.col("type") == of).select("doc_id", "field", "id_a", "id_b")
+        lambda spark, d, of=_type: linked(spark, d).where(F.col("type") == of).select("doc_id", "field", "id_a", "id_b")
     )
 
 
@@ -170,10 +275,14 @@ def risk_points(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).where("polarity = 'CONCERN'").select("doc_id", "id", F.round(fusion.points(), 2).alias("points"))
 
 
+@_kept("risk")
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.risk(items(spark, d), linked(spark, d))
+
+
 @query("risk_score", _EVIDENCE + "SELECT * FROM risk")
 def risk_score(spark: SparkSession, d: str) -> DataFrame:
-    every = items(spark, d)
-    return fusion.risk(every, fusion.pairs(every))
+    return scored(spark, d)
 
 
 @query("review_queue_page", _EVIDENCE + "SELECT doc_id, score, level, action FROM risk ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50")
@@ -186,6 +295,137 @@ def level_by_action(spark: SparkSession, d: str) -> DataFrame:
     return risk_score(spark, d).groupBy("level", "action").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
+_CORR = _EVIDENCE + """, per AS (SELECT doc_id, count(*) FILTER (polarity = 'CONCERN') AS c, min(id) FILTER (polarity = 'CONCERN' AND source = 'biometrics') AS face, count(*) FILTER (polarity = 'CONCERN' AND source IN ('rules', 'forensics')) AS o,
+  list_sort(list_distinct(list(source) FILTER (polarity = 'REASSURING'))) AS calm, string_agg(id, '+' ORDER BY pos) FILTER (polarity = 'REASSURING') AS ids FROM items GROUP BY doc_id),
+every AS (SELECT p.doc_id, CASE type WHEN 'CORROBORATION' THEN 0 ELSE 1 END AS k, a.pos AS pa, b.pos AS pb, type, p.field, a.source || '+' || b.source AS sources, id_a || '+' || id_b AS ids
+    FROM pair p JOIN items a ON p.doc_id = a.doc_id AND p.id_a = a.id JOIN items b ON p.doc_id = b.doc_id AND p.id_b = b.id
+  UNION ALL SELECT doc_id, 2, 0, 0, 'CONTRADICTION', 'identity', 'biometrics', face FROM per WHERE face IS NOT NULL AND o = 0
+  UNION ALL SELECT doc_id, 3, 0, 0, 'CONSISTENCY', NULL, array_to_string(calm, '+'), ids FROM per WHERE c = 0 AND len(calm) >= 2),
+corr AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, pa, pb) - 1 AS INTEGER) AS pos, type, field, sources, ids FROM every),
+avail AS (SELECT doc_id, concat_ws(',', CASE WHEN bool_or(source = 'rules') THEN 'rules' END, CASE WHEN bool_or(source = 'forensics' AND finding_type <> 'unavailable') THEN 'forensics' END, CASE WHEN bool_or(source = 'biometrics' AND finding_type IN ('MATCH', 'MISMATCH')) THEN 'biometrics' END) AS available,
+  concat_ws(',', CASE WHEN bool_or(source = 'forensics' AND finding_type = 'unavailable') THEN 'forensics' END, CASE WHEN bool_or(source = 'biometrics' AND finding_type NOT IN ('MATCH', 'MISMATCH')) THEN 'biometrics' END) AS unavailable FROM items GROUP BY doc_id)"""
+
+
+@query("correlations", _CORR + "SELECT doc_id, pos, type, field, sources, ids FROM corr")
+def correlations(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.correlations(items(spark, d), linked(spark, d)).withColumns({c: F.array_join(c, "+") for c in ("sources", "ids")})
+
+
+@query("source_availability", _CORR + "SELECT doc_id, available, unavailable FROM avail")
+def source_availability(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.availability(items(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("available", "unavailable")})
+
+
+@query("corroboration_bonus", _EVIDENCE + "SELECT doc_id, bonus, n_corroboration FROM risk WHERE bonus > 0")
+def corroboration_bonus(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).where("bonus > 0").select("doc_id", "bonus", "n_corroboration")
+
+
+@query("ranked_concerns", _EVIDENCE + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 2) DESC, pos) AS rank, id, round(raw, 2) AS points, field IS NOT NULL OR region IS NOT NULL AS target FROM w WHERE polarity = 'CONCERN'")
+def ranked_concerns(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.weighed_concerns(items(spark, d)).select("doc_id", "rank", "id", "points", (F.col("field").isNotNull() | F.col("region").isNotNull()).alias("target"))
+
+
+@query("ui_evidence_order", _EVIDENCE + "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE polarity WHEN 'CONCERN' THEN 0 WHEN 'REASSURING' THEN 1 ELSE 2 END, coalesce(round(raw, 2), 0) DESC, pos) AS place FROM w")
+def ui_evidence_order(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("polarity") == "CONCERN", 0).when(F.col("polarity") == "REASSURING", 1).otherwise(2)
+    weight = F.when(F.col("polarity") == "CONCERN", F.round(fusion.points(), 2)).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(kind, F.desc("weight"), "pos"))
+    return items(spark, d).withColumn("weight", weight).select("doc_id", "id", place.alias("place"))
+
+
+_TOLD = _CORR + """, heavy AS (SELECT w.*, round(raw, 2) AS points, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 2) DESC, pos) AS rank,
+    '[' || source || '] ' || CASE source WHEN 'rules' THEN finding_type || ': ' || (SELECT status FROM f WHERE f.doc_id = w.doc_id AND f.rule_id = w.finding_type) WHEN 'forensics' THEN id[11:] || ': ' || finding_type WHEN 'biometrics' THEN finding_type ELSE 'low confidence' END AS told FROM w WHERE polarity = 'CONCERN'),
+own AS (SELECT doc_id, list(told ORDER BY rank) AS told, array_to_string(list_sort(list_distinct(list(source))), ', ') AS sources, string_agg(id, '|' ORDER BY pos) AS ids, string_agg(id, '|' ORDER BY rank) FILTER (field IS NOT NULL OR region IS NOT NULL) AS targets FROM heavy GROUP BY doc_id),
+backed AS (SELECT doc_id, string_agg(ids, '|' ORDER BY pos) AS ids FROM corr WHERE type = 'CORROBORATION' GROUP BY doc_id),
+told AS (SELECT r.*, a.unavailable, o.told, o.sources, o.ids AS own_ids, o.targets, b.ids AS backed FROM risk r JOIN avail a USING (doc_id) LEFT JOIN own o USING (doc_id) LEFT JOIN backed b USING (doc_id))"""
+
+
+@query("risk_rationale", _TOLD + """SELECT doc_id, CASE WHEN n_concern = 0 THEN 'No concern-raising findings across the available engines; decision-support score ' || score || '/100 (' || level || ').'
+  ELSE n_concern || ' concern-raising finding(s) from ' || sources || ' produce a decision-support score of ' || score || '/100 (' || level || ').' || CASE WHEN bonus > 0 THEN ' Independent engines corroborate on the same evidence (+' || printf('%.0f', bonus) || ' corroboration weight).' ELSE '' END END
+  || CASE WHEN unavailable <> '' THEN ' Note: ' || replace(unavailable, ',', ', ') || ' evidence was unavailable and is treated as unknown, not clean.' ELSE '' END AS rationale FROM told""")
+def risk_rationale(spark: SparkSession, d: str) -> DataFrame:
+    return explained(spark, d).select("doc_id", "rationale")
+
+
+@query("primary_concern", _TOLD + "SELECT doc_id, told[1] AS primary_concern FROM told")
+def primary_concern(spark: SparkSession, d: str) -> DataFrame:
+    return explained(spark, d).select("doc_id", "primary_concern")
+
+
+@query("recommendation", _TOLD + """SELECT doc_id, action, concat_ws('|', CASE WHEN action = 'NO_ADDITIONAL_ACTION' THEN 'No significant inconsistencies detected across engines.' ELSE array_to_string(told[1:3], '|') END,
+  CASE WHEN backed IS NOT NULL THEN 'Multiple independent engines identify corroborating inconsistencies.' END,
+  CASE WHEN unavailable <> '' THEN 'Some engines were unavailable (' || replace(unavailable, ',', ', ') || '); their evidence is unknown, not clean.' END) AS reasons,
+  concat_ws('|', own_ids, backed) AS based_on, coalesce(targets, '') AS targets FROM told""")
+def recommendation(spark: SparkSession, d: str) -> DataFrame:
+    told = explained(spark, d).join(scored(spark, d).select("doc_id", "action"), "doc_id")
+    return told.select("doc_id", "action", *(F.array_join(c, "|").alias(c) for c in ("reasons", "based_on", "targets")))
+
+
+@query("explanation_lines", _TOLD + """SELECT doc_id, (CASE WHEN n_concern = 0 THEN 1 ELSE n_concern END + CASE WHEN bonus > 0 THEN 1 ELSE 0 END + coalesce(m.n, 0) + CASE WHEN unavailable <> '' THEN 1 ELSE 0 END + 1)::BIGINT AS n_lines,
+  coalesce((SELECT source || ' found ' || chr(39) || finding_type || chr(39) || coalesce(' on ' || field, '') || ' (severity ' || severity || ', confidence ' || printf('%.2f', confidence) || ') → contributed ' || printf('%.1f', points) || ' points.' FROM heavy h WHERE h.doc_id = told.doc_id AND rank = 1), 'No concern-raising findings were produced by the available engines.') AS first_line
+FROM told LEFT JOIN (SELECT doc_id, count(*) AS n FROM corr WHERE type = 'CONTRADICTION' GROUP BY doc_id) m USING (doc_id)""")
+def explanation_lines(spark: SparkSession, d: str) -> DataFrame:
+    return explained(spark, d).select("doc_id", F.size("reasoning").cast("long").alias("n_lines"), F.get("reasoning", F.lit(0)).alias("first_line"))
+
+
+def explained(spark: SparkSession, d: str) -> DataFrame:
+    every = items(spark, d)
+    return fusion.explained(every, fusion.correlations(every, linked(spark, d)), scored(spark, d))
+
+
+@query("recent_analyses", _EVIDENCE + "SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 97 AS INTEGER) AS created_on, level, score, action FROM risk ORDER BY created_on DESC, doc_id LIMIT 50 OFFSET 20")
+def recent_analyses(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the stored analyses, the newest first, without their full results."""
+    rows = analyses(spark, d).select("doc_id", "created_on", "level", "score", "action")
+    return rows.orderBy(F.desc("created_on"), "doc_id").offset(20).limit(50)
+
+
+@_kept("analyses")
+def analyses(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored of each screening: the columns that are queried, and the whole result with its fingerprint."""
+    rows = scored(spark, d).join(explained(spark, d), "doc_id").join(plain_documents(spark, d).select("doc_id", "document_number", "nationality"), "doc_id")
+    rows = rows.withColumn("created_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 97).cast("int")))
+    whole = ("doc_id", "level", "score", "action", "reasons", "based_on", "targets", "rationale")
+    return rows.withColumns({"full_result": ledger.canonical(rows, *whole), "fingerprint": ledger.fingerprint(rows, *whole)})
+
+
+@query("analysis_columns", _TOLD + """SELECT t.doc_id, document_number, nationality, level, score, action, sha256('{"action":"' || action || '","based_on":[' || coalesce('"' || replace(nullif(concat_ws('|', own_ids, backed), ''), '|', '","') || '"', '')
+  || '],"doc_id":' || t.doc_id || ',"level":"' || level || '","score":' || score || '}') AS fingerprint FROM told t JOIN doc USING (doc_id)""")
+def analysis_columns(spark: SparkSession, d: str) -> DataFrame:
+    rows = analyses(spark, d)
+    return rows.select("doc_id", "document_number", "nationality", "level", "score", "action", ledger.fingerprint(rows, "doc_id", "level", "score", "action", "based_on").alias("fingerprint"))
+
+
+# Answers of a language model, written from the risk; every fifth in a fence, every seventh no JSON at all.
+_ANSWERS = _EVIDENCE + """, ans AS (SELECT doc_id, level, ['AGREE', 'maybe', NULL][doc_id % 3 + 1] AS stated, [action, NULL, 'ESCALATE'][doc_id % 4 % 3 + 1] AS act, doc_id % 7 <> 0 AS parsed FROM risk)
+"""
+
+
+@query("model_answers", _ANSWERS + """SELECT doc_id, parsed, CASE WHEN parsed THEN act END AS suggested_action, CASE WHEN parsed THEN 'seen' ELSE '' END AS summary,
+  CASE WHEN parsed AND stated = 'AGREE' THEN 'AGREE' WHEN NOT parsed OR act IS NULL THEN 'UNKNOWN' WHEN level = 'HIGH' THEN CASE WHEN act IN ('ENHANCED_VERIFICATION', 'ESCALATE') THEN 'AGREE' ELSE 'DISAGREE' END
+    WHEN level = 'MEDIUM' THEN CASE WHEN act IN ('ENHANCED_VERIFICATION', 'ESCALATE', 'MANUAL_REVIEW') THEN 'AGREE' ELSE 'PARTIAL' END WHEN act = 'NO_ADDITIONAL_ACTION' THEN 'AGREE' ELSE 'PARTIAL' END AS agreement,
+  CASE WHEN parsed THEN 'rules:HIGH,ocr:MEDIUM' ELSE '' END AS findings FROM ans""")
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    key = lambda source, finding, importance: F.struct(F.lit(source).alias("source"), F.lit(finding).alias("finding"), F.lit(importance).alias("importance"))
+    keys = F.array(key(" Rules", "a", "high"), key("oracle", "b", "LOW"), key("ocr", "c", "grave"), key("forensics", " ", "LOW"))
+    stated = F.element_at(F.array(F.lit("agree "), F.lit("maybe"), F.lit(None)), (k % 3 + 1).cast("int"))
+    action = F.element_at(F.array(F.lower("action"), F.lit(None), F.lit("ESCALATE")), (k % 4 % 3 + 1).cast("int"))
+    whole = F.to_json(F.struct(F.lit(" seen ").alias("summary"), stated.alias("agreement_with_risk"), action.alias("suggested_action"), keys.alias("key_findings")))
+    answer = F.when(k % 7 == 0, "I can't say.").when(k % 5 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), whole, F.lit(" That is all.")))
+    told = fusion.model_answers(scored(spark, d).select("doc_id", "level", answer.alias("answer")))
+    each = F.transform("key_findings", lambda x: F.concat_ws(":", x["source"], x["importance"]))
+    return told.select("doc_id", "parsed", "suggested_action", "summary", "agreement", F.array_join(each, ",").alias("findings"))
+
+
+@query("model_context", _EVIDENCE + """SELECT r.doc_id, r.level, r.score, count(*) AS n_evidence, string_agg(i.id, ',' ORDER BY i.pos) AS ids FROM risk r JOIN items i USING (doc_id) GROUP BY ALL""")
+def model_context(spark: SparkSession, d: str) -> DataFrame:
+    told = fusion.model_context(items(spark, d), scored(spark, d))
+    got = F.from_json("context", "evidence array<struct<id:string,region:array<int>>>, risk struct<level:string,score:int>")
+    return told.withColumn("c", got).select("doc_id", F.col("c.risk.level").alias("level"), F.col("c.risk.score").alias("score"), F.size("c.evidence").cast("long").alias("n_evidence"), F.array_join("c.evidence.id", ",").alias("ids"))
+
+
 @query("bbox_iou", """SELECT x.l_orderkey AS k, x.l_linenumber AS a, y.l_linenumber AS b, round(i::DOUBLE / u, 6) AS iou FROM (
   SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS i,
     (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS u
@@ -227,42 +467,82 @@ def match_decision(spark: SparkSession, d: str) -> DataFrame:
     return signals.verified(own, own.withColumn("doc_id", F.col("doc_id") - 1))
 
 
-# Ledger ------------------------------------------------------------------------------------------
-def transactions(spark: SparkSession, d: str, tampered: bool = False) -> DataFrame:
-    """Orders as transactions, 25 a block."""
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("subject_id"), F.col("o_orderstatus").alias("payload"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"))
-    if tampered:
-        orders = orders.withColumn("payload", F.when(F.col("subject_id") == 130, "TAMPERED").otherwise(F.col("payload")))
-    rows = orders.withColumns({"block_index": F.floor(F.col("subject_id") / 25), "tx_index": F.col("subject_id") % 25})
-    return rows.withColumn("hash", ledger.transaction_hash("payload", "subject_id", "timestamp", "tx_index"))
-
-
-def chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = ledger.blocks(transactions(spark, d))
-    order = Window.orderBy("block_index")
-    return ledger.chained(rows.withColumn("block_index", F.row_number().over(order).cast("long") - 1))
-
+_GATE = """WITH g AS (SELECT c_custkey AS doc_id, c_custkey % 5 <> 0 AS ref, c_custkey % 23 <> 0 AS ok, c_custkey % 4 AS df, c_custkey % 3 AS rf, c_custkey % 13 = 0 AS da, c_custkey % 17 = 0 AS ra,
+  ['GOOD', 'ACCEPTABLE', 'POOR', 'GOOD', NULL][c_custkey % 5 + 1] AS dq, ['GOOD', 'GOOD', 'ACCEPTABLE'][c_custkey % 3 + 1] AS rq, round((c_custkey % 1000) / 1000.0::DOUBLE, 4) AS sim FROM customer),
+s AS (SELECT *, CASE WHEN NOT ref OR NOT ok THEN 'UNAVAILABLE' WHEN da OR ra THEN 'AMBIGUOUS' WHEN df = 0 OR rf = 0 THEN 'NO_FACE' WHEN coalesce(dq, 'UNAVAILABLE') IN ('POOR', 'UNAVAILABLE') THEN 'INSUFFICIENT_QUALITY' END AS gate FROM g)
+SELECT doc_id, coalesce(gate, CASE WHEN sim >= 0.5 THEN 'MATCH' ELSE 'MISMATCH' END) AS status, CASE WHEN gate IS NULL THEN sim END AS similarity,
+  CASE WHEN gate IS NULL THEN CASE WHEN round(abs(sim - 0.5), 9) >= 0.2 THEN 'HIGH' WHEN round(abs(sim - 0.5), 9) >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END END AS strength FROM s"""
 
-def renumbered(tx: DataFrame) -> DataFrame:
-    """Block numbers without gaps, from the distinct ones."""
-    numbers = tx.select("block_index").distinct().withColumn("n", F.row_number().over(Window.orderBy("block_index")) - 1)
-    return tx.join(numbers, "block_index").drop("block_index").withColumnRenamed("n", "block_index")
 
-
-_TX = """WITH tx AS (SELECT o_orderkey AS subject_id, o_orderkey // 25 AS block_index, o_orderkey % 25 AS tx_index, o_orderstatus AS payload, strftime(o_orderdate, '%Y-%m-%d') AS timestamp FROM orders),
-h AS (SELECT *, sha256('{"payload":"' || payload || '","subject_id":' || subject_id || ',"timestamp":"' || timestamp || '","tx_index":' || tx_index || '}') AS hash FROM tx)"""
+@query("biometric_status", _GATE)
+def biometric_status(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    checks = table(spark, d, "customer").select(
+        k.alias("doc_id"), (k % 5 != 0).alias("has_reference"), (k % 23 != 0).alias("model_ok"), (k % 4).alias("doc_faces"), (k % 3).alias("ref_faces"), (k % 13 == 0).alias("doc_ambiguous"), (k % 17 == 0).alias("ref_ambiguous"),
+        pick(("GOOD", "ACCEPTABLE", "POOR", "GOOD", None)).alias("doc_quality"), pick(("GOOD", "GOOD", "ACCEPTABLE")).alias("ref_quality"), (k % 1000 / 1000).alias("similarity"),
+    )
+    return signals.gated(checks)
 
 
-@query("tx_hash", _TX + "SELECT subject_id, block_index, tx_index, hash FROM h")
-def tx_hash(spark: SparkSession, d: str) -> DataFrame:
-    return transactions(spark, d).select("subject_id", "block_index", "tx_index", "hash")
+@query("l2_normalised", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, CASE WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS after FROM embeddings")
+def l2_normalised(spark: SparkSession, d: str) -> DataFrame:
+    unit = measures.l2_normalised(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(measures.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"), F.round(F.sqrt(measures.dot(unit, unit)), 6).alias("after"))
 
 
+# Ledger ------------------------------------------------------------------------------------------
+@_kept("transactions")
+def transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as transactions, 25 a block after the genesis block, with their stored hashes."""
+    k = F.col("o_orderkey")
+    payload = F.struct(F.col("o_orderstatus").alias("risk_level"), (k % 101).alias("risk_score"), F.col("o_orderpriority").alias("recommendation"))
+    rows = table(spark, d, "orders").select(
+        F.lit("SCREENING").alias("action"), F.when(k % 7 != 0, "clerk").alias("actor"), payload.alias("payload"), k.cast("string").alias("subject_id"), F.lit("analysis").alias("subject_type"),
+        ledger.canonical_time(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), (k % 25).cast("int").alias("tx_index"), F.floor(k / 25).alias("batch"),
+    )
+    return ledger.with_hash(ledger.numbered(rows, "batch", "block_index", first=1).drop("batch"))
+
+
+@_kept("chain")
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    """The stored chain. It is sealed in two appends, the second after the head of the first."""
+    rows = store.written(ledger.blocks(transactions(spark, d)), "blocks")
+    middle = (rows.agg(F.max("block_index")).first()[0] or 0) // 2
+    first = store.written(ledger.sealed(rows.where(F.col("block_index") <= middle)), "sealed")
+    head = first.agg(F.max_by(F.struct("block_index", "hash"), "block_index").alias("h")).first()["h"]
+    return first.unionByName(ledger.sealed(rows.where(F.col("block_index") > middle), (head["block_index"], head["hash"])))
+
+
+_TX = """WITH RECURSIVE tx AS (SELECT o_orderkey AS k, (dense_rank() OVER (ORDER BY o_orderkey // 25))::BIGINT AS block_index, (o_orderkey % 25)::INTEGER AS tx_index, o_orderstatus AS risk_level, o_orderpriority AS recommendation, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM orders),
+j AS (SELECT *, '{"action":"SCREENING","actor":' || CASE WHEN k % 7 <> 0 THEN '"clerk"' ELSE 'null' END || ',"payload":{"recommendation":"' || recommendation || '","risk_level":"' AS lead,
+  '","risk_score":' || k % 101 || '},"subject_id":"' || k || '","subject_type":"analysis","timestamp":"' || timestamp || '","tx_index":' || tx_index || '}' AS rest FROM tx),
+h AS (SELECT *, sha256(lead || risk_level || rest) AS hash FROM j)"""
 _LAYER = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1])))"
-_ROOTS = _TX.replace("WITH tx", "WITH RECURSIVE tx") + f""", m AS (
+_ROOTS = _TX + f""", m AS (
   SELECT block_index, list(hash ORDER BY tx_index) AS l, count(*) AS n_tx, max(timestamp) AS timestamp FROM h GROUP BY block_index
   UNION ALL SELECT block_index, {_LAYER}, n_tx, timestamp FROM m WHERE len(l) > 1),
 root AS (SELECT block_index, n_tx, timestamp, l[1] AS merkle FROM m WHERE len(l) = 1)"""
+_HEADER = """'{{"difficulty":0,"index":' || {0}.i || ',"merkle_root":"' || {0}.merkle || '","nonce":0,"prev_hash":"' || {1} || '","timestamp":"' || {0}.timestamp || '"}}'"""
+_CHAIN = _ROOTS + f""", n AS (SELECT block_index AS i, n_tx, timestamp, merkle FROM root UNION ALL SELECT 0, 0, '1970-01-01T00:00:00', sha256('')),
+c AS (
+  SELECT i, n_tx, timestamp, merkle, '{ledger.GENESIS}' AS prev_hash, sha256({_HEADER.format("n", f"'{ledger.GENESIS}'")}) AS hash FROM n WHERE i = 0
+  UNION ALL
+  SELECT n.i, n.n_tx, n.timestamp, n.merkle, c.hash, sha256({_HEADER.format("n", "c.hash")}) FROM c JOIN n ON n.i = c.i + 1)"""
+
+
+def _checked(changed: str, blocks: str = "c") -> str:
+    """SQL that verifies ``blocks`` against the transactions, one payload of which may be changed."""
+    return _CHAIN + f""", st AS (SELECT * FROM {blocks}),
+t AS (SELECT block_index, count(*) AS held, count(*) FILTER (sha256(lead || {changed} || rest) <> hash) AS edited FROM h GROUP BY block_index),
+v AS (SELECT s.*, held, CASE WHEN s.i > 0 AND p.i IS NULL THEN 'index' WHEN s.prev_hash <> coalesce(p.hash, '{ledger.GENESIS}') THEN 'link' WHEN edited > 0 THEN 'transaction' WHEN coalesce(r.merkle, sha256('')) <> s.merkle THEN 'merkle'
+  WHEN sha256({_HEADER.format("s", "s.prev_hash")}) <> s.hash THEN 'hash' END AS reason FROM st s LEFT JOIN st p ON p.i = s.i - 1 LEFT JOIN t ON t.block_index = s.i LEFT JOIN root r ON r.block_index = s.i)
+SELECT min(i) FILTER (reason IS NOT NULL) IS NULL AS ok, count(*) AS blocks, CAST(coalesce(sum(held), 0) AS BIGINT) AS transactions, arg_max(hash, i) AS head, min(i) FILTER (reason IS NOT NULL) AS broken_at, arg_min(reason, i) FILTER (reason IS NOT NULL) AS reason FROM v"""
+
+
+@query("tx_hash", _TX + "SELECT CAST(k AS VARCHAR) AS subject_id, block_index, tx_index, hash FROM h")
+def tx_hash(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.with_hash(transactions(spark, d).drop("hash")).select("subject_id", "block_index", "tx_index", "hash")
 
 
 @query("merkle_root", _ROOTS + "SELECT block_index, n_tx, merkle FROM root")
@@ -270,27 +550,30 @@ def merkle_root(spark: SparkSession, d: str) -> DataFrame:
     return ledger.blocks(transactions(spark, d)).select("block_index", "n_tx", "merkle")
 
 
-_CHAIN = _ROOTS + f""", n AS (SELECT row_number() OVER (ORDER BY block_index) - 1 AS i, n_tx, timestamp, merkle FROM root),
-c AS (
-  SELECT i, n_tx, timestamp, merkle, '{ledger.GENESIS}' AS prev_hash, sha256(i || '|' || timestamp || '|{ledger.GENESIS}|' || merkle) AS hash FROM n WHERE i = 0
-  UNION ALL
-  SELECT n.i, n.n_tx, n.timestamp, n.merkle, c.hash, sha256(n.i || '|' || n.timestamp || '|' || c.hash || '|' || n.merkle) FROM c JOIN n ON n.i = c.i + 1)"""
-
-
-@query("block_chain", _CHAIN + "SELECT i AS block_index, n_tx, merkle, timestamp, prev_hash, hash FROM c")
+@query("block_chain", _CHAIN + "SELECT i AS block_index, n_tx, merkle, timestamp, 0 AS difficulty, 0::BIGINT AS nonce, prev_hash, hash FROM c")
 def block_chain(spark: SparkSession, d: str) -> DataFrame:
     return chain(spark, d)
 
 
-@query("verify_chain", "SELECT true AS ok, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS reason")
+@query("verify_chain", _checked("risk_level"))
 def verify_chain(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.verified(chain(spark, d), renumbered(transactions(spark, d)))
+    return ledger.verified(chain(spark, d), transactions(spark, d))
 
 
-@query("verify_tampered_chain", """WITH b AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderkey // 25) - 1 AS i FROM orders)
-SELECT count(*) = 0 AS ok, CAST(min(i) AS BIGINT) AS broken_at, CASE WHEN count(*) > 0 THEN 'merkle' END AS reason FROM b WHERE o_orderkey = 130""")
+@query("verify_tampered_chain", _checked("CASE WHEN block_index = 6 AND tx_index = 0 THEN 'LOW' ELSE risk_level END"))
 def verify_tampered_chain(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.verified(chain(spark, d), renumbered(transactions(spark, d, tampered=True)))
+    return ledger.verified(chain(spark, d), ledger.tampered(transactions(spark, d), 6))
+
+
+@query("verify_cut_chain", _checked("risk_level", "(SELECT * FROM c WHERE i <> 4)"))
+def verify_cut_chain(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.verified(chain(spark, d).where("block_index <> 4"), transactions(spark, d))
+
+
+@query("verify_restored_chain", _checked("risk_level"))
+def verify_restored_chain(spark: SparkSession, d: str) -> DataFrame:
+    own = transactions(spark, d)
+    return ledger.verified(chain(spark, d), ledger.restored(ledger.tampered(own, 6), own.where("block_index = 6 and tx_index = 0")))
 
 
 @query("chain_stats", _CHAIN + "SELECT max(i) AS height, count(*) AS blocks, CAST(sum(n_tx) AS BIGINT) AS transactions, max_by(hash, i) AS head FROM c")
@@ -298,25 +581,46 @@ def chain_stats(spark: SparkSession, d: str) -> DataFrame:
     return chain(spark, d).agg(F.coalesce(F.max("block_index"), F.lit(-1)).alias("height"), F.count("*").alias("blocks"), F.coalesce(F.sum("n_tx"), F.lit(0)).alias("transactions"), F.max_by("hash", "block_index").alias("head"))
 
 
-@query("list_blocks", _CHAIN + "SELECT i AS block_index, n_tx, hash FROM c ORDER BY i DESC LIMIT 20 OFFSET 10")
+@query("list_blocks", _CHAIN + "SELECT i AS block_index, n_tx, hash FROM c WHERE i <= (SELECT max(i) FROM n) - 10 AND i > (SELECT max(i) FROM n) - 30")
 def list_blocks(spark: SparkSession, d: str) -> DataFrame:
     return chain(spark, d).select("block_index", "n_tx", "hash").orderBy(F.desc("block_index")).offset(10).limit(20)
 
 
-@query("block_by_height", _CHAIN + "SELECT i AS block_index, n_tx, merkle, hash FROM c WHERE i = 7")
+@query("block_by_height", _CHAIN + "SELECT c.i AS block_index, c.merkle, c.hash, h.tx_index, h.hash AS tx_hash FROM c JOIN h ON h.block_index = c.i WHERE c.i = 7")
 def block_by_height(spark: SparkSession, d: str) -> DataFrame:
-    return chain(spark, d).where("block_index = 7").select("block_index", "n_tx", "merkle", "hash")
+    """A block with its transactions."""
+    own = transactions(spark, d).where("block_index = 7").select("block_index", "tx_index", F.col("hash").alias("tx_hash"))
+    return chain(spark, d).where("block_index = 7").select("block_index", "merkle", "hash").join(own, "block_index")
+
+
+@query("canonical_time", "SELECT event_id, CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS at FROM events")
+def canonical_time(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", ledger.canonical_time(F.col("ts").cast("timestamp")).alias("at"))
 
 
 # Store -------------------------------------------------------------------------------------------
-@query("content_dedup", "SELECT sha256(text) || '.txt' AS path, count(*) AS uses, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text")
+_MEDIA = "['image/png', 'IMAGE/JPEG', 'image/webp', 'text/plain', NULL][doc_id % 5 + 1]"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as uploaded files, of several media types."""
+    kind = F.element_at(F.array(*map(F.lit, ("image/png", "IMAGE/JPEG", "image/webp", "text/plain", None))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.encode(F.col("text"), "UTF-8").alias("content"), kind.alias("media_type"), F.octet_length("text").alias("length"))
+
+
+@query("content_dedup", f"""SELECT sha256(text) AS sha256, sha256(text) || min(CASE lower({_MEDIA}) WHEN 'image/png' THEN '.png' WHEN 'image/jpeg' THEN '.jpg' WHEN 'image/webp' THEN '.webp' ELSE '.bin' END) AS path,
+  min(octet_length(encode(text))) AS size, count(*) AS uses FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
-    digest = F.concat(F.sha2(F.col("text"), 256), F.lit(".txt"))
-    return table(spark, d, "documents").where("text is not null").groupBy(digest.alias("path")).agg(F.count("*").alias("uses"), F.min("doc_id").alias("first_id"))
+    return store.content_files(_files(spark, d).where("content is not null"))
+
+
+@query("upload_rejects", f"""SELECT doc_id, CASE WHEN coalesce(lower({_MEDIA}), '') NOT IN ('image/jpeg', 'image/png') THEN 415 WHEN octet_length(encode(text)) > 2000 THEN 413 WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 422 END AS rejected FROM documents""")
+def upload_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return store.checked_uploads(_files(spark, d), most=2000).select("doc_id", "rejected")
 
 
 # Signals and evaluation --------------------------------------------------------------------------
-_HIST = """WITH b AS (SELECT event_type AS k, CAST(least(floor((value - 0) / 500.0 * 256), 255) AS INTEGER) AS bin FROM events WHERE value BETWEEN 0 AND 500),
+_HIST = """WITH b AS (SELECT event_type AS k, CAST(greatest(least(floor((value - 0) / 500.0 * 256), 255), 0) AS INTEGER) AS bin FROM events WHERE value IS NOT NULL),
 c AS (SELECT k, bin, count(*) AS n FROM b GROUP BY k, bin), hist AS (SELECT k, bin, n::DOUBLE / sum(n) OVER (PARTITION BY k) AS share FROM c)"""
 
 
@@ -329,16 +633,10 @@ def histogram_256(spark: SparkSession, d: str) -> DataFrame:
     return _histogram(spark, d).select("k", "bin", F.round("share", 9).alias("share"))
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    """One array of 256 shares a key."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bin", "share")))
-    return _histogram(spark, d).groupBy("k").agg(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0))).alias("h"))
-
-
 def _pairs(spark: SparkSession, d: str, measure: Callable) -> DataFrame:
-    a, b = (_dense(spark, d).select(F.col("k").alias(f"k{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
-    first = F.broadcast(a.where("ka = 'click'"))  # one histogram, of a fixed size
-    return first.join(b, F.col("ka") != F.col("kb")).select("ka", "kb", F.round(measure(F.col("ha"), F.col("hb")), 6).alias("distance"))
+    each = signals.dense(_histogram(spark, d), "k")
+    first = F.broadcast(each.where("k = 'click'").select(F.col("k").alias("ka"), F.col("h").alias("ha")))  # one histogram, of a fixed size
+    return first.join(each, F.col("ka") != F.col("k")).select("ka", F.col("k").alias("kb"), F.round(measure(F.col("ha"), F.col("h")), 6).alias("distance"))
 
 
 _FULL = _HIST + """, keys AS (SELECT DISTINCT k FROM hist), full_ AS (SELECT keys.k, g.bin, coalesce(share, 0) AS share FROM keys, (SELECT unnest(range(0, 256)) AS bin) g LEFT JOIN hist ON hist.k = keys.k AND hist.bin = g.bin),
@@ -355,13 +653,166 @@ def chi_square(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, measures.chi_square)
 
 
+@query("histogram_faults", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), h AS (SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN e[1:63] WHEN 2 THEN list_concat(e[1:63], ['nan'::DOUBLE]) WHEN 3 THEN list_transform(e, lambda x: 0.0::DOUBLE) WHEN 4 THEN list_transform(e, lambda x: abs(x)) ELSE e END AS h FROM v)
+SELECT vec_id, CASE WHEN h IS NULL THEN 'missing' WHEN len(h) <> 64 THEN 'bins' WHEN len(list_filter(h, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN list_min(h) < 0 THEN 'negative' WHEN list_sum(h) <= 0 THEN 'no mass' END AS fault FROM h""")
+def histogram_faults(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("vec_id") % 7
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    h = F.when(k == 0, None).when(k == 1, F.slice(e, 1, 63)).when(k == 2, F.concat(F.slice(e, 1, 63), F.array(F.lit(float("nan"))))).when(k == 3, F.transform(e, lambda x: x * 0)).when(k == 4, F.transform(e, F.abs)).otherwise(e)
+    return table(spark, d, "embeddings").select("vec_id", signals.histogram_fault(h, 64).alias("fault"))
+
+
 _LOO = "WITH t AS (SELECT c_custkey AS k, c_acctbal AS v, sum(c_acctbal) OVER () AS s, count(*) OVER () AS n FROM customer), l AS (SELECT k, abs(v - (s - v) / (n - 1)) AS distance FROM t)"
 
 
 @query("loo_threshold", _LOO + "SELECT round(greatest(1.5 * quantile_cont(distance, 0.99), 0.45), 4) AS threshold, round(avg(distance), 4) AS mean, round(stddev_pop(distance), 4) AS sd FROM l")
 def loo_threshold(spark: SparkSession, d: str) -> DataFrame:
     far = signals.leave_one_out(table(spark, d, "customer").select(F.col("c_acctbal").alias("v")), "v")
-    return far.agg(F.round(F.greatest(F.percentile("distance", 0.99) * 1.5, F.lit(0.45)), 4).alias("threshold"), F.round(F.avg("distance"), 4).alias("mean"), F.round(F.stddev_pop("distance"), 4).alias("sd"))
+    high = signals.percentile(far, "distance", 0.99)
+    return far.agg(F.round(F.greatest(F.lit(high) * 1.5, F.lit(0.45)), 4).alias("threshold"), F.round(F.avg("distance"), 4).alias("mean"), F.round(F.stddev_pop("distance"), 4).alias("sd"))
+
+
+# Forensic layers from their measures; thresholds as a calibration gives them.
+_MEASURES = """m AS (SELECT c_custkey AS doc_id, (c_custkey % 90) / 100.0::DOUBLE AS d_intensity, (c_custkey % 17) / 100.0::DOUBLE AS d_texture, (c_custkey % 31) / 10.0::DOUBLE AS d_gradient,
+  ['acceptable', 'insufficient_quality'][c_custkey % 2 + 1] AS quality, (c_custkey % 19)::DOUBLE AS long_lines, (c_custkey % 83) / 10.0::DOUBLE AS distance, 1.0::DOUBLE + (c_custkey % 61) / 100.0::DOUBLE AS mean_error FROM customer)"""
+_SEV = "CASE WHEN {0} < {1} THEN 'low' WHEN {0} < {2} THEN 'medium' ELSE 'high' END"
+_DECIDED = f"""WITH {_MEASURES},
+l1 AS (SELECT *, d_intensity <= 0.45 AND d_texture <= 0.1 AND d_gradient <= 1.5 AS ok, round(greatest(least(1, d_intensity / 0.9), least(1, d_texture / 0.2), least(1, d_gradient / 3.0)), 4) AS sc FROM m),
+l4 AS (SELECT *, mean_error BETWEEN 1.311 AND 1.4218 AS ok, CASE WHEN mean_error < 1.311 THEN 1.311 - mean_error ELSE mean_error - 1.4218 END AS far FROM m),
+l4s AS (SELECT *, CASE WHEN ok THEN least(abs(mean_error - 1.36) / (greatest(1.4218 - 1.36, 1.36 - 1.311, 0.01) * 1.5), 0.4) ELSE least(0.5 + far / 0.3 * 0.5, 1) END AS sc FROM l4),
+dec AS (
+  SELECT doc_id, 1 AS layer, CASE WHEN ok THEN 'normal' ELSE 'background_consistency_anomaly' END AS finding_type, sc AS score, round(least(1, abs(d_intensity - 0.45) / (0.45 + 1e-9)) * CASE WHEN quality = 'acceptable' THEN 1 ELSE 0.5 END, 4) AS confidence, {_SEV.format("sc", 0.35, 0.7)} AS severity, ok AS passed FROM l1
+  UNION ALL SELECT doc_id, 2, 'photo_boundary_anomaly', round(least(long_lines / 15.0, 1), 4), round(least(1, abs(long_lines - 7.5) / (7.5 + 1e-9)), 4), {_SEV.format("least(long_lines / 15.0, 1)", 0.3, 0.7)}, long_lines <= 7.5 FROM m
+  UNION ALL SELECT doc_id, 3, 'color_consistency_anomaly', round(least(distance / (3.2748 * 1.5), 1), 4), round(least(1, abs(distance - 3.2748) / (3.2748 + 1e-9)), 4), {_SEV.format("least(distance / (3.2748 * 1.5), 1)", 0.3, 0.7)}, distance <= 3.2748 FROM m
+  UNION ALL SELECT doc_id, 4, 'ela_anomaly', round(sc, 4), round(least(1, CASE WHEN ok THEN least(abs(mean_error - 1.311), abs(mean_error - 1.4218)) ELSE far END / 0.1), 4), CASE WHEN ok THEN 'low' WHEN sc >= 0.7 THEN 'high' ELSE 'medium' END, ok FROM l4s)"""
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    m = table(spark, d, "customer").select(
+        k.alias("doc_id"), (k % 90 / 100).alias("d_intensity"), (k % 17 / 100).alias("d_texture"), (k % 31 / 10).alias("d_gradient"), F.when(k % 2 == 0, "acceptable").otherwise("insufficient_quality").alias("quality"),
+        (k % 19).cast("double").alias("long_lines"), (k % 83 / 10).alias("distance"), (1 + k % 61 / 100).alias("mean_error"),
+    )
+    parts = signals.texture_decision(m, 0.45, 0.1, 1.5), signals.boundary_decision(m, 7.5), signals.colour_decision(m, 3.2748), signals.compression_decision(m, 1.311, 1.4218, 1.36)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("layer_decisions", _DECIDED + " SELECT * FROM dec")
+def layer_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(spark, d)
+
+
+@query("flagged_findings", _DECIDED + " SELECT doc_id, layer, severity FROM dec WHERE NOT passed")
+def flagged_findings(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(spark, d).where("not passed").select("doc_id", "layer", "severity")
+
+
+_ENGINE = _DECIDED + """, e AS (SELECT doc_id, layer, doc_id % 29 = layer AS crashed, CASE WHEN doc_id % 6 <> 0 THEN finding_type END AS ft, CASE WHEN doc_id % 5 <> 0 THEN confidence END AS co, CASE WHEN doc_id % 4 <> 0 THEN severity END AS se, passed, score FROM dec),
+filled AS (SELECT doc_id, layer, CASE WHEN crashed THEN 'processing_error' ELSE coalesce(ft, CASE WHEN passed THEN 'normal' ELSE 'anomaly' END) END AS finding_type, CASE WHEN crashed THEN 1.0 ELSE score END AS score, CASE WHEN crashed THEN 0.0 ELSE coalesce(co, 0.5) END AS confidence,
+  CASE WHEN crashed THEN 'high' ELSE coalesce(se, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'medium' ELSE 'high' END) END AS severity, passed AND NOT crashed AS passed, CASE WHEN crashed THEN 'error' ELSE 'ok' END AS status FROM e)"""
+
+
+def _engine(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    some = lambda n, c: F.when(k % n != 0, F.col(c)).alias(c)
+    raw = _decisions(spark, d).select("doc_id", "layer", some(6, "finding_type"), "score", some(5, "confidence"), some(4, "severity"), "passed", (k % 29 == F.col("layer")).alias("crashed"))
+    return signals.with_defaults(raw)
+
+
+@query("engine_defaults", _ENGINE + " SELECT * FROM filled")
+def engine_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d)
+
+
+@query("forensic_summary", _ENGINE + " SELECT doc_id, count(*) AS requested, count(*) FILTER (status = 'ok') AS completed, count(*) FILTER (status <> 'ok') AS failed, count(*) FILTER (NOT passed) AS flagged, bool_and(passed) AS all_passed FROM filled GROUP BY doc_id")
+def forensic_summary(spark: SparkSession, d: str) -> DataFrame:
+    return signals.forensic_summary(_engine(spark, d))
+
+
+@query("box_clamp", """SELECT l_orderkey AS k, l_linenumber AS n, array_to_string([greatest(0, least(x, 400)), greatest(0, least(y, 300)), greatest(0, least(x + w, 400)), greatest(0, least(y + h, 300))], ',') AS box
+FROM (SELECT *, l_partkey % 600 - 100 AS x, l_suppkey % 500 - 100 AS y, l_partkey % 90 AS w, l_suppkey % 70 AS h FROM lineitem)""")
+def box_clamp(spark: SparkSession, d: str) -> DataFrame:
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    box = signals.clamped(F.array(p % 600 - 100, q % 500 - 100, p % 90, q % 70), F.lit(400), F.lit(300))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.array_join(box, ",").alias("box"))
+
+
+@query("patch_boxes", """SELECT p_partkey AS k, CASE WHEN w >= 50 AND h >= 50 AND least(floor(w * 0.05) + floor(w * 0.85), w) - floor(w * 0.05) >= 10 AND least(floor(h * 0.01) + floor(h * 0.045), h) - floor(h * 0.01) >= 5
+  THEN array_to_string([floor(w * 0.05)::INTEGER, floor(h * 0.01)::INTEGER, least(floor(w * 0.05) + floor(w * 0.85), w)::INTEGER, least(floor(h * 0.01) + floor(h * 0.045), h)::INTEGER], ',') END AS box,
+  CASE WHEN p_partkey % 700 < 200 OR (p_partkey % 40) / 10.0 < 0.1 OR p_partkey % 100 > 85 THEN 'unusable' WHEN (p_partkey % 40) / 10.0 < 1.0 OR p_partkey % 100 > 35 OR (p_partkey % 30) / 10.0 < 1.5 THEN 'insufficient_quality' ELSE 'acceptable' END AS quality
+FROM (SELECT p_partkey, p_partkey % 1500 AS w, p_partkey * 7 % 1300 AS h FROM part)""".replace("0.05)", "0.05::DOUBLE)").replace("0.85)", "0.85::DOUBLE)").replace("0.01)", "0.01::DOUBLE)").replace("0.045)", "0.045::DOUBLE)"))
+def patch_boxes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    quality = signals.patch_quality(k % 700, k % 40 / 10, k % 100, k % 30 / 10)
+    return table(spark, d, "part").select(k.alias("k"), F.array_join(signals.patch(k % 1500, k * 7 % 1300), ",").alias("box"), quality.alias("quality"))
+
+
+@query("photo_box", """WITH c AS (SELECT l_orderkey AS doc_id, l_partkey % 700 AS x, l_suppkey % 500 AS y, l_partkey % 300 + 1 AS w, l_suppkey % 300 + 50 AS h FROM lineitem)
+SELECT doc_id, array_to_string([x, y, w, h], ',') AS box FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w * h DESC, y, x) AS r FROM c WHERE w * h / 600000.0 BETWEEN 0.03 AND 0.15 AND w / h::DOUBLE BETWEEN 0.5 AND 1.0) WHERE r = 1""")
+def photo_box(spark: SparkSession, d: str) -> DataFrame:
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (p % 700).alias("x"), (q % 500).alias("y"), (p % 300 + 1).alias("w"), (q % 300 + 50).alias("h"), F.lit(1000).alias("width"), F.lit(600).alias("height"))
+    return signals.photo_box(found).withColumn("box", F.array_join("box", ","))
+
+
+_COLOURS = ["e1", "e2", "e3", "e4", "e5", "e6"]
+_SIX = "six AS (SELECT vec_id, " + ", ".join(f"embedding[{i}]::DOUBLE AS e{i}" for i in range(1, 7)) + " FROM embeddings)"
+
+
+def _six(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(_COLOURS)))
+
+
+@query("colour_covariance", f"WITH {_SIX} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance, round(avg({a}), 8) AS mean_a FROM six" for i, a in enumerate(_COLOURS) for b in _COLOURS[i:]))
+def colour_covariance(spark: SparkSession, d: str) -> DataFrame:
+    return signals.covariance(_six(spark, d), _COLOURS).select("a", "b", F.round("covariance", 8).alias("covariance"), F.round("mean_a", 8).alias("mean_a"))
+
+
+@query("mahalanobis")
+def mahalanobis(spark: SparkSession, d: str) -> DataFrame:
+    """Distances to the baseline of all samples, and whether they are within its threshold. No SQL: it inverts a matrix."""
+    rows = _six(spark, d)
+    mean, inverse, threshold = signals.colour_baseline(rows, _COLOURS)
+    return rows.select("vec_id", F.round(signals.mahalanobis(_COLOURS, mean, inverse), 6).alias("distance")).withColumn("passed", F.col("distance") <= F.lit(threshold))
+
+
+@query("ela_band", "SELECT round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 4) AS mean, round(100 * avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 4) AS over FROM events WHERE event_type = 'click'")
+def ela_band(spark: SparkSession, d: str) -> DataFrame:
+    """The band of genuine samples' errors, and the share above a limit."""
+    v = F.col("value")
+    return table(spark, d, "events").where("event_type = 'click'").agg(F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 4).alias("high"), F.round(F.avg(v), 4).alias("mean"), F.round(100 * F.avg((v > 10).cast("int")), 4).alias("over"))
+
+
+def _names(spark: SparkSession, d: str, fake: bool) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").where(k % 3 != 0 if fake else k % 3 == 0)
+    tail = F.concat(F.lit("_fake_"), (k % 50).cast("string"), F.lit(".jpg")) if fake else F.lit(".jpg")
+    return rows.select(F.when(k % 19 == 0, F.concat(F.lit("other_"), k.cast("string"))).otherwise(F.concat(F.lit("aze_passport_"), (k % 200).cast("string"), tail)).alias("name"))
+
+
+@query("fakes_of_genuine", """WITH n AS (SELECT o_orderkey % 3 <> 0 AS fake, CASE WHEN o_orderkey % 19 = 0 THEN 'other_' || o_orderkey ELSE 'aze_passport_' || o_orderkey % 200 || CASE WHEN o_orderkey % 3 <> 0 THEN '_fake_' || o_orderkey % 50 ELSE '' END || '.jpg' END AS name FROM orders),
+b AS (SELECT *, regexp_extract(name, 'passport_(\\d+)', 1) AS base FROM n WHERE regexp_matches(name, 'passport_\\d+')), g AS (SELECT base, max(name) AS genuine FROM b WHERE NOT fake GROUP BY base)
+SELECT base, genuine, name AS fake FROM b JOIN g USING (base) WHERE fake""")
+def fakes_of_genuine(spark: SparkSession, d: str) -> DataFrame:
+    return signals.fakes_of(_names(spark, d, False), _names(spark, d, True))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    """A saved split of customers."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(F.when(k % 100 < 70, "calibration").when(k % 100 < 85, "validation").otherwise("test").alias("part"), k.alias("base"))
+
+
+@query("split_members", "SELECT o_orderkey AS id, o_custkey AS base FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 100 BETWEEN 70 AND 84)")
+def split_members(spark: SparkSession, d: str) -> DataFrame:
+    return signals.members(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("base")), _split(spark, d), "validation")
+
+
+@query("split_overlap", "SELECT c_custkey AS base, 'calibration,test' AS parts FROM customer WHERE c_custkey % 100 < 70 AND c_custkey % 250 = 0")
+def split_overlap(spark: SparkSession, d: str) -> DataFrame:
+    own = _split(spark, d)
+    leaked = own.where("base % 250 = 0").withColumn("part", F.lit("test"))
+    return signals.overlap(own.unionByName(leaked)).withColumn("parts", F.array_join("parts", ","))
 
 
 _LABELS = "SELECT quality = 1 AS t, doc_id % 3 <> 0 AS p FROM labels"

@@ -23,9 +23,9 @@ def _letter(x: Column) -> Column:
 
 
 def identity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the printed fields (number, nationality, name, dob, issue, expiry as text; dob_source), line1, line2, and
-    ocr_confidence. Defects: 1 dob digit, 2 shifted line, 3 name, 4 issue after expiry, 5 no nationality, 6 no zone,
-    7 dob from the zone, 8 two-digit years, 10 number cut, 11 other dob, 12 impossible date, 13 low OCR, 14 no dob."""
+    """doc_id, the printed fields (number, nationality, name, dob, issue, expiry as text), line1, line2. Defects: 1 dob digit, 2 shifted
+    line, 3 name, 4 issue after expiry, 5 no nationality, 6 no zone, 7 no dob, 8 two-digit years, 9 zone on one line, 10 number
+    cut, 11 other dob, 12 impossible date, 13 low OCR, 14 no issue date, 15 no title, 16 no number, 17 no name, 18 no expiry."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     defect = k % 20
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
@@ -49,17 +49,17 @@ def identity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.col("defect") == 6
     printed = lambda c: F.when(F.col("defect") == 8, F.date_format(c, "dd/MM/yy")).otherwise(F.upper(F.date_format(c, "dd MMM yyyy")))
     other = F.when(F.col("defect") == 11, F.date_add("d_dob", 1)).otherwise(F.col("d_dob"))
-    dob = F.when(F.col("defect") == 12, F.lit("31 FEB 1980")).when(F.col("defect") == 14, F.lit(None)).otherwise(printed(other))
+    dob = F.when(F.col("defect") == 12, F.lit("31 FEB 1980")).when(F.col("defect") != 7, printed(other))
+    unless = lambda d, c: F.when(F.col("defect") != d, c)
     return base.select(
         "doc_id", "defect",
-        F.when(F.col("defect") == 10, F.substring("number", 1, 6)).otherwise(F.col("number")).alias("document_number"),
-        F.when(F.col("defect") == 5, F.lit(" ")).otherwise(F.col("nationality")).alias("nationality"),
-        F.when(F.col("defect") == 3, F.concat(F.lit("DOE "), F.col("sn"))).otherwise(F.concat("gn", F.lit(" "), F.col("sn"))).alias("name"),
-        dob.alias("date_of_birth"), F.when(F.col("defect") == 7, "mrz").otherwise("visual").alias("dob_source"),
-        printed(F.when(F.col("defect") == 4, F.date_add("d_expiry", 30)).otherwise(F.col("d_issue"))).alias("issue_date"),
-        printed(F.col("d_expiry")).alias("expiry_date"),
+        unless(16, F.when(F.col("defect") == 10, F.substring("number", 1, 7)).otherwise(F.col("number"))).alias("document_number"),
+        unless(5, F.col("nationality")).alias("nationality"),
+        unless(17, F.when(F.col("defect") == 3, F.concat(F.lit("DOE "), F.col("sn"))).otherwise(F.concat("gn", F.lit(" "), F.col("sn")))).alias("name"),
+        dob.alias("date_of_birth"),
+        unless(14, printed(F.when(F.col("defect") == 4, F.date_add("d_expiry", 30)).otherwise(F.col("d_issue")))).alias("issue_date"),
+        unless(18, printed(F.col("d_expiry"))).alias("expiry_date"),
         F.when(~no, line1).alias("line1"), F.when(~no, F.when(F.col("defect") == 2, shifted).otherwise(line2)).alias("line2"),
-        F.when(F.col("defect") == 13, 0.4).otherwise(0.95).alias("ocr_confidence"),
     )
 
 
@@ -72,8 +72,8 @@ def _sql_list(names: tuple[str, ...]) -> str:
 
 
 _LETTER = "chr(CAST(({0}) % 26 + 65 AS INTEGER))"
-#: The same documents in SQL, as relations ``doc`` and (with the zone parsed) ``mrz``.
-SQL = f"""
+#: The same documents in SQL, as relation ``src``.
+DOCUMENTS_SQL = f"""
 WITH base AS (
   SELECT c_custkey AS doc_id, c_custkey % 20 AS defect,
     {_LETTER.format("c_custkey")} || lpad(CAST(c_custkey * 7919 % 10000000 AS VARCHAR), 7, '0') AS number,
@@ -91,26 +91,29 @@ body AS (
     || sex || s_exp || c_e || '<<<<<<<<<<<<<<' || '<' AS body FROM dig),
 comp AS (SELECT *, substr(body, 1, 10) || substr(body, 14, 7) || substr(body, 22, 22) AS cdata FROM body),
 l2 AS (SELECT *, body || {_cd("cdata")} AS full2, rpad('P<' || nat || sn || '<<' || replace(gn, ' ', '<'), 44, '<') AS full1 FROM comp),
-doc AS (
+src AS (
   SELECT doc_id, defect,
-    CASE WHEN defect = 10 THEN substr(number, 1, 6) ELSE number END AS document_number,
-    CASE WHEN defect = 5 THEN ' ' ELSE nat END AS nationality,
-    CASE WHEN defect = 3 THEN 'DOE ' || sn ELSE gn || ' ' || sn END AS name,
-    CASE WHEN defect = 12 THEN '31 FEB 1980' WHEN defect = 14 THEN NULL
+    CASE WHEN defect = 16 THEN NULL WHEN defect = 10 THEN substr(number, 1, 7) ELSE number END AS document_number,
+    CASE WHEN defect <> 5 THEN nat END AS nationality,
+    CASE WHEN defect = 17 THEN NULL WHEN defect = 3 THEN 'DOE ' || sn ELSE gn || ' ' || sn END AS name,
+    CASE WHEN defect = 12 THEN '31 FEB 1980' WHEN defect = 7 THEN NULL
       WHEN defect = 8 THEN strftime(d_dob, '%d/%m/%y')
       ELSE upper(strftime(CASE WHEN defect = 11 THEN d_dob + 1 ELSE d_dob END, '%d %b %Y')) END AS date_of_birth,
-    CASE WHEN defect = 7 THEN 'mrz' ELSE 'visual' END AS dob_source,
-    CASE WHEN defect = 8 THEN strftime(d_issue, '%d/%m/%y')
+    CASE WHEN defect = 14 THEN NULL WHEN defect = 8 THEN strftime(d_issue, '%d/%m/%y')
       ELSE upper(strftime(CASE WHEN defect = 4 THEN d_expiry + 30 ELSE d_issue END, '%d %b %Y')) END AS issue_date,
-    CASE WHEN defect = 8 THEN strftime(d_expiry, '%d/%m/%y') ELSE upper(strftime(d_expiry, '%d %b %Y')) END AS expiry_date,
+    CASE WHEN defect = 18 THEN NULL WHEN defect = 8 THEN strftime(d_expiry, '%d/%m/%y') ELSE upper(strftime(d_expiry, '%d %b %Y')) END AS expiry_date,
     CASE WHEN defect <> 6 THEN full1 END AS line1,
-    CASE WHEN defect = 2 THEN substr(full2, 2, 43) || '<' WHEN defect <> 6 THEN full2 END AS line2,
-    CASE WHEN defect = 13 THEN 0.4::DOUBLE ELSE 0.95::DOUBLE END AS ocr_confidence
-  FROM l2),
+    CASE WHEN defect = 2 THEN substr(full2, 2, 43) || '<' WHEN defect <> 6 THEN full2 END AS line2
+  FROM l2)
+"""
+#: Continues SQL with a relation ``doc`` (doc_id, line1, line2 and more): the zone parsed, as relation ``mrz``.
+ZONE_SQL = f""",
 cut AS (
-  SELECT *, line1 IS NOT NULL AS has_mrz, line2 IS NOT NULL AS two_lines, substr(line2, 1, 9) AS p_n, substr(line2, 14, 6) AS p_d,
+  SELECT * REPLACE (rpad(upper(trim(line1)), 44, '<') AS line1, rpad(upper(trim(line2)), 44, '<') AS line2), coalesce(line1, line2) IS NOT NULL AS has_mrz, line1 IS NOT NULL AND line2 IS NOT NULL AS two_lines FROM doc),
+parts AS (
+  SELECT *, substr(line2, 1, 9) AS p_n, substr(line2, 14, 6) AS p_d,
     substr(line2, 22, 6) AS p_e, substr(line2, 29, 14) AS p_o, substr(line2, 1, 10) || substr(line2, 14, 7) || substr(line2, 22, 22) AS p_c
-  FROM doc),
+  FROM cut),
 chk AS (
   SELECT *, substr(line1, 1, 1) AS mrz_type, trim(replace(substr(line1, 3, 3), '<', ' ')) AS issuer,
     trim(replace(split_part(substr(line1, 6), '<<', 1), '<', ' ')) AS surname,
@@ -121,7 +124,7 @@ chk AS (
     {_cd("p_e")} = substr(line2, 28, 1) AS ok_expiry,
     CASE WHEN substr(line2, 43, 1) <> '<' THEN {_cd("p_o")} = substr(line2, 43, 1) END AS ok_optional,
     {_cd("p_c")} = substr(line2, 44, 1) AS ok_composite
-  FROM cut),
-mrz AS (
-  SELECT *, two_lines AND (ok_number OR ok_dob OR ok_expiry OR coalesce(ok_optional, false)) AS reliable FROM chk)
+  FROM parts),
+mrz AS MATERIALIZED (
+  SELECT *, coalesce(two_lines AND (ok_number OR ok_dob OR ok_expiry OR coalesce(ok_optional, false)), false) AS reliable FROM chk)
 """
