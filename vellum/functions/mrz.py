@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters by value, and the cyclic weights of check digits.
-ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# The cyclic weights of check digits, and the width of a line.
 WEIGHTS = (7, 3, 1)
 WIDTH = 44
 
 
 def char_value(c: Column) -> Column:
     """Digits and letters by value; anything else counts 0 (ASCII only)."""
-    return F.greatest(F.instr(F.lit(ALPHABET), c) - 1, F.lit(0))
+    code = F.ascii(c)
+    return F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
 
 
 def check_digit(data: Column) -> Column:
@@ -64,7 +64,8 @@ def checks(line2: Column) -> dict[str, tuple[Column, Column]]:
 def with_mrz(docs: DataFrame) -> DataFrame:
     """Adds the parsed fields, each check's outcome (null where it is skipped), and whether the zone is reliable:
     two lines, and not all of the checks made of parts fail together."""
-    l1, l2 = padded(F.col("line1")), padded(F.col("line2"))
+    docs = docs.withColumns({"padded1": padded(F.col("line1")), "padded2": padded(F.col("line2"))})
+    l1, l2 = F.col("padded1"), F.col("padded2")
     two = F.col("line1").isNotNull() & F.col("line2").isNotNull()
     docs = docs.withColumns({"has_mrz": F.coalesce(F.col("line1"), F.col("line2")).isNotNull(), "two_lines": two})
     docs = docs.withColumns({k: F.when(two, v) for k, v in parsed(l1, l2).items()})
@@ -75,4 +76,4 @@ def with_mrz(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns(found)
     parts = F.filter(F.array("ok_number", "ok_dob", "ok_expiry", "ok_optional"), lambda x: x.isNotNull())
     wrecked = (F.size(parts) >= 2) & ~F.exists(parts, lambda x: x)
-    return docs.withColumn("reliable", two & ~wrecked)
+    return docs.withColumn("reliable", two & ~wrecked).drop("padded1", "padded2")

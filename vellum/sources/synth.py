@@ -37,13 +37,14 @@ def identity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(SURNAMES, k).alias("sn"), pick(GIVEN, F.floor(k / 5)).alias("gn"), pick(("M", "F", "<"), k).alias("sex"),
         day("1950-01-01", 37, 18000).alias("d_dob"), day("2015-01-01", 53, 3000).alias("d_issue"), day("2020-01-01", 71, 4000).alias("d_expiry"),
     )
+    # Each step is a column of its own, which later ones read: so it is computed once.
     six = lambda c: F.date_format(c, "yyMMdd")
-    number9 = F.rpad("number", 9, "<")
-    dob_digit = F.when(F.col("defect") == 1, F.translate(check_digit(six("d_dob")), "0123456789", "1234567890")).otherwise(check_digit(six("d_dob")))
-    optional = F.lit("<" * 14)
-    body = F.concat(number9, check_digit(number9), F.col("nationality"), six("d_dob"), dob_digit, F.col("sex"), six("d_expiry"), check_digit(six("d_expiry")), optional, F.lit("<"))
-    composite = check_digit(F.concat(F.substring(body, 1, 10), F.substring(body, 14, 7), F.substring(body, 22, 22)))
-    line2 = F.concat(body, composite)
+    base = base.withColumns({"number9": F.rpad("number", 9, "<"), "s_dob": six("d_dob"), "s_expiry": six("d_expiry")})
+    base = base.withColumns({"c_number": check_digit(F.col("number9")), "c_dob": check_digit(F.col("s_dob")), "c_expiry": check_digit(F.col("s_expiry"))})
+    dob_digit = F.when(F.col("defect") == 1, F.translate("c_dob", "0123456789", "1234567890")).otherwise(F.col("c_dob"))
+    base = base.withColumn("body", F.concat("number9", "c_number", "nationality", "s_dob", dob_digit, "sex", "s_expiry", "c_expiry", F.lit("<" * 15)))
+    base = base.withColumn("composite", check_digit(F.concat(F.substring("body", 1, 10), F.substring("body", 14, 7), F.substring("body", 22, 22))))
+    line2 = F.concat("body", "composite")
     shifted = F.concat(F.substring(line2, 2, 43), F.lit("<"))
     line1 = F.rpad(F.concat(F.lit("P<"), F.col("nationality"), F.col("sn"), F.lit("<<"), F.translate("gn", " ", "<")), 44, "<")
     no = F.col("defect") == 6
