@@ -28,10 +28,12 @@ _REPLY = "part long, docs binary, hashes binary"
 #: Bits of an anchor's hash that go back to its document, where they only tell its own windows apart.
 _LOW48 = np.uint64((1 << 48) - 1)
 #: Bytes of a hash on its way to its bucket, and back: anchors (a false match only makes a window a candidate), and
-#: windows, whose 128 bits decide.
-ANCHOR_BYTES, WINDOW_BYTES = (5, 6), (16, 8)
+#: windows, whose 96 bits decide.
+ANCHOR_BYTES, WINDOW_BYTES = (5, 6), (12, 8)
 #: Buckets for each shuffle partition. A task sorts its buckets, spilling where it must, and holds one at a time.
-SUB = 16
+SUB = 4
+#: Replies that a task collects over its buckets before it packs them, so that small buckets don't make many small rows.
+REPLIES = 1 << 22
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -75,10 +77,10 @@ def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at.tolist(), np.append(at[1:], len(sorted_)).tolist())
 
 
-def _entries(ids: np.ndarray, h: np.ndarray, second: np.ndarray | None, row: np.ndarray, buckets: int, smaller: bool) -> Iterator[pa.RecordBatch]:
+def _entries(ids: np.ndarray, h: np.ndarray, second: np.ndarray | None, row: np.ndarray, buckets: int, groups: int, smaller: bool) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets of the hashes: each hash of a slice once, with the smallest document there that
     has it (kind 0), so that a very common hash makes one entry a slice. Documents whose hash is shared
-    within the slice already get their answer here (kind 1, dealt by document). ``second`` makes the hashes 128 bits."""
+    within the slice already get their answer here (kind 1, dealt by document). ``second`` makes the hashes 96 bits."""
     if not len(h):
         return
     width, back = ANCHOR_BYTES if second is None else WINDOW_BYTES
@@ -101,7 +103,7 @@ def _entries(ids: np.ndarray, h: np.ndarray, second: np.ndarray | None, row: np.
         pick = by[a:z]
         docs, which = np.unique(own_row[pick], return_inverse=True)
         marked = (which.astype("<u4") << 1 | multi[pick]).astype("<u4" if len(docs) > 32_000 else "<u2")
-        raw = _pack(own_h[pick] // np.uint64(buckets), min(width, 8)) + (b"" if second is None else second[first[pick]].astype("<u8").tobytes())
+        raw = _pack(own_h[pick] // np.uint64(buckets), min(width, 8)) + (b"" if second is None else second[first[pick]].astype("<u4").tobytes())
         out.append((int(bucket[pick[0]]), 0, ids[docs].tobytes(), marked.tobytes(), raw))
     if settled.any():
         rows, hashes = row[settled], h[settled]
@@ -109,20 +111,20 @@ def _entries(ids: np.ndarray, h: np.ndarray, second: np.ndarray | None, row: np.
         rows, hashes = rows[by], hashes[by]
         for a, z in _groups(rows):
             doc = int(ids[rows[a]])
-            out.append((doc % buckets, 1, doc.to_bytes(8, "little", signed=True), b"", _pack(np.unique(hashes[a:z] & _LOW48 if back == 6 else hashes[a:z]), back)))
+            out.append((doc % groups, 1, doc.to_bytes(8, "little", signed=True), b"", _pack(np.unique(hashes[a:z] & _LOW48 if back == 6 else hashes[a:z]), back)))
     if out:
         cols = list(zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "kind", "docs", "which", "hashes"])
 
 
-def _replies(buckets: int, smaller: bool) -> Callable:
+def _replies(buckets: int, groups: int, smaller: bool) -> Callable:
     """Of each bucket: for every entry whose hash other documents have too (``smaller``: smaller ones), its hash. Entries come
     sorted by bucket; one bucket is held at a time."""
     width, back = WINDOW_BYTES if smaller else ANCHOR_BYTES
 
     def send(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each group of documents: the documents, and their hashes in turn."""
-        group = doc % buckets
+        group = doc % groups
         order = np.lexsort((h, doc, group))
         group, doc, h = group[order], doc[order], h[order]
         rows = [(int(group[a]), doc[a:z].tobytes(), _pack(h[a:z] & _LOW48 if back == 6 else h[a:z], back)) for a, z in _groups(group)]
@@ -130,16 +132,17 @@ def _replies(buckets: int, smaller: bool) -> Callable:
             g, d, x = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
 
-    def resolved(entries: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def resolved(entries: list[tuple[int, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and hashes of a bucket's replies."""
         parts = []
         for bucket, docs, which, hashes in entries:
             n = len(hashes) // width
             h = _unpack(hashes[: n * min(width, 8)], min(width, 8)) * np.uint64(buckets) + np.uint64(bucket)
-            second = np.frombuffer(hashes[n * 8 :], "<u8") if width == 16 else np.zeros(n, np.uint64)
+            second = np.frombuffer(hashes[n * 8 :], "<u4") if width == 12 else np.zeros(n, np.uint32)
             of = np.frombuffer(which, "<u2" if len(which) == 2 * n else "<u4").astype(np.int64)
             parts.append((h, second, np.frombuffer(docs, np.int64)[of >> 1], (of & 1).astype(bool)))
         h, second, doc, multi = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((doc, second, h) if width == 16 else (doc, h))
+        order = np.lexsort((doc, second, h) if width == 12 else (doc, h))
         h, second, doc, multi = h[order], second[order], doc[order], multi[order]
         first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (second[1:] != second[:-1])))
         size = np.diff(np.append(first, len(h)))
@@ -149,10 +152,11 @@ def _replies(buckets: int, smaller: bool) -> Callable:
         else:
             most = np.repeat(doc[np.append(first[1:], len(h)) - 1], size)
             good = ((least < most) | np.repeat(np.logical_or.reduceat(multi, first), size)) & ~multi
-        yield from send(doc[good], h[good])
+        return doc[good], h[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, bytes]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             settled: list[tuple[int, bytes, bytes]] = []
             for bucket, kind, docs, which, hashes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "docs", "which", "hashes"))):
@@ -160,20 +164,25 @@ def _replies(buckets: int, smaller: bool) -> Callable:
                     settled.append((bucket, docs * (len(hashes) // back), hashes))
                     continue
                 if held and held[0][0] != bucket:
-                    yield from resolved(held)
+                    found.append(resolved(held))
                     held = []
+                    if sum(len(d) for d, _ in found) > REPLIES:
+                        yield from send(*map(np.concatenate, zip(*found)))
+                        found = []
                 held.append((bucket, docs, which, hashes))
             if settled:
                 g, d, x = zip(*settled)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["part", "docs", "hashes"])
         if held:
-            yield from resolved(held)
+            found.append(resolved(held))
+        if found:
+            yield from send(*map(np.concatenate, zip(*found)))
 
     return run
 
 
 def _sorted_out(width: int) -> Callable:
-    """Replies, sorted by part, to a row for each document; one part is held at a time."""
+    """The replies to the documents dealt to this task: a row for each document."""
 
     def put(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         doc = np.frombuffer(b"".join(d for d, _ in parts), np.int64)
@@ -186,14 +195,7 @@ def _sorted_out(width: int) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in some]]), pa.array([h[a:z].tobytes() for a, z in some], pa.binary())], ["key", "replies"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            for part, docs, hashes in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "hashes"))):
-                if held and part != now:
-                    yield from put(held)
-                    held = []
-                now = part
-                held.append((docs, hashes))
+        held = [x for batch in batches for x in zip(batch.column("docs").to_pylist(), batch.column("hashes").to_pylist())]
         if held:
             yield from put(held)
 
@@ -205,7 +207,7 @@ def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(flat), starts
 
 
-def _anchors(buckets: int) -> Callable:
+def _anchors(buckets: int, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in _texts(batches):
             h, starts = _hashed(text)
@@ -216,7 +218,7 @@ def _anchors(buckets: int) -> Callable:
             m = len(wide)
             good = whole_windows(starts, ANCHOR) & np.isin(at[:m] % PERIOD, COVER) & (n[row[:m]] >= WIDTH)
             # Five bytes of a hash and its bucket are enough here: a false match only makes a window a candidate.
-            yield from _entries(batch.column("doc_id").to_numpy(), wide[good] % np.uint64(buckets << 40), None, row[:m][good], buckets, False)
+            yield from _entries(batch.column("doc_id").to_numpy(), wide[good] % np.uint64(buckets << 40), None, row[:m][good], buckets, groups, False)
 
     return run
 
@@ -239,14 +241,14 @@ def _near(h: np.ndarray, starts: np.ndarray, replies: list[bytes | None], bucket
     return mask
 
 
-def _candidates(buckets: int) -> Callable:
+def _candidates(buckets: int, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in _texts(batches):
             h, starts = _hashed(text)
             row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             mask = _near(h, starts, batch.column("replies").to_pylist(), buckets)
             if mask.any():
-                yield from _entries(batch.column("doc_id").to_numpy(), window_hashes(h, WIDTH)[mask], window_hashes(h, WIDTH, _SECOND)[mask], row[: len(mask)][mask], buckets, True)
+                yield from _entries(batch.column("doc_id").to_numpy(), window_hashes(h, WIDTH)[mask], window_hashes(h, WIDTH, _SECOND)[mask] >> np.uint64(32), row[: len(mask)][mask], buckets, groups, True)
 
     return run
 
@@ -283,8 +285,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     is smaller, so both lose only what smaller documents have. Empty table: no rows.
 
     Texts are shuffled once, compressed, by document; each later pass joins them where they lie. Spark sorts the hashes of
-    a task by bucket, spilling where it must; Python holds one bucket of SUB a partition at a time. That two documents have a window
-    in common is decided by 128 bits.
+    a task by bucket, spilling where it must; Python holds one bucket of SUB a partition at a time, and of the replies, which are
+    the shared hashes alone, those of a partition's documents. That two documents have a window in common is decided by 96 bits.
     """
     parts = partitions(docs.sparkSession)
     buckets = SUB * parts
@@ -293,12 +295,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     dealt = base.mapInArrow(_packed, schema).repartition(parts, "key")
 
     def collected(entries: DataFrame, smaller: bool) -> DataFrame:
-        replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, smaller), _REPLY)
+        replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, parts, smaller), _REPLY)
         sorted_out = _sorted_out(WINDOW_BYTES[1] if smaller else ANCHOR_BYTES[1])
-        return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sorted_out, "key long, replies binary").hint("shuffle_hash")
+        return replies.repartition(parts, "part").mapInArrow(sorted_out, "key long, replies binary").hint("shuffle_hash")
 
-    shared = collected(dealt.mapInArrow(_anchors(buckets), _ENTRY), False)
+    shared = collected(dealt.mapInArrow(_anchors(buckets, parts), _ENTRY), False)
     near = dealt.join(shared, "key").select("doc_id", "packed", "replies")
-    covered = collected(near.mapInArrow(_candidates(buckets), _ENTRY), True)
+    covered = collected(near.mapInArrow(_candidates(buckets, parts), _ENTRY), True)
     out = dealt.join(covered, "key", "left").select("doc_id", "packed", "replies")
     return out.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_text string")
