@@ -14,12 +14,15 @@ from vellum.llm.compression_quality import quality_scores
 from vellum.llm.decontamination import decontaminate
 from vellum.llm.language_id import languages
 from vellum.llm.line_quality import quality_rules
+from vellum.llm.merkle import manifest
 from vellum.llm.mixing import MIX_SQL, mixed
 from vellum.llm.near_dup import near_duplicates
+from vellum.llm.prefix_trie import prefix_trie
 from vellum.llm.secret_scan import secret_spans
 from vellum.llm.sharding import sharded
 from vellum.llm.substring_dedup import substring_dedup
 from vellum.llm.token_counts import section_tokens
+from vellum.llm.url_filter import blocked_pages, url_filter
 
 
 def _docs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -42,6 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": _docs(_substrings),
         "op9_language_id": _docs(languages),
         "op10_sharding": _docs(sharded),
+        "op11_merkle_manifest": _docs(lambda docs: manifest(docs).drop("path")),
+        "op12_prefix_trie": lambda spark, d: prefix_trie(table(spark, d, "conversations")),
+        "op13_url_filter": lambda spark, d: url_filter(table(spark, d, "pages"), blocked_pages(table(spark, d, "pages"), table(spark, d, "labels"))),
         "pipeline": corpus_pipeline.run,
     }
 
