@@ -3,6 +3,8 @@ repositories and owners, which parts widely copied examples from live-looking cr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +33,64 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(marked, "\x01")
 
 
+#: Pieces of a text whose offsets are added up together: an array grows by one only within a block, and by blocks.
+BLOCK = 128
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(n: Column, size: int) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+
+
 def _matches(pieces: str, kind: int, least: int) -> Column:
     """Array of (start, rank, end, value) of all non-overlapping matches from the left, values of ``least`` characters.
 
-    Matches are marked in the text, which is then cut at the marks, and lengths add up to offsets. Texts that
-    have the marks themselves have them replaced by another control, which no pattern matches either.
+    Matches are marked in the text, which is then cut at the marks, and lengths add up to offsets, block by block: the work grows
+    with the matches, and with the square of their blocks alone. Texts that have the marks themselves have them replaced by another
+    control, which no pattern matches either.
     """
 
-    def add(acc: Column, piece: Column) -> Column:
+    def cut(piece: Column) -> Column:
         lead, value = F.substring_index(piece, "\x04", 1), F.substring_index(F.substring_index(piece, "\x02", 1), "\x04", -1)
-        end = acc["at"] + F.length(lead) + F.length(value)
-        hit = F.struct(acc["at"].alias("start"), F.lit(kind).alias("rank"), end.alias("end"), value.alias("value"))
-        found = F.when(F.length(value) >= least, F.array_append(acc["found"], hit)).otherwise(acc["found"])
-        return F.struct((acc["at"] + F.length(piece) - 2).alias("at"), found.alias("found"))
+        return F.struct(F.length(lead).alias("lead"), value.alias("value"), (F.length(piece) - 2).alias("size"))
+
+    def add(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["lead"] + F.length(x["value"])
+        hit = F.struct(acc["at"].alias("start"), F.lit(kind).alias("rank"), end.alias("end"), x["value"].alias("value"))
+        found = F.when(F.length(x["value"]) >= least, F.array_append(acc["found"], hit)).otherwise(acc["found"])
+        return F.struct((acc["at"] + x["size"]).alias("at"), found.alias("found"))
 
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), none.alias("found"))
-    return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, add, lambda acc: acc["found"])).otherwise(none)
+
+    def placed(cuts: Column) -> Column:
+        part = lambda b: F.slice(cuts, b * BLOCK + 1, F.lit(BLOCK))
+        sizes = F.transform(_blocks(F.size(cuts), BLOCK), lambda b: F.aggregate(part(b), F.lit(0), lambda n, x: n + x["size"]))
+        begins = F.aggregate(sizes, F.array(F.length(F.element_at(pieces, 1))), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        own = lambda b, at: F.aggregate(part(b), F.struct(at.alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+        return _once(begins, lambda at: F.flatten(F.transform(_blocks(F.size(cuts), BLOCK), lambda b: own(b, at[b]))))
+
+    cuts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), cut)
+    return F.when(F.size(pieces) > 1, _once(cuts, placed)).otherwise(none)
+
+
+def _free(more: Column, base: Column, blocks: tuple[int, ...] = (16_384, 128)) -> Column:
+    """Spans of ``more`` that overlap none of ``base``. Those of a block (``more`` is in order) meet only the base spans that reach
+    into its range, so that the work grows with the overlaps and not with the product."""
+    meets = lambda m, b: (m["start"] < b["end"]) & (b["start"] < m["end"])
+    if not blocks:
+        return F.filter(more, lambda m: ~F.exists(base, lambda b: meets(m, b)))
+
+    def block(part: Column) -> Column:
+        first, last = part[0]["start"], F.element_at(part, -1)["end"]
+        near = F.filter(base, lambda b: (b["end"] > first) & (b["start"] < last))
+        return _once(near, lambda near: _free(part, near, blocks[1:]))
+
+    each = F.transform(_blocks(F.size(more), blocks[0]), lambda b: _once(F.slice(more, b * blocks[0] + 1, F.lit(blocks[0])), block))
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), F.flatten(each)).otherwise(more)
 
 
 def mixed_value(value: Column) -> Column:
@@ -93,8 +136,8 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
         F.monotonically_increasing_id().alias("row"),
     ).select("doc_id", "owner", "repository", "row", *(_matches(f"p{k}", k, least).alias(c) for k, (c, least) in enumerate({"assign": 12, "access": 1, "hex": 1, "more": 1}.items())))
     base = F.concat("assign", "access", "hex")
-    free = lambda m: mixed_value(m["value"]) & ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
-    found = found.withColumn("base", base).withColumn("more", F.filter("more", free))
+    found = found.withColumn("base", base).withColumn("more", F.filter("more", lambda m: mixed_value(m["value"])))
+    found = found.withColumn("more", _once(F.col("base"), lambda of: _once(F.col("more"), lambda more: _free(more, of))))
     keyed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("key"), live(s["value"]).alias("live")))
 
     # Without the texts this is small, and the row's number holds from here on.
