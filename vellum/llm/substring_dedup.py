@@ -30,7 +30,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 #: Bytes of a hash on its way to its bucket, and back: anchors (a false match only makes a window a candidate), and
 #: windows, whose 96 bits decide.
 ANCHOR_BYTES, WINDOW_BYTES = (5, 6), (12, 8)
-#: Buckets for each shuffle partition. A task sorts its buckets, spilling where it must, and holds one at a time.
+#: Buckets for each shuffle partition, and groups of documents that replies go to. Spark sorts a task's rows by these, spilling where it
+#: must, and Python holds one at a time.
 SUB = 4
 #: Replies that a task collects over its buckets before it packs them, so that small buckets don't make many small rows.
 REPLIES = 1 << 22
@@ -182,7 +183,7 @@ def _replies(buckets: int, groups: int, smaller: bool) -> Callable:
 
 
 def _sorted_out(width: int) -> Callable:
-    """The replies to the documents dealt to this task: a row for each document."""
+    """The replies to the documents dealt to this task, a row for each document. They come sorted by group of documents; one group is held."""
 
     def put(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         doc = np.frombuffer(b"".join(d for d, _ in parts), np.int64)
@@ -195,7 +196,14 @@ def _sorted_out(width: int) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in some]]), pa.array([h[a:z].tobytes() for a, z in some], pa.binary())], ["key", "replies"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for batch in batches for x in zip(batch.column("docs").to_pylist(), batch.column("hashes").to_pylist())]
+        at, held = None, []
+        for batch in batches:
+            for part, docs, hashes in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "hashes"))):
+                if part != at and held:
+                    yield from put(held)
+                    held = []
+                at = part
+                held.append((docs, hashes))
         if held:
             yield from put(held)
 
@@ -285,22 +293,22 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     is smaller, so both lose only what smaller documents have. Empty table: no rows.
 
     Texts are shuffled once, compressed, by document; each later pass joins them where they lie. Spark sorts the hashes of
-    a task by bucket, spilling where it must; Python holds one bucket of SUB a partition at a time, and of the replies, which are
-    the shared hashes alone, those of a partition's documents. That two documents have a window in common is decided by 96 bits.
+    a task by bucket and its replies by group of documents, spilling where it must; Python holds one bucket or one group of SUB a partition at a
+    time. Texts meet their replies in a sort-merge join, which spills too. That two documents have a window in common is decided by 96 bits.
     """
     parts = partitions(docs.sparkSession)
-    buckets = SUB * parts
+    buckets = groups = SUB * parts
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())])
     dealt = base.mapInArrow(_packed, schema).repartition(parts, "key")
 
     def collected(entries: DataFrame, smaller: bool) -> DataFrame:
-        replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, parts, smaller), _REPLY)
+        replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, groups, smaller), _REPLY)
         sorted_out = _sorted_out(WINDOW_BYTES[1] if smaller else ANCHOR_BYTES[1])
-        return replies.repartition(parts, "part").mapInArrow(sorted_out, "key long, replies binary").hint("shuffle_hash")
+        return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sorted_out, "key long, replies binary").hint("merge")
 
-    shared = collected(dealt.mapInArrow(_anchors(buckets, parts), _ENTRY), False)
+    shared = collected(dealt.mapInArrow(_anchors(buckets, groups), _ENTRY), False)
     near = dealt.join(shared, "key").select("doc_id", "packed", "replies")
-    covered = collected(near.mapInArrow(_candidates(buckets, parts), _ENTRY), True)
+    covered = collected(near.mapInArrow(_candidates(buckets, groups), _ENTRY), True)
     out = dealt.join(covered, "key", "left").select("doc_id", "packed", "replies")
     return out.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_text string")
