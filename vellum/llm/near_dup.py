@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import mixed, slices, split_words, spread_join, whole_windows, window_hashes, word_hashes, written
+from vellum.llm.common import maybe_among, mixed, slices, split_words, spread_join, whole_windows, window_hashes, word_hashes, written
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
@@ -119,12 +119,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are written before they are joined: a join of two plain exchanges is one that adaptive execution can split at a hub.
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # A hub's links are counted with its minimum, so that they are dealt over salts where they are many.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        large = spread_join(both.where("v > u"), low, "u", rows_of="n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = spread_join(large, least, "u", rows_of="n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         links = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         state = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
@@ -201,13 +201,8 @@ def _across(texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` may be among ``ids`` (rep): a sieve of 2**23 bits in 2**17 rows at most, whatever the input, drops
-    most others before their texts are shuffled. A full sieve drops none; the join that follows is exact."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
-    sieve = ids.select(at("rep").alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits"))
-    held = rows.withColumn("h", at(key)).join(F.broadcast(sieve), F.floor(F.col("h") / 64) == F.col("word"))
-    return held.where(F.col("bits").bitwiseAND(bit(F.col("h"))) != 0).drop("h", "word", "bits")
+    """``rows`` whose ``key`` may be among ``ids`` (rep), so that most other texts are not shuffled; the join that follows is exact."""
+    return maybe_among(rows, key, ids.select("rep")).where("maybe").drop("maybe")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -224,21 +219,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     doc_id count as linked. Empty table: no rows.
     """
     own = written(signatures(docs), "signatures")
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"))
+    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes, "classes")  # so that the joins below can split a large class
-    reps = own.select("set_lo", "set_hi", "doc_id", "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi")
+    reps = own.select("set_lo", "set_hi", "doc_id", "bands").join(classes.select("set_lo", "set_hi", F.col("rep").alias("doc_id")), ["set_lo", "set_hi", "doc_id"], "left_semi")
     banded = written(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "banded")
     shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = written(spread_join(banded, shared, "key", rows_of="n"), "members")
     degree = written(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degree")
     whole = written(members.join(degree, "rep").select("key", "rep", "degree", F.col("rep").alias("component")), "active")
-    signature = written(_sifted(own.select("doc_id", "set_lo", "set_hi", "signature"), "doc_id", degree).join(classes.withColumnRenamed("rep", "doc_id"), ["set_lo", "set_hi", "doc_id"], "left_semi").join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "signature"), "reps")
+    signature = written(_sifted(own.select("doc_id", "set_lo", "set_hi", "signature"), "doc_id", degree).join(classes.select("set_lo", "set_hi", F.col("rep").alias("doc_id")), ["set_lo", "set_hi", "doc_id"], "left_semi").join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "signature"), "reps")
     text = written(_sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", degree).join(degree, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
     found = docs.sparkSession.createDataFrame([], "node long, component long")
 
     def linked(close: DataFrame) -> DataFrame:
-        # The hub's text comes last, so that it is not shuffled with each of its pairs.
-        texts = close.join(text.select("rep", F.col("text").alias("text_rep")), "rep").join(text.select(F.col("rep").alias("hub"), F.col("text").alias("text_hub")), "hub")
+        # The hub's text comes last, so that it is not shuffled with each of its pairs; those of a hub with many are dealt over salts.
+        close = written(close, "close")
+        of_hub = close.groupBy("hub").agg(F.count("*").alias("n"))
+        hub_text = written(text.select(F.col("rep").alias("hub"), F.col("text").alias("text_hub")).join(of_hub, "hub"), "hub-texts")
+        texts = spread_join(close.join(text.select("rep", F.col("text").alias("text_rep")), "rep"), hub_text, "hub", rows_of="n")
         return texts.select("rep", "hub", "text_rep", "text_hub").mapInArrow(_linked(threshold), "rep long, hub long").withColumnsRenamed({"rep": "a", "hub": "b"})
 
     def merged(links: DataFrame) -> DataFrame:
@@ -264,7 +262,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
         met = spread_join(active, hubs, "key", rows_of="n").where("component <> other")
         # A pair once, whichever of the two is the hub, or both are.
         pairs = met.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(F.min("hub").alias("hub")).select(F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("rep"), "hub")
-        signed = pairs.join(signature.select("rep", F.col("signature").alias("sig_rep")), "rep").join(signature.select(F.col("rep").alias("hub"), F.col("signature").alias("sig_hub")), "hub")
+        pairs = written(pairs, "pairs")
+        hub_signature = written(signature.select(F.col("rep").alias("hub"), F.col("signature").alias("sig_hub")).join(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hub"), "hub-signatures")
+        signed = spread_join(pairs.join(signature.select("rep", F.col("signature").alias("sig_rep")), "rep"), hub_signature, "hub", rows_of="n")
         found = merged(linked(signed.select("rep", "hub", "sig_rep", "sig_hub").mapInArrow(_alike, "rep long, hub long")))
         of_hub = written(placed(hubs.select("key", "n", F.col("hub").alias("rep"))).select("key", "n", F.col("component").alias("other")), "of-hub")
         active = written(spread_join(placed(active), of_hub, "key", rows_of="n").where("component <> other").drop("other", "n"), "active")
@@ -273,8 +273,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     if not open_.isEmpty():
         across = _across(text.join(open_, "rep").select("rep", "component", "text"), threshold)
         found = merged(linked(across.withColumnsRenamed({"a": "rep", "b": "hub"})))
-    out = own.select("doc_id", "n_shingles", "set_lo", "set_hi").join(classes, ["set_lo", "set_hi"], "left")
-    out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    linked_to: Column = F.coalesce("component", "rep", "doc_id")
+    # Sets of many documents are dealt over salts; documents without words, which may be as many, have no class to join.
+    set_ = F.struct("set_lo", "set_hi").alias("set")
+    final = written(classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(set_, F.coalesce("component", "rep").alias("component"), "n"), "final")
+    out = spread_join(own.where("n_shingles > 0").select("doc_id", "n_shingles", set_), final, "set", "left", rows_of="n").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    linked_to: Column = F.coalesce("component", "doc_id")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(linked_to)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
