@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shared_dir, table, written
+from vellum.llm.common import maybe_among, shared_dir, table, written
 from vellum.llm.compression_quality import good_documents
 from vellum.llm.decontamination import clean_documents
 from vellum.llm.mixing import mixed
@@ -47,13 +47,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing and all stay, as do documents without words, null or empty. Of equal texts the smallest doc_id stays. Columns of any
     name pass. An empty table stays empty.
     """
-    near = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null")
-    kept = written(near.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    repeated = written(kept.where("n > 1"), "repeated")  # ids alone, most often none, so that no other text is shuffled
-    rows = docs.select(_row(docs))  # a column by itself, so that no name of the documents clashes
-    among = lambda ids: rows.join(ids, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
-    one = among(repeated).groupBy(F.col("row.doc_id").alias("of")).agg(F.first("row").alias("row")).select("row")
-    return among(kept.where("n = 1")).unionByName(one).unionByName(rows.where("row.doc_id is null")).select("row.*")
+    near = near_duplicates(docs, threshold=NEAR).where("doc_id is not null")
+    judged = near.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    odd = written(judged.where("n > 1 or not kept"), "odd")  # ids that go, or that stand in several rows: the fewer
+    rows = docs.select(_row(docs), F.col("doc_id").cast("long").alias("id"))  # a column by itself, so that no name of the documents clashes
+    rows = maybe_among(rows, "id", odd.select("id"))  # the other texts are not shuffled
+    met = rows.where("maybe").join(odd, "id", "left")
+    one = met.where("kept").groupBy("id").agg(F.first("row").alias("row"))
+    return rows.where("not maybe").select("row").unionByName(met.where("n is null").select("row")).unionByName(one.select("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +73,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken at its rate, though they add no words; a source without any words is not taken. Repeated rows and rows without a
     doc_id are each lined up. Columns of any name pass. An empty table stays empty.
     """
-    taken = mixed(docs.select("doc_id", "text", "source", _row(docs)), keep=("row",)).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    rows = docs.select(_row(docs), F.monotonically_increasing_id().alias("at"))  # the same for each read of a written table
+    light = rows.select("row.doc_id", "row.text", "row.source", "at")
+    taken = mixed(light, keep=("at",)).where("copies > 0").select("at", "copies")
+    return rows.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

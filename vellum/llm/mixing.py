@@ -56,7 +56,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     the source's offset crosses. The offset comes from ``seed`` and the source: reruns agree.
 
     Prefix sums are taken in parts (size class and two hex digits of the hashed id), then over the parts of a
-    source, at most some hundred thousand whatever the input; a source of a third of all rows is spread over them.
+    source, at most some hundred thousand whatever the input; a source of a third of all rows is spread over them. Texts are split once and
+    not shuffled; ``keep`` is written and ranked with the sizes, so it should be small, such as a row's number.
 
     Needs columns doc_id, text and source; others are ignored unless in ``keep``. Text null or empty: size 0, taken 0. A
     null source is a source, last in order. doc_id null, repeated rows: lined up like others; which of equal
@@ -68,7 +69,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     # One key of the part, never null, so that ranking and the join below share one exchange of the rows.
     part = F.md5(F.concat_ws("|", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")), "class", F.substring("h", 1, 2)))
     base = base.withColumn("part", F.substring("h", 1, 2)).withColumn("key", part)
-    light = written(base.select("doc_id", "source", "size", "class", "h", "part", "key"), "sizes") if not keep else base
+    light = written(base.select("doc_id", "source", "size", "class", "h", "part", "key", *keep), "sizes")
     parts = written(light.groupBy("key", "source", "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "parts")
     targets = written(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs), "targets")
     order = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
