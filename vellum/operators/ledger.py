@@ -7,9 +7,10 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vellum.functions.numbers import json_string, json_text
 
 GENESIS = "0" * 64
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
@@ -24,19 +25,12 @@ def canonical_time(ts: Column) -> Column:
     return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def _ordered(value: Column, kind: T.DataType) -> Column:
-    """A struct with its fields by name, all the way down."""
-    if isinstance(kind, T.StructType):
-        return F.when(value.isNotNull(), F.struct(*(_ordered(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _ordered(x, kind.elementType))
-    return value
-
-
 def canonical(rows: DataFrame, *fields: str) -> Column:
-    """JSON of the fields: keys by name, no spaces, nulls kept."""
-    named = [_ordered(F.col(f), rows.schema[f].dataType).alias(f) for f in sorted(fields)]
-    return F.to_json(F.struct(*named), {"ignoreNullFields": "false"})
+    """JSON of the fields: keys by name, all the way down, no spaces, nulls kept, floats as ``python_text`` prints them."""
+    parts: list[Column] = []
+    for k, f in enumerate(sorted(fields)):
+        parts += [F.lit("," if k else ""), json_string(F.lit(f)), F.lit(":"), json_text(F.col(f), rows.schema[f].dataType)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
 def with_hash(transactions: DataFrame, name: str = "hash") -> DataFrame:
@@ -111,6 +105,22 @@ def sealed(rows: DataFrame, head: tuple[int, str] | None = None, difficulty: int
     return flat.repartitionByRange(1, "block_index").sortWithinPartitions("block_index").mapInArrow(link, BLOCK)
 
 
+def mined(spark: SparkSession, index: int, timestamp: str, prev: str, merkle: str, difficulty: int, first: int = 0, span: int = 1 << 18) -> tuple[int, str]:
+    """The least nonce from ``first`` on whose header's hash begins with ``difficulty`` zeros, and that hash.
+
+    Ranges of ``span`` nonces are searched one after the other, each by all tasks at once; the least hit of the first range that has
+    one is the least of all, whichever task is the first to find one. The driver gets a row a range.
+    """
+    nonce, zeros = F.col("id"), "0" * difficulty
+    digest = F.sha2(header(F.lit(index), F.lit(timestamp), F.lit(prev), F.lit(merkle), F.lit(difficulty), nonce), 256)
+    while True:
+        tried = spark.range(first, first + span).select("id", digest.alias("hash")).where(F.col("hash").startswith(zeros))
+        hit = tried.agg(F.min_by(F.struct("id", "hash"), "id").alias("h")).first()["h"]
+        if hit is not None:
+            return hit["id"], hit["hash"]
+        first += span
+
+
 def verified(chain: DataFrame, transactions: DataFrame) -> DataFrame:
     """One row: ok, blocks, transactions, head, broken_at, reason. ``transactions`` have block_index, their contents, and the stored ``hash``.
 

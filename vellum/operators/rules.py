@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.dates import parse_date, parse_mrz_date
@@ -14,17 +17,40 @@ DATES = ("date_of_birth", "issue_date", "expiry_date")
 CHECKS = {"NUMBER": "document_number", "DOB": "date_of_birth", "EXPIRY": "expiry_date", "OPTIONAL": "optional", "COMPOSITE": "composite"}
 
 
-#: What each type of document must have; other types are held to the passport's.
-REQUIRED_BY_TYPE = {"passport": (*REQUIRED, "mrz")}
+@dataclass(frozen=True)
+class RuleSet:
+    """What a type of document is held to: its groups of rules, in order, and the fields it must have (``mrz`` is one)."""
+
+    groups: tuple[str, ...]
+    required: tuple[str, ...]
+
+
+COMMON = ("required_field", "format", "date", "mrz", "consistency")
+#: The catalogue: a row a type. Types that aren't in it are held to the passport's.
+CATALOGUE = {"passport": RuleSet((*COMMON, "passport"), (*REQUIRED, "mrz"))}
+FALLBACK = "passport"
+
 
+def catalogue_table(spark: SparkSession, catalogue: dict[str, RuleSet] = CATALOGUE) -> DataFrame:
+    """The catalogue as a table (type, groups, required), as a deployment keeps it."""
+    return spark.createDataFrame([(t, list(r.groups), list(r.required)) for t, r in sorted(catalogue.items())], "type string, groups array<string>, required array<string>")
 
-def missing_fields(typed: DataFrame, present: DataFrame) -> DataFrame:
-    """(doc_id, type) and (doc_id, field) to the (doc_id, field) that the type requires and the document lacks. The requirements are
-    a table of a row a type, which is broadcast."""
-    spark = typed.sparkSession
-    need = spark.createDataFrame([(t, list(f)) for t, f in REQUIRED_BY_TYPE.items()], "type string, need array<string>")
-    default = F.array(*map(F.lit, REQUIRED_BY_TYPE["passport"]))
-    wanted = typed.join(F.broadcast(need), "type", "left").select("doc_id", F.explode(F.coalesce("need", default)).alias("field"))
+
+def read_catalogue(table: DataFrame) -> dict[str, RuleSet]:
+    """The catalogue of such a table. A group that no rules are registered for is an error, as is a table without the fallback type."""
+    found = {r["type"]: RuleSet(tuple(r["groups"]), tuple(r["required"])) for r in table.collect()}  # a row a type
+    unknown = {g for r in found.values() for g in r.groups} - set(GROUPS)
+    if unknown or FALLBACK not in found:
+        raise ValueError(f"no rules for {sorted(unknown)}" if unknown else f"no rules for type {FALLBACK}, which others fall back to")
+    return found
+
+
+def missing_fields(typed: DataFrame, present: DataFrame, catalogue: dict[str, RuleSet] = CATALOGUE) -> DataFrame:
+    """(doc_id, type) and (doc_id, field) to the (doc_id, field) that the type requires and the document lacks. The catalogue has a row a
+    type, which is broadcast."""
+    need = catalogue_table(typed.sparkSession, catalogue).select("type", "required")
+    default = F.array(*map(F.lit, catalogue[FALLBACK].required))
+    wanted = typed.join(F.broadcast(need), "type", "left").select("doc_id", F.explode(F.coalesce("required", default)).alias("field"))
     return wanted.join(present.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
 
 
@@ -72,30 +98,71 @@ def _finding(rule: str, category: str, field: str, when: Column, status: Column,
     return F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(field).alias("field"), status.alias("status"), low.alias("severity")))
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, rule_id, category, field, status, severity) of ``prepared`` documents, in catalogue order."""
-    c, yes = F.col, F.lit(True)
-    ok = lambda good, bad: F.when(F.coalesce(good, F.lit(False)), "PASS").otherwise(bad)
-    sev = F.lit
-    has, good = c("has_mrz"), c("reliable")
-    uses = (c("dob_usable"), c("issue_usable"), c("expiry_usable"))
-    dob, issue, expiry = (F.when(use, c(day)) for use, day in zip(uses, ("dob_date", "issue_day", "expiry_day")))
-    out = [_finding(f"REQUIRED_{f.upper()}", "required_field", f, yes, ok(F.trim(c(f)) != "", "FAIL"), sev("MEDIUM")) for f in REQUIRED]
-    out.append(_finding("REQUIRED_MRZ", "required_field", "mrz", yes, ok(has, "WARNING"), sev("MEDIUM")))
-    out += [_finding(f"FORMAT_NONEMPTY_{f.upper()}", "format", f, c(f).isNotNull() & (F.trim(c(f)) == ""), F.lit("FAIL"), sev("LOW")) for f in REQUIRED]
+def _ok(good: Column, bad: str) -> Column:
+    return F.when(F.coalesce(good, F.lit(False)), "PASS").otherwise(bad)
+
+
+def _dates() -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    """Whether each date field is usable, and its day if so."""
+    uses = tuple(F.col(x) for x in ("dob_usable", "issue_usable", "expiry_usable"))
+    return uses, tuple(F.when(use, F.col(day)) for use, day in zip(uses, ("dob_date", "issue_day", "expiry_day")))
+
+
+GROUPS: dict[str, Callable[[RuleSet], list[Column]]] = {}
+
+
+def rule_group(name: str) -> Callable:
+    """Register the rules of a group: a function of a type's rule set to its findings, in order."""
+    def add(f: Callable[[RuleSet], list[Column]]) -> Callable[[RuleSet], list[Column]]:
+        GROUPS[name] = f
+        return f
+
+    return add
+
+
+@rule_group("required_field")
+def _required(held: RuleSet) -> list[Column]:
+    one = lambda f: _finding(f"REQUIRED_{f.upper()}", "required_field", f, F.lit(True), _ok(F.col("has_mrz"), "WARNING") if f == "mrz" else _ok(F.trim(F.col(f)) != "", "FAIL"), F.lit("MEDIUM"))
+    return [one(f) for f in held.required]
+
+
+@rule_group("format")
+def _formats(held: RuleSet) -> list[Column]:
+    c, ok, sev = F.col, _ok, F.lit
+    out = [_finding(f"FORMAT_NONEMPTY_{f.upper()}", "format", f, c(f).isNotNull() & (F.trim(c(f)) == ""), F.lit("FAIL"), sev("LOW")) for f in REQUIRED]
     out.append(_finding("FORMAT_NATIONALITY", "format", "nationality", c("v_nationality").isNotNull(), ok(F.upper("v_nationality").rlike("^[A-Z]{3}$"), "WARNING"), sev("LOW")))
     out.append(_finding("FORMAT_DOCUMENT_NUMBER_GENERIC", "format", "document_number", c("v_number").isNotNull(), ok(c("v_number").rlike(r"^[A-Za-z0-9\- ]{4,20}$"), "WARNING"), sev("LOW")))
+    return out
+
+
+@rule_group("date")
+def _date_rules(held: RuleSet) -> list[Column]:
+    c, ok, sev, out = F.col, _ok, F.lit, []
+    uses, (dob, issue, expiry) = _dates()
     for field, use, day in zip(DATES, uses, (dob, issue, expiry)):
         out.append(_finding(f"DATE_VALID_{field.upper()}", "date", field, use, ok(day.isNotNull(), "FAIL"), sev("HIGH")))
     out.append(_finding("DATE_ISSUE_BEFORE_EXPIRY", "date", "issue_date", issue.isNotNull() & expiry.isNotNull(), ok(issue < expiry, "FAIL"), sev("HIGH")))
     out.append(_finding("DATE_EXPIRY_STATUS", "date", "expiry_date", expiry.isNotNull(), ok(expiry >= c("as_of"), "WARNING"), sev("LOW")))
     out.append(_finding("DATE_DOB_BEFORE_ISSUE", "date", "date_of_birth", dob.isNotNull() & issue.isNotNull(), ok(dob < issue, "FAIL"), sev("HIGH")))
+    return out
+
+
+@rule_group("mrz")
+def _zone_rules(held: RuleSet) -> list[Column]:
+    c, ok, sev, out = F.col, _ok, F.lit, []
+    has, good = c("has_mrz"), c("reliable")
     out.append(_finding("MRZ_PRESENT", "mrz", "mrz", ~has, F.lit("WARNING"), sev("MEDIUM")))
     out.append(_finding("MRZ_STRUCTURE", "mrz", "mrz", has, ok(c("two_lines"), "FAIL"), sev("MEDIUM")))
     out.append(_finding("MRZ_UNRELIABLE", "mrz", "mrz", c("two_lines") & ~good, F.lit("WARNING"), sev("MEDIUM")))
     for name, field in CHECKS.items():
         hit = c(f"ok_{name.lower()}")
         out.append(_finding(f"MRZ_CHECK_{name}", "mrz", field, good & hit.isNotNull(), ok(hit, "FAIL"), sev("HIGH")))
+    return out
+
+
+@rule_group("consistency")
+def _consistency(held: RuleSet) -> list[Column]:
+    c, ok, sev, out, good = F.col, _ok, F.lit, [], F.col("reliable")
     out.append(_finding("CONSISTENCY_MRZ", "consistency", "mrz", ~good, F.lit("NOT_APPLICABLE"), sev("INFO")))
     both = lambda a, b, status: F.when(a.isNull() | b.isNull() | (b == ""), "NOT_APPLICABLE").otherwise(status)
     times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
@@ -114,12 +181,32 @@ def findings(docs: DataFrame) -> DataFrame:
     nation = both(c("own_nationality"), c("mrz_nationality"), ok(c("id_nationality") == c("zone_nationality"), "FAIL"))
     out.append(_finding("CONSISTENCY_NATIONALITY", "consistency", "nationality", good, nation, sev("MEDIUM")))
     out.append(same_day("EXPIRY", "expiry_date", "own_expiry", c("expiry_day"), c("zone_expiry")))
+    return out
+
+
+@rule_group("passport")
+def _passport(held: RuleSet) -> list[Column]:
+    c, ok, sev, out = F.col, _ok, F.lit, []
+    has, good = c("has_mrz"), c("reliable")
     out.append(_finding("PASSPORT_DOC_NUMBER_FORMAT", "passport", "document_number", c("v_number").isNotNull(), ok(c("id_number").rlike("^[A-Z0-9]{1,9}$"), "WARNING"), sev("MEDIUM")))
     out.append(_finding("PASSPORT_MRZ_FORMAT", "passport", "mrz", has, ok(c("two_lines"), "WARNING"), sev("MEDIUM")))
     out.append(_finding("PASSPORT_MRZ_TYPE", "passport", "mrz", good, ok(c("mrz_type") == "P", "WARNING"), sev("MEDIUM")))
     out.append(_finding("PASSPORT_MRZ_SEX", "passport", "sex", good, ok(c("mrz_sex").isin("M", "F", "X", "<", ""), "WARNING"), sev("LOW")))
-    made = F.filter(F.array(*out), lambda x: x.isNotNull())
-    return docs.select("doc_id", F.posexplode(made).alias("pos", "f")).select("doc_id", "pos", "f.*")
+    return out
+
+
+def findings(docs: DataFrame, catalogue: dict[str, RuleSet] = CATALOGUE) -> DataFrame:
+    """(doc_id, pos, rule_id, category, field, status, severity) of ``prepared`` documents, in catalogue order.
+
+    A column ``type``, if there is one, says what each document is held to; a type that isn't in the catalogue, or is null, falls back.
+    Rule sets are compiled to one array of findings each, in one projection: a document makes those of its own type.
+    """
+    made = {t: F.filter(F.array(*(x for g in held.groups for x in GROUPS[g](held))), lambda x: x.isNotNull()) for t, held in catalogue.items()}
+    out = made[FALLBACK]
+    if "type" in docs.columns:
+        for t in sorted(set(made) - {FALLBACK}):
+            out = F.when(F.col("type") == t, made[t]).otherwise(out)
+    return docs.select("doc_id", F.posexplode(out).alias("pos", "f")).select("doc_id", "pos", "f.*")
 
 
 def summary(found: DataFrame) -> DataFrame:

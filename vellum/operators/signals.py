@@ -25,12 +25,17 @@ def primary_face(faces: DataFrame) -> DataFrame:
 
 
 def quality_grade(det: Column, side: Column, blur: Column) -> Column:
-    """The worst of three grades, and its ordinal."""
+    """The worst of three grades."""
     grade = lambda x, good, fair: F.when(x >= good, 2).when(x >= fair, 1).otherwise(0)
     worst = F.least(grade(det, 0.65, 0.50), grade(side, 80, 45), grade(blur, 120, 40))
     return F.element_at(F.array(F.lit("POOR"), F.lit("ACCEPTABLE"), F.lit("GOOD")), worst + 1)
 
 
+def quality_score(grade: Column) -> Column:
+    """A grade's place from 0 to 1."""
+    return F.when(grade == "GOOD", 1.0).when(grade == "ACCEPTABLE", 0.5).when(grade == "POOR", 0.0)
+
+
 def decision(similarity: Column, threshold: float = MATCH) -> tuple[Column, Column]:
     """MATCH or MISMATCH, and how strongly, by the distance from the threshold."""
     margin = F.round(F.abs(similarity - threshold), 9)

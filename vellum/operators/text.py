@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.mrz import cleaned
+
 # Words that name a passport in three languages, patterns, length bands, confidences, words of date labels.
 KEYWORDS = ("PASSPORT", "PASSEPORT", "PASAPORTE")
 ZONE_LINE = "^[A-Z0-9<]{25,}$"
@@ -86,9 +88,10 @@ def mrz_pair(candidates: DataFrame) -> DataFrame:
 
 
 def classified(page: DataFrame, zones: DataFrame) -> DataFrame:
-    """(doc_id, type, confidence): always a passport; the confidence says how sure, by a keyword on the page and the zone's type."""
+    """(doc_id, type, confidence): always a passport; the confidence says how sure, by a keyword on the page and the type of a zone of two
+    lines; a single line is no zone whose type could be read."""
     word = page.groupBy("doc_id").agg(F.bool_or(F.upper("text").rlike("|".join(KEYWORDS))).alias("w"))
-    zone = zones.select("doc_id", F.upper("line1").startswith("P").alias("z"))
+    zone = zones.select("doc_id", (F.col("line2").isNotNull() & F.upper("line1").startswith("P")).alias("z"))
     both = word.join(zone, "doc_id", "left").withColumn("z", F.coalesce("z", F.lit(False)))
     return both.select("doc_id", F.lit("passport").alias("type"), F.when(F.col("w") & F.col("z"), BOTH).when(F.col("w") | F.col("z"), EITHER).otherwise(NEITHER).alias("confidence"))
 
@@ -155,10 +158,10 @@ def labelled_texts(page: DataFrame) -> DataFrame:
 
 def fields(page: DataFrame, zones: DataFrame) -> DataFrame:
     """(doc_id, field, value, confidence, box, source) of every field found: as printed (``visual``), else from the zone (``mrz``;
-    an issue date has no place there). ``zones`` are pairs with the parsed columns."""
+    an issue date has no place there). A date that the zone leaves blank is missing. ``zones`` are pairs with the parsed columns."""
     own = labelled_dates(page).unionByName(labelled_texts(page)).withColumn("source", F.lit("visual"))
     value = lambda c: F.nullif(F.trim(c), F.lit(""))
-    zone = {"name": F.concat_ws(" ", value("given"), value("surname")), "document_number": F.col("mrz_number"), "nationality": F.col("mrz_nationality"), "date_of_birth": F.col("mrz_dob"), "expiry_date": F.col("mrz_expiry")}
+    zone = {"name": F.concat_ws(" ", value("given"), value("surname")), "document_number": F.col("mrz_number"), "nationality": F.col("mrz_nationality"), "date_of_birth": cleaned(F.col("mrz_dob")), "expiry_date": cleaned(F.col("mrz_expiry"))}
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.nullif(v, F.lit("")).alias("value")) for f, v in zone.items()))
     read = zones.select("doc_id", "zone_box", F.explode(each).alias("x")).where("x.value is not null")
     read = read.select("doc_id", "x.field", "x.value", F.lit(FROM_ZONE).alias("confidence"), F.col("zone_box").alias("box"), F.lit("mrz").alias("source"))

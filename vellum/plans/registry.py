@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _kept(label: str) -> Callable[[Query], Query]:
+def kept(label: str) -> Callable[[Query], Query]:
     """A table that the application builds once over a folder, as a deployment stores it, and reads from then on."""
 
     def wrap(f: Query) -> Query:
@@ -38,7 +38,7 @@ def _kept(label: str) -> Callable[[Query], Query]:
 
 
 # The chain of tables: words, lines, zones, fields, documents, findings, evidence ------------------
-@_kept("identities")
+@kept("identities")
 def identities(spark: SparkSession, d: str) -> DataFrame:
     return synth.identity_documents(spark, d)
 
@@ -47,37 +47,37 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return workload.page_words(identities(spark, d))
 
 
-@_kept("lines")
+@kept("lines")
 def page(spark: SparkSession, d: str) -> DataFrame:
     return text.lines(words(spark, d))
 
 
-@_kept("zones")
+@kept("zones")
 def zones(spark: SparkSession, d: str) -> DataFrame:
     return text.mrz_pair(text.mrz_candidates(page(spark, d)))
 
 
-@_kept("fields")
+@kept("fields")
 def fields(spark: SparkSession, d: str) -> DataFrame:
     return text.fields(page(spark, d), mrz.with_mrz(zones(spark, d)))
 
 
-@_kept("documents")
+@kept("documents")
 def plain_documents(spark: SparkSession, d: str) -> DataFrame:
     return text.documents(page(spark, d).select("doc_id").distinct(), fields(spark, d), zones(spark, d))
 
 
-@_kept("prepared")
+@kept("prepared")
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return rules.prepared(plain_documents(spark, d), AS_OF)
 
 
-@_kept("findings")
+@kept("findings")
 def found(spark: SparkSession, d: str) -> DataFrame:
     return rules.findings(documents(spark, d))
 
 
-@_kept("evidence")
+@kept("evidence")
 def items(spark: SparkSession, d: str) -> DataFrame:
     ids = plain_documents(spark, d).select("doc_id")
     return fusion.evidence(
@@ -86,7 +86,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_kept("pairs")
+@kept("pairs")
 def linked(spark: SparkSession, d: str) -> DataFrame:
     return fusion.pairs(items(spark, d))
 
@@ -167,7 +167,7 @@ def mrz_pair_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("classify_document", _LINES + """SELECT l.doc_id, 'passport' AS type, CASE WHEN w AND z THEN 0.98::DOUBLE WHEN w OR z THEN 0.85::DOUBLE ELSE 0.40::DOUBLE END AS confidence
-FROM (SELECT doc_id, bool_or(regexp_matches(upper(text), 'PASSPORT|PASSEPORT|PASAPORTE')) AS w FROM ln GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, starts_with(upper(line1), 'P') AS z FROM zone) USING (doc_id)""".replace("w OR z", "w OR coalesce(z, false)"))
+FROM (SELECT doc_id, bool_or(regexp_matches(upper(text), 'PASSPORT|PASSEPORT|PASAPORTE')) AS w FROM ln GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, line2 IS NOT NULL AND starts_with(upper(line1), 'P') AS z FROM zone) USING (doc_id)""".replace("w OR z", "w OR coalesce(z, false)"))
 def classify_document(spark: SparkSession, d: str) -> DataFrame:
     return text.classified(page(spark, d), zones(spark, d))
 
@@ -270,12 +270,12 @@ def consistency_flag(spark: SparkSession, d: str) -> DataFrame:
     return by.where("not bad and n >= 2").select("doc_id")
 
 
-@query("risk_points", _EVIDENCE + "SELECT doc_id, id, round(raw, 2) AS points FROM w WHERE polarity = 'CONCERN'")
+@query("risk_points", _EVIDENCE + "SELECT doc_id, id, points FROM w WHERE polarity = 'CONCERN'")
 def risk_points(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).where("polarity = 'CONCERN'").select("doc_id", "id", F.round(fusion.points(), 2).alias("points"))
+    return items(spark, d).where("polarity = 'CONCERN'").select("doc_id", "id", fusion.weights().alias("points"))
 
 
-@_kept("risk")
+@kept("risk")
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return fusion.risk(items(spark, d), linked(spark, d))
 
@@ -321,29 +321,36 @@ def corroboration_bonus(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).where("bonus > 0").select("doc_id", "bonus", "n_corroboration")
 
 
-@query("ranked_concerns", _EVIDENCE + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 2) DESC, pos) AS rank, id, round(raw, 2) AS points, field IS NOT NULL OR region IS NOT NULL AS target FROM w WHERE polarity = 'CONCERN'")
+@query("ranked_concerns", _EVIDENCE + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, pos) AS rank, id, points, field IS NOT NULL OR region IS NOT NULL AS target FROM w WHERE polarity = 'CONCERN'")
 def ranked_concerns(spark: SparkSession, d: str) -> DataFrame:
     return fusion.weighed_concerns(items(spark, d)).select("doc_id", "rank", "id", "points", (F.col("field").isNotNull() | F.col("region").isNotNull()).alias("target"))
 
 
-@query("ui_evidence_order", _EVIDENCE + "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE polarity WHEN 'CONCERN' THEN 0 WHEN 'REASSURING' THEN 1 ELSE 2 END, coalesce(round(raw, 2), 0) DESC, pos) AS place FROM w")
+@query("ui_evidence_order", _EVIDENCE + "SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE polarity WHEN 'CONCERN' THEN 0 WHEN 'REASSURING' THEN 1 ELSE 2 END, coalesce(points, 0) DESC, pos) AS place FROM w")
 def ui_evidence_order(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("polarity") == "CONCERN", 0).when(F.col("polarity") == "REASSURING", 1).otherwise(2)
-    weight = F.when(F.col("polarity") == "CONCERN", F.round(fusion.points(), 2)).otherwise(0.0)
+    weight = F.when(F.col("polarity") == "CONCERN", fusion.weights()).otherwise(0.0)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(kind, F.desc("weight"), "pos"))
     return items(spark, d).withColumn("weight", weight).select("doc_id", "id", place.alias("place"))
 
 
-_TOLD = _CORR + """, heavy AS (SELECT w.*, round(raw, 2) AS points, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 2) DESC, pos) AS rank,
-    '[' || source || '] ' || CASE source WHEN 'rules' THEN finding_type || ': ' || (SELECT status FROM f WHERE f.doc_id = w.doc_id AND f.rule_id = w.finding_type) WHEN 'forensics' THEN id[11:] || ': ' || finding_type WHEN 'biometrics' THEN finding_type ELSE 'low confidence' END AS told FROM w WHERE polarity = 'CONCERN'),
-own AS (SELECT doc_id, list(told ORDER BY rank) AS told, array_to_string(list_sort(list_distinct(list(source))), ', ') AS sources, string_agg(id, '|' ORDER BY pos) AS ids, string_agg(id, '|' ORDER BY rank) FILTER (field IS NOT NULL OR region IS NOT NULL) AS targets FROM heavy GROUP BY doc_id),
-backed AS (SELECT doc_id, string_agg(ids, '|' ORDER BY pos) AS ids FROM corr WHERE type = 'CORROBORATION' GROUP BY doc_id),
-told AS (SELECT r.*, a.unavailable, o.told, o.sources, o.ids AS own_ids, o.targets, b.ids AS backed FROM risk r JOIN avail a USING (doc_id) LEFT JOIN own o USING (doc_id) LEFT JOIN backed b USING (doc_id))"""
+_TOLD = _CORR + """, said AS (SELECT *, '[' || source || '] ' || CASE source WHEN 'rules' THEN finding_type || ': ' || (SELECT status FROM f WHERE f.doc_id = w.doc_id AND f.rule_id = w.finding_type) WHEN 'forensics' THEN CASE WHEN finding_type = 'unavailable' THEN finding_type ELSE id[11:] || ': ' || finding_type END WHEN 'biometrics' THEN finding_type ELSE CASE WHEN polarity = 'CONCERN' THEN 'low confidence' ELSE 'confidence' END END AS told FROM w),
+heavy AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, pos) AS rank,
+  source || ': ' || finding_type || coalesce(' at ' || field, '') || ', ' || severity || ', confidence ' || printf('%.2f', confidence) || ', ' || printf('%.1f', points) || ' points' AS line FROM said WHERE polarity = 'CONCERN'),
+own AS (SELECT doc_id, list(told ORDER BY rank) AS told, string_agg(line, '|' ORDER BY rank) AS lines, array_to_string(list_sort(list_distinct(list(source))), ', ') AS sources, string_agg(id, '|' ORDER BY pos) AS ids, string_agg(id, '|' ORDER BY rank) FILTER (field IS NOT NULL OR region IS NOT NULL) AS targets,
+  string_agg(source || ':' || coalesce(field, '') || ':' || coalesce(array_to_string(region, ','), '') || ':' || told, '|' ORDER BY rank) FILTER (field IS NOT NULL OR region IS NOT NULL) AS places FROM heavy GROUP BY doc_id),
+calm AS (SELECT doc_id, string_agg(told, '|' ORDER BY pos) AS calm FROM said WHERE polarity = 'REASSURING' GROUP BY doc_id),
+says AS (SELECT *, CASE type WHEN 'CORROBORATION' THEN replace(sources, '+', ' and ') || ' both point at ' || coalesce(field, 'one region') WHEN 'CONTRADICTION' THEN CASE WHEN contains(sources, '+') THEN split_part(sources, '+', 1) || ' doubts ' || coalesce(field, 'one region') || ', ' || split_part(sources, '+', 2) || ' doesn''t: the doubt stays'
+    ELSE 'the faces differ, the document agrees with itself' END ELSE replace(sources, '+', ', ') || ' find nothing wrong' END AS says FROM corr),
+backed AS (SELECT doc_id, string_agg(ids, '|' ORDER BY pos) FILTER (type = 'CORROBORATION') AS ids, string_agg(says, '|' ORDER BY pos) FILTER (type = 'CORROBORATION') AS backs, string_agg(says, '|' ORDER BY pos) FILTER (type = 'CONTRADICTION') AS counters,
+  string_agg('mixed: ' || says || ' (' || replace(ids, '+', ' / ') || ')', '|' ORDER BY pos) FILTER (type = 'CONTRADICTION') AS mixed FROM says GROUP BY doc_id),
+joined AS (SELECT r.*, replace(a.unavailable, ',', ', ') AS missing, o.told, o.lines, o.sources, o.ids AS own_ids, o.targets, o.places, c.calm, b.ids AS backed, b.backs, b.counters, b.mixed
+  FROM risk r JOIN avail a USING (doc_id) LEFT JOIN own o USING (doc_id) LEFT JOIN calm c USING (doc_id) LEFT JOIN backed b USING (doc_id)),
+told AS MATERIALIZED (SELECT *, CASE WHEN n_concern = 0 THEN 'No engine raised a concern: ' ELSE n_concern || ' concerns of ' || sources || ': ' END || 'score ' || score || ' of 100, ' || level || '.'
+  || CASE WHEN bonus > 0 THEN ' Engines that agree add ' || printf('%.0f', bonus) || '.' ELSE '' END || CASE WHEN missing <> '' THEN ' Not known, and not taken as clean: ' || missing || '.' ELSE '' END AS rationale FROM joined)"""
 
 
-@query("risk_rationale", _TOLD + """SELECT doc_id, CASE WHEN n_concern = 0 THEN 'No concern-raising findings across the available engines; decision-support score ' || score || '/100 (' || level || ').'
-  ELSE n_concern || ' concern-raising finding(s) from ' || sources || ' produce a decision-support score of ' || score || '/100 (' || level || ').' || CASE WHEN bonus > 0 THEN ' Independent engines corroborate on the same evidence (+' || printf('%.0f', bonus) || ' corroboration weight).' ELSE '' END END
-  || CASE WHEN unavailable <> '' THEN ' Note: ' || replace(unavailable, ',', ', ') || ' evidence was unavailable and is treated as unknown, not clean.' ELSE '' END AS rationale FROM told""")
+@query("risk_rationale", _TOLD + "SELECT doc_id, rationale FROM told")
 def risk_rationale(spark: SparkSession, d: str) -> DataFrame:
     return explained(spark, d).select("doc_id", "rationale")
 
@@ -353,22 +360,29 @@ def primary_concern(spark: SparkSession, d: str) -> DataFrame:
     return explained(spark, d).select("doc_id", "primary_concern")
 
 
-@query("recommendation", _TOLD + """SELECT doc_id, action, concat_ws('|', CASE WHEN action = 'NO_ADDITIONAL_ACTION' THEN 'No significant inconsistencies detected across engines.' ELSE array_to_string(told[1:3], '|') END,
-  CASE WHEN backed IS NOT NULL THEN 'Multiple independent engines identify corroborating inconsistencies.' END,
-  CASE WHEN unavailable <> '' THEN 'Some engines were unavailable (' || replace(unavailable, ',', ', ') || '); their evidence is unknown, not clean.' END) AS reasons,
+@query("recommendation", _TOLD + """SELECT doc_id, action, concat_ws('|', CASE WHEN action = 'NO_ADDITIONAL_ACTION' THEN 'nothing of weight was found' ELSE array_to_string(told[1:3], '|') END,
+  CASE WHEN backed IS NOT NULL THEN 'several engines agree on a concern' END, CASE WHEN missing <> '' THEN 'without evidence of ' || missing END) AS reasons,
   concat_ws('|', own_ids, backed) AS based_on, coalesce(targets, '') AS targets FROM told""")
 def recommendation(spark: SparkSession, d: str) -> DataFrame:
     told = explained(spark, d).join(scored(spark, d).select("doc_id", "action"), "doc_id")
     return told.select("doc_id", "action", *(F.array_join(c, "|").alias(c) for c in ("reasons", "based_on", "targets")))
 
 
-@query("explanation_lines", _TOLD + """SELECT doc_id, (CASE WHEN n_concern = 0 THEN 1 ELSE n_concern END + CASE WHEN bonus > 0 THEN 1 ELSE 0 END + coalesce(m.n, 0) + CASE WHEN unavailable <> '' THEN 1 ELSE 0 END + 1)::BIGINT AS n_lines,
-  coalesce((SELECT source || ' found ' || chr(39) || finding_type || chr(39) || coalesce(' on ' || field, '') || ' (severity ' || severity || ', confidence ' || printf('%.2f', confidence) || ') → contributed ' || printf('%.1f', points) || ' points.' FROM heavy h WHERE h.doc_id = told.doc_id AND rank = 1), 'No concern-raising findings were produced by the available engines.') AS first_line
-FROM told LEFT JOIN (SELECT doc_id, count(*) AS n FROM corr WHERE type = 'CONTRADICTION' GROUP BY doc_id) m USING (doc_id)""")
+@query("explanation_lines", _TOLD + """SELECT doc_id, concat_ws('|', coalesce(lines, 'no concern'), CASE WHEN bonus > 0 THEN 'agreement of engines, ' || printf('%.1f', bonus) || ' points' END, mixed,
+  CASE WHEN missing <> '' THEN 'without ' || missing || ', which says nothing' END, 'in all: ' || rationale) AS lines FROM told""")
 def explanation_lines(spark: SparkSession, d: str) -> DataFrame:
-    return explained(spark, d).select("doc_id", F.size("reasoning").cast("long").alias("n_lines"), F.get("reasoning", F.lit(0)).alias("first_line"))
+    return explained(spark, d).select("doc_id", F.array_join("reasoning", "|").alias("lines"))
 
 
+@query("explanation_parts", _TOLD + """SELECT doc_id, level || ' priority of review, score ' || score || ' of 100. It supports a decision and makes none.' AS overall, coalesce(backs, '') AS corroborating, concat_ws('|', counters, calm) AS counter,
+  coalesce(places, '') AS locations FROM told""")
+def explanation_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What supports the concerns, what speaks against them, and where they stand."""
+    place = lambda x: F.concat(x["source"], F.lit(":"), F.coalesce(x["field"], F.lit("")), F.lit(":"), F.coalesce(F.array_join(x["region"], ","), F.lit("")), F.lit(":["), x["source"], F.lit("] "), x["note"])
+    return explained(spark, d).select("doc_id", "overall", F.array_join("corroborating", "|").alias("corroborating"), F.array_join("counter", "|").alias("counter"), F.array_join(F.transform("locations", place), "|").alias("locations"))
+
+
+@kept("explained")
 def explained(spark: SparkSession, d: str) -> DataFrame:
     every = items(spark, d)
     return fusion.explained(every, fusion.correlations(every, linked(spark, d)), scored(spark, d))
@@ -381,7 +395,7 @@ def recent_analyses(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("created_on"), "doc_id").offset(20).limit(50)
 
 
-@_kept("analyses")
+@kept("analyses")
 def analyses(spark: SparkSession, d: str) -> DataFrame:
     """What is stored of each screening: the columns that are queried, and the whole result with its fingerprint."""
     rows = scored(spark, d).join(explained(spark, d), "doc_id").join(plain_documents(spark, d).select("doc_id", "document_number", "nationality"), "doc_id")
@@ -405,11 +419,13 @@ _ANSWERS = _EVIDENCE + """, ans AS (SELECT doc_id, level, ['AGREE', 'maybe', NUL
 @query("model_answers", _ANSWERS + """SELECT doc_id, parsed, CASE WHEN parsed THEN act END AS suggested_action, CASE WHEN parsed THEN 'seen' ELSE '' END AS summary,
   CASE WHEN parsed AND stated = 'AGREE' THEN 'AGREE' WHEN NOT parsed OR act IS NULL THEN 'UNKNOWN' WHEN level = 'HIGH' THEN CASE WHEN act IN ('ENHANCED_VERIFICATION', 'ESCALATE') THEN 'AGREE' ELSE 'DISAGREE' END
     WHEN level = 'MEDIUM' THEN CASE WHEN act IN ('ENHANCED_VERIFICATION', 'ESCALATE', 'MANUAL_REVIEW') THEN 'AGREE' ELSE 'PARTIAL' END WHEN act = 'NO_ADDITIONAL_ACTION' THEN 'AGREE' ELSE 'PARTIAL' END AS agreement,
-  CASE WHEN parsed THEN 'rules:HIGH,ocr:MEDIUM' ELSE '' END AS findings FROM ans""")
+  CASE WHEN parsed THEN array_to_string(list_filter(list_transform(range(0, 4), lambda i: CASE WHEN (doc_id + i) % 4 <> 1 AND (doc_id + i) % 5 <> 0
+    THEN ['rules', '', 'ocr', 'forensics'][(doc_id + i) % 4 + 1] || ':' || ['HIGH', 'LOW', 'MEDIUM'][(doc_id + i) % 3 + 1] END), lambda x: x IS NOT NULL), ',') ELSE '' END AS findings FROM ans""")
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    key = lambda source, finding, importance: F.struct(F.lit(source).alias("source"), F.lit(finding).alias("finding"), F.lit(importance).alias("importance"))
-    keys = F.array(key(" Rules", "a", "high"), key("oracle", "b", "LOW"), key("ocr", "c", "grave"), key("forensics", " ", "LOW"))
+    of = lambda names, i: F.element_at(F.array(*map(F.lit, names)), ((k + i) % len(names) + 1).cast("int"))
+    finding = lambda i: F.when((k + i) % 5 == 0, " ").otherwise(F.concat(F.lit("seen "), k.cast("string")))
+    keys = F.array(*(F.struct(of((" Rules", "oracle", "ocr", "forensics"), i).alias("source"), finding(i).alias("finding"), of(("high", "LOW", "grave"), i).alias("importance")) for i in range(4)))
     stated = F.element_at(F.array(F.lit("agree "), F.lit("maybe"), F.lit(None)), (k % 3 + 1).cast("int"))
     action = F.element_at(F.array(F.lower("action"), F.lit(None), F.lit("ESCALATE")), (k % 4 % 3 + 1).cast("int"))
     whole = F.to_json(F.struct(F.lit(" seen ").alias("summary"), stated.alias("agreement_with_risk"), action.alias("suggested_action"), keys.alias("key_findings")))
@@ -419,11 +435,11 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
     return told.select("doc_id", "parsed", "suggested_action", "summary", "agreement", F.array_join(each, ",").alias("findings"))
 
 
-@query("model_context", _EVIDENCE + """SELECT r.doc_id, r.level, r.score, count(*) AS n_evidence, string_agg(i.id, ',' ORDER BY i.pos) AS ids FROM risk r JOIN items i USING (doc_id) GROUP BY ALL""")
+@query("model_context", _TOLD + """, q AS (SELECT *, '"' || replace(told[instr(told, ']') + 2:], '"', '') || '"' AS message FROM said)
+SELECT r.doc_id, '{"evidence":[' || string_agg('{"confidence":' || i.confidence || ',"field":' || coalesce('"' || i.field || '"', 'null') || ',"finding_type":"' || i.finding_type || '","id":"' || i.id || '","message":' || i.message || ',"polarity":"' || i.polarity || '","severity":"' || i.severity || '","source":"' || i.source || '"}', ',' ORDER BY i.pos)
+  || '],"risk":{"action":"' || r.action || '","level":"' || r.level || '","score":' || r.score || '}}' AS context FROM risk r JOIN q i USING (doc_id) GROUP BY r.doc_id, r.action, r.level, r.score""")
 def model_context(spark: SparkSession, d: str) -> DataFrame:
-    told = fusion.model_context(items(spark, d), scored(spark, d))
-    got = F.from_json("context", "evidence array<struct<id:string,region:array<int>>>, risk struct<level:string,score:int>")
-    return told.withColumn("c", got).select("doc_id", F.col("c.risk.level").alias("level"), F.col("c.risk.score").alias("score"), F.size("c.evidence").cast("long").alias("n_evidence"), F.array_join("c.evidence.id", ",").alias("ids"))
+    return fusion.model_context(items(spark, d), scored(spark, d))
 
 
 @query("bbox_iou", """SELECT x.l_orderkey AS k, x.l_linenumber AS a, y.l_linenumber AS b, round(i::DOUBLE / u, 6) AS iou FROM (
@@ -492,7 +508,7 @@ def l2_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Ledger ------------------------------------------------------------------------------------------
-@_kept("transactions")
+@kept("transactions")
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     """Orders as transactions, 25 a block after the genesis block, with their stored hashes."""
     k = F.col("o_orderkey")
@@ -504,7 +520,7 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     return ledger.with_hash(ledger.numbered(rows, "batch", "block_index", first=1).drop("batch"))
 
 
-@_kept("chain")
+@kept("chain")
 def chain(spark: SparkSession, d: str) -> DataFrame:
     """The stored chain. It is sealed in two appends, the second after the head of the first."""
     rows = store.written(ledger.blocks(transactions(spark, d)), "blocks")
@@ -570,10 +586,14 @@ def verify_cut_chain(spark: SparkSession, d: str) -> DataFrame:
     return ledger.verified(chain(spark, d).where("block_index <> 4"), transactions(spark, d))
 
 
-@query("verify_restored_chain", _checked("risk_level"))
+_BACKUP = "(SELECT b.risk_level FROM tx b WHERE b.block_index = 6 AND b.tx_index = 0 AND b.k = h.k)"
+
+
+@query("verify_restored_chain", _checked(f"coalesce({_BACKUP}, CASE WHEN block_index IN (6, 9) AND tx_index = 0 THEN 'LOW' ELSE risk_level END)"))
 def verify_restored_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks are tampered with, one is restored from its backup: the other is found."""
     own = transactions(spark, d)
-    return ledger.verified(chain(spark, d), ledger.restored(ledger.tampered(own, 6), own.where("block_index = 6 and tx_index = 0")))
+    return ledger.verified(chain(spark, d), ledger.restored(ledger.tampered(ledger.tampered(own, 6), 9), own.where("block_index = 6 and tx_index = 0")))
 
 
 @query("chain_stats", _CHAIN + "SELECT max(i) AS height, count(*) AS blocks, CAST(sum(n_tx) AS BIGINT) AS transactions, max_by(hash, i) AS head FROM c")
@@ -787,10 +807,10 @@ def _names(spark: SparkSession, d: str, fake: bool) -> DataFrame:
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").where(k % 3 != 0 if fake else k % 3 == 0)
     tail = F.concat(F.lit("_fake_"), (k % 50).cast("string"), F.lit(".jpg")) if fake else F.lit(".jpg")
-    return rows.select(F.when(k % 19 == 0, F.concat(F.lit("other_"), k.cast("string"))).otherwise(F.concat(F.lit("aze_passport_"), (k % 200).cast("string"), tail)).alias("name"))
+    return rows.select(F.when(k % 19 == 0, F.concat(F.lit("other_"), k.cast("string"))).otherwise(F.concat(F.lit("specimen_passport_"), (k % 200).cast("string"), tail)).alias("name"))
 
 
-@query("fakes_of_genuine", """WITH n AS (SELECT o_orderkey % 3 <> 0 AS fake, CASE WHEN o_orderkey % 19 = 0 THEN 'other_' || o_orderkey ELSE 'aze_passport_' || o_orderkey % 200 || CASE WHEN o_orderkey % 3 <> 0 THEN '_fake_' || o_orderkey % 50 ELSE '' END || '.jpg' END AS name FROM orders),
+@query("fakes_of_genuine", """WITH n AS (SELECT o_orderkey % 3 <> 0 AS fake, CASE WHEN o_orderkey % 19 = 0 THEN 'other_' || o_orderkey ELSE 'specimen_passport_' || o_orderkey % 200 || CASE WHEN o_orderkey % 3 <> 0 THEN '_fake_' || o_orderkey % 50 ELSE '' END || '.jpg' END AS name FROM orders),
 b AS (SELECT *, regexp_extract(name, 'passport_(\\d+)', 1) AS base FROM n WHERE regexp_matches(name, 'passport_\\d+')), g AS (SELECT base, max(name) AS genuine FROM b WHERE NOT fake GROUP BY base)
 SELECT base, genuine, name AS fake FROM b JOIN g USING (base) WHERE fake""")
 def fakes_of_genuine(spark: SparkSession, d: str) -> DataFrame:
@@ -808,11 +828,16 @@ def split_members(spark: SparkSession, d: str) -> DataFrame:
     return signals.members(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("base")), _split(spark, d), "validation")
 
 
-@query("split_overlap", "SELECT c_custkey AS base, 'calibration,test' AS parts FROM customer WHERE c_custkey % 100 < 70 AND c_custkey % 250 = 0")
+_PART = "CASE WHEN {0} % 100 < 70 THEN 'calibration' WHEN {0} % 100 < 85 THEN 'validation' ELSE 'test' END"
+
+
+@query("split_overlap", f"""WITH two AS (SELECT c_custkey AS base, {_PART.format("c_custkey")} AS part FROM customer UNION ALL SELECT c_custkey, {_PART.format("(c_custkey + 5)")} FROM customer WHERE c_acctbal < 4000)
+SELECT base, string_agg(DISTINCT part, ',' ORDER BY part) AS parts FROM two GROUP BY base HAVING count(DISTINCT part) > 1""")
 def split_overlap(spark: SparkSession, d: str) -> DataFrame:
-    own = _split(spark, d)
-    leaked = own.where("base % 250 = 0").withColumn("part", F.lit("test"))
-    return signals.overlap(own.unionByName(leaked)).withColumn("parts", F.array_join("parts", ","))
+    """The ids that a second split, of the customers with little, puts elsewhere than the first."""
+    k = F.col("c_custkey") + 5
+    second = table(spark, d, "customer").where("c_acctbal < 4000").select(F.when(k % 100 < 70, "calibration").when(k % 100 < 85, "validation").otherwise("test").alias("part"), F.col("c_custkey").alias("base"))
+    return signals.overlap(_split(spark, d).unionByName(second)).withColumn("parts", F.array_join("parts", ","))
 
 
 _LABELS = "SELECT quality = 1 AS t, doc_id % 3 <> 0 AS p FROM labels"
@@ -848,6 +873,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_score(spark, sf_dir).orderBy(F.desc("score"), "doc_id")
 
 
+from vellum.plans import rasters, records  # noqa: E402, F401  they register their queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.numbers import half_even_sql
 from vellum.sources.synth import table
 
 
@@ -59,7 +60,7 @@ def face_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), (i % len(names) + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(
         k.alias("doc_id"), pick(("MATCH", "MATCH", "MISMATCH", "UNAVAILABLE", "MATCH", "NO_FACE"), k).alias("status"),
-        pick(("HIGH", "MEDIUM", "LOW"), k).alias("strength"), F.array(F.lit(400), F.lit(100), F.lit(600), F.lit(300)).alias("region"),
+        pick(("HIGH", "MEDIUM", "LOW"), k).alias("strength"), F.when(pick(("MATCH", "MATCH", "MISMATCH", "UNAVAILABLE", "MATCH", "NO_FACE"), k).isin("MATCH", "MISMATCH"), k % 1000 / 1000).alias("similarity"), F.array(F.lit(400), F.lit(100), F.lit(600), F.lit(300)).alias("region"),
     )
 
 
@@ -124,7 +125,7 @@ printed AS (SELECT doc_id, field, value, confidence, box, 'visual' AS source FRO
 pre AS (SELECT doc_id, rpad(line1, 44, '<') AS a, rpad(line2, 44, '<') AS b, zone_box FROM zone WHERE line2 IS NOT NULL),
 named AS (SELECT *, trim(replace(split_part(substr(a, 6), '<<', 1), '<', ' ')) AS sn, CASE WHEN contains(substr(a, 6), '<<') THEN trim(replace(substr(a, 6 + instr(substr(a, 6), '<<') + 1), '<', ' ')) ELSE '' END AS gn FROM pre),
 zoned AS (SELECT doc_id, zone_box, unnest([{{'field': 'name', 'value': trim(gn || ' ' || sn)}}, {{'field': 'document_number', 'value': trim(replace(substr(b, 1, 9), '<', ' '))}}, {{'field': 'nationality', 'value': trim(replace(substr(b, 11, 3), '<', ' '))}},
-    {{'field': 'date_of_birth', 'value': substr(b, 14, 6)}}, {{'field': 'expiry_date', 'value': substr(b, 22, 6)}}]) AS f FROM named),
+    {{'field': 'date_of_birth', 'value': trim(replace(substr(b, 14, 6), '<', ' '))}}, {{'field': 'expiry_date', 'value': trim(replace(substr(b, 22, 6), '<', ' '))}}]) AS f FROM named),
 fields AS MATERIALIZED (SELECT * FROM printed
   UNION ALL SELECT doc_id, f.field, f.value, 0.9::DOUBLE, zone_box, 'mrz' FROM zoned WHERE f.value <> '' AND NOT EXISTS (SELECT 1 FROM printed p WHERE p.doc_id = zoned.doc_id AND p.field = zoned.f.field)),
 doc AS (SELECT o.doc_id, {", ".join(f"max(value) FILTER (field = '{f}') AS {f}, max(source) FILTER (field = '{f}') AS {s}" for f, s in (("document_number", "number_source"), ("nationality", "nationality_source"), ("name", "name_source"), ("date_of_birth", "dob_source"), ("issue_date", "issue_source"), ("expiry_date", "expiry_source")))},
@@ -172,22 +173,24 @@ met AS (
   WHERE inter::DOUBLE / nullif(areas - inter, 0) > 0.1),
 pair AS (
   SELECT doc_id, CASE WHEN pb = 'CONCERN' THEN 'CORROBORATION' ELSE 'CONTRADICTION' END AS type, field, id_a, id_b FROM met),
-w AS (
+raws AS (
   SELECT *, CASE WHEN polarity = 'CONCERN' THEN
     CASE severity WHEN 'INFO' THEN 0.0::DOUBLE WHEN 'LOW' THEN 5.0::DOUBLE WHEN 'MEDIUM' THEN 12.0::DOUBLE WHEN 'HIGH' THEN 25.0::DOUBLE ELSE 40.0::DOUBLE END
     * CASE source WHEN 'forensics' THEN 0.8::DOUBLE WHEN 'ocr' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * (0.5::DOUBLE + 0.5::DOUBLE * confidence) END AS raw FROM items),
-bon AS (
-  SELECT p.doc_id, round(sum(w.raw) * 0.5, 2) AS bonus, count(*) AS ends
-  FROM (SELECT doc_id, unnest([id_a, id_b]) AS id FROM pair WHERE type = 'CORROBORATION') p JOIN w ON p.doc_id = w.doc_id AND p.id = w.id GROUP BY p.doc_id),
+w AS MATERIALIZED (SELECT *, {half_even_sql("raw", 2)} AS points FROM raws),
+bons AS (
+  SELECT p.doc_id, list_reduce(list_prepend(0.0::DOUBLE, list(0.5::DOUBLE * (a.raw + b.raw) ORDER BY a.pos, b.pos)), lambda s, x: s + x) AS folded, 2 * count(*) AS ends
+  FROM pair p JOIN w a ON p.doc_id = a.doc_id AND p.id_a = a.id JOIN w b ON p.doc_id = b.doc_id AND p.id_b = b.id WHERE p.type = 'CORROBORATION' GROUP BY p.doc_id),
+bon AS (SELECT doc_id, {half_even_sql("folded", 2)} AS bonus, ends FROM bons),
 sums AS (
-  SELECT doc_id, round(coalesce(sum(round(raw, 2)), 0), 2) AS base, count(*) FILTER (polarity = 'CONCERN') AS n_concern FROM w GROUP BY doc_id),
+  SELECT doc_id, list_reduce(list_prepend(0.0::DOUBLE, coalesce(list(points ORDER BY pos) FILTER (polarity = 'CONCERN'), [])), lambda s, x: s + x) AS folded, count(*) FILTER (polarity = 'CONCERN') AS n_concern FROM w GROUP BY doc_id),
 top AS (
   SELECT doc_id, string_agg(id, ',' ORDER BY o) AS top3 FROM (
-    SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 2) DESC, pos) AS o FROM w WHERE polarity = 'CONCERN') WHERE o <= 3 GROUP BY doc_id),
-scored AS (
-  SELECT s.doc_id, base, coalesce(bonus, 0.0) AS bonus, n_concern, coalesce(ends, 0) AS ends, coalesce(top3, '') AS top3,
-    CAST(least(round_even(round(base + coalesce(bonus, 0.0), 2), 0), 100) AS INTEGER) AS score
+    SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, pos) AS o FROM w WHERE polarity = 'CONCERN') WHERE o <= 3 GROUP BY doc_id),
+added AS (
+  SELECT s.doc_id, s.folded, coalesce(bonus, 0.0::DOUBLE) AS bonus, s.folded + coalesce(bonus, 0.0::DOUBLE) AS total, n_concern, coalesce(ends, 0) AS ends, coalesce(top3, '') AS top3
   FROM sums s LEFT JOIN bon ON s.doc_id = bon.doc_id LEFT JOIN top ON s.doc_id = top.doc_id),
+scored AS (SELECT doc_id, {half_even_sql("folded", 2)} AS base, bonus, n_concern, ends, top3, CAST(least({half_even_sql("total", 0)}, 100) AS INTEGER) AS score FROM added),
 risk AS (
   SELECT doc_id, base, bonus, score, CASE WHEN score >= 35 THEN 'HIGH' WHEN score >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS level,
     n_concern, CAST(ends // 2 AS BIGINT) AS n_corroboration,
