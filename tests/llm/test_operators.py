@@ -221,25 +221,35 @@ def test_regions_equal_brute_force():
         text = normalised(_codes("".join(edited).join(around)))[0]
         codes = normalised(_codes(item))[0]
         want = edits_within(codes, text) <= int(0.05 * len(codes))
+        if len(codes) < 20:  # no edits: between word borders
+            want = f" {''.join(map(chr, codes))} " in f" {''.join(map(chr, text))} "
         assert bool(_regions(np.append(text, np.full(20, 0xFFFE, np.uint32)), index([(1, item)]))) == want
         found += want
     assert 100 < found < 300
 
 
+def test_short_items_stand_between_word_borders_and_excerpts_are_found(spark):
+    long_ = " ".join(f"word{i * 7919 % 1000}" for i in range(60))
+    bench = spark.createDataFrame([(1, "a"), (2, "is it true"), (3, long_[:230])], "item_id long, text string")
+    texts = ["a cat", "this is it truely", "so is it true?", "bad cat", "x " * 9 + long_[20:215] + " end", long_[:60], "A"]
+    got = {r.doc_id: r.item_ids for r in decontaminate(fixture(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect()}
+    assert got == {0: [1], 1: [], 2: [2], 3: [], 4: [3], 5: [], 6: [1]}
+
+
 def test_long_items_and_repetitive_texts(monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     long = word(300)
-    known = index([(3, long), (4, "ab" * 120)])
+    known = index([(3, long), (4, "ab" * 60)])
     part = long[500:1000]
     hit = _regions(normalised(_codes(f"{word(40)} {part} {word(40)}"))[0], known)
     assert len(hit) == 1 and hit[0][0] == 3 and hit[0][2] - hit[0][1] > 250
     assert _regions(normalised(_codes(long))[0], known) == [(3, 0, len(long), 0)]
-    assert not _regions(normalised(_codes(f"{word(40)} {long[500:700]} {word(40)}"))[0], known)
+    assert _regions(normalised(_codes(f"{word(40)} {long[500:700]} {word(40)}"))[0], known) and not _regions(normalised(_codes(f"{word(40)} {long[500:600]} {word(40)}"))[0], known)
     many = _codes("ab" * 4000)
     whole = _regions(many, known)
     monkeypatch.setattr(decontamination, "PAIRS", 1000)
-    assert _regions(many, known) == whole and len(whole) == 33
+    assert _regions(many, known) == whole and len(whole) == 66
     assert [gram_size(m, int(0.05 * m)) for m in (3, 12, 19, 20, 23, 24, 60)] == [3, 12, 12, 10, 11, 12, 12]
 
 
@@ -335,6 +345,30 @@ def test_tiny_texts_score_alike_and_features_are_the_sizes(spark):
     assert features("", good, bad) == features(None, good, bad) == (0, 0, 0)
 
 
+def test_scores_by_a_plain_recomputation(spark):
+    """The fit and the scores from the features alone, with the halves and the regression written out."""
+    rng = np.random.default_rng(8)
+    good, bad = ([f"{p}{i}" for i in range(300)] for p in "gb")
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 40 + i % 50)), "s") for i in range(300)] + [(900, " ".join(rng.choice(good, 9000)), "s"), (901, "", "s"), (902, None, "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(900, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_scores(fixture(spark, rows), labels).collect()}
+    md5 = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    cut = lambda t: t if len(t) <= 16384 else "".join(t[(len(t) - 2048) * k // 7 : (len(t) - 2048) * k // 7 + 2048] for k in range(8))
+    seen = sorted((md5(i), 1 if i == 900 else i % 2, cut(t)) for i, t, _ in rows if t and zlib.crc32(str(i).encode()) % 5 and (i < 300 or i == 900))
+    logits = np.zeros(len(rows))
+    for own, rest in ((seen[::2], seen[1::2]), (seen[1::2], seen[::2])):
+        tools = [_dictionary(compression_quality._trained([t.encode() for _, label, t in own if label == k])) for k in (1, 0)]
+        shape = lambda t: (lambda d, r, w: [1, 20 * d, 20 * d * w, w, r * w])(*features(t, *tools))  # noqa: B023, E731
+        x, y = np.array([shape(t) for _, _, t in rest]), np.array([label for _, label, _ in rest])
+        w = np.zeros(5)
+        for _ in range(200):  # the minimum of the penalised loss
+            p = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(5), x.T @ (y - p) - 0.1 * w)
+        logits += np.array([shape(t) for _, t, _ in rows]) @ w / 2
+    want = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    assert [got[i] for i, _, _ in rows] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_classifiers_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     truth = {r.doc_id: r.quality for r in labels.collect()}

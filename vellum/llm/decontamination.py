@@ -25,7 +25,7 @@ Q = 12
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.05
 #: Characters of a window; windows of an item begin half a window apart.
-WINDOW = 256
+WINDOW = 128
 #: Characters of benchmark held by a task at a time (some 20 bytes each); a larger benchmark takes several passes over the documents.
 BLOCK_CHARS = 4 << 20
 #: Pairs of a text's and an item's equal q-grams that are looked at together.
@@ -159,6 +159,12 @@ def _candidates(shared: np.ndarray, known: Index, q: int) -> list[int]:
     return np.flatnonzero((seen >= np.maximum(few, 1)) & (known.size == q)).tolist()
 
 
+def _bordered(codes: np.ndarray, first: int, past: int) -> bool:
+    """Whether a part of normalised text begins and ends with a word."""
+    outside = (32, 0xFFFE)
+    return (first == 0 or int(codes[first - 1]) in outside) and (past >= len(codes) or int(codes[past]) in outside)
+
+
 def _of_item(codes: np.ndarray, places: np.ndarray, shared: np.ndarray, k: int, known: Index) -> list[tuple[int, int, int]]:
     """(first, past the last, edits) of window ``k`` in the text; ``shared`` are its q-grams that windows may have, at ``places``."""
     text, own, e, need = known.texts[k], known.grams[k], int(known.edits[k]), int(known.need[k])
@@ -189,6 +195,9 @@ def _of_item(codes: np.ndarray, places: np.ndarray, shared: np.ndarray, k: int,
         if len(np.unique(place[rows])) < need:
             continue
         straight, often = np.unique(diagonal[rows], return_counts=True)
+        if not e:  # a short item: word by word, wherever it stands
+            found += [(d, d + m, 0) for d in straight[often >= need].tolist() if d >= 0 and np.array_equal(codes[d : d + m], text) and _bordered(codes, d, d + m)]
+            continue
         d = int(straight[often.argmax()])
         if d >= 0 and np.array_equal(codes[d : d + m], text):  # the diagonal of most shared q-grams: no edits
             found.append((d, d + m, 0))
@@ -264,8 +273,9 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, shar
 
     A region is a part of the text within floor(share * m) edits of the m characters of a benchmark item, after
     lower-casing and turning each run of other characters than letters and digits into a space. An item of more than ``window``
-    characters is looked for by windows of so many, half a window apart: an excerpt of one and a half windows is always found,
-    and overlapping finds are one region. Needs doc_id and text of
+    characters is looked for by windows of so many, half a window apart: an excerpt of one and a half windows (192 characters) is always found,
+    one of a window or less is found where it holds a window; overlapping finds are one region. An item that is too short for an edit (below
+    20 characters) must stand between word borders. Needs doc_id and text of
     ``docs``, item_id and text of ``benchmark``; others are ignored. Text null, or without letters and digits: no
     regions, and such items match nothing. doc_id null: scanned like others. Repeated rows: each is returned;
     repeated items are reported under the smallest item_id (-1 without one). Empty tables: no rows, or no regions.
