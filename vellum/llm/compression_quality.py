@@ -20,6 +20,8 @@ CHUNK = 2048
 DICTIONARY_BYTES = 64 << 10
 #: The bound of the fit: labelled rows of each class, by the order of their hashed ids.
 FIT_ROWS = 3000
+#: Of a longer text the fit sees so many pieces of CHUNK characters, evenly spread over the whole, so that bytes are bounded as rows are.
+FIT_PIECES = 8
 #: Bytes at which a text weighs half as much as a long one.
 SHORT = 200
 LEVEL = 3
@@ -84,15 +86,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def excerpt(text: Column, pieces: int = FIT_PIECES) -> Column:
+    """A text of up to ``pieces`` * CHUNK characters as it is; of a longer one pieces from its beginning to its end."""
+    n = F.length(text)
+    at = lambda k: F.substring(text, F.floor((n - CHUNK) * k / (pieces - 1)).cast("int") + 1, F.lit(CHUNK))
+    return F.when(n <= pieces * CHUNK, text).otherwise(F.concat(*(at(k) for k in range(pieces))))
+
+
 def fit(docs: DataFrame, marked: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on docs (doc_id, text) and marked (doc_id, label 0 or 1): ``rows`` ids of each label at most, by hashed id.
     Each half of the rows builds dictionaries, which the other half calibrates. Without labelled rows of both kinds in a half the
-    score is constant. Ids alone meet the labels; texts are then fetched for the chosen ids, and never shuffled before.
+    score is constant. Of a long text the fit sees an ``excerpt``: the driver gets 2 * ``rows`` * FIT_PIECES * CHUNK characters at most. Ids alone meet the labels; texts are then fetched for the chosen ids, and never shuffled before.
     """
     ids = docs.where("text is not null").select("doc_id").join(marked.where("label in (0, 1)"), "doc_id").distinct()
     known = ids.select("doc_id", "label", F.md5(F.col("doc_id").cast("string")).alias("h"))
     chosen = known.where("label = 0").orderBy("h", "doc_id").limit(rows).unionByName(known.where("label = 1").orderBy("h", "doc_id").limit(rows))
-    found = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "h", "text").distinct().collect()  # bounded by ``rows``
+    found = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "h", excerpt(F.col("text")).alias("text")).distinct().collect()  # bounded by ``rows`` and ``excerpt``
     found = sorted((r["h"], r["label"], r["text"]) for r in found)
     halves = [[(label, t) for _, label, t in found][k::2] for k in (0, 1)]
     model = []
