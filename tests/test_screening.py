@@ -292,8 +292,22 @@ def test_correlations_of_all_kinds(spark):
     linked = fusion.pairs(items)
     told = fusion.explained(items, fusion.correlations(items, linked), fusion.risk(items, linked)).first()
     assert told.primary_concern == "[rules] told 0" and told.based_on == ["rules:0", "forensics:1", "rules:0+forensics:1"] and told.targets == ["rules:0", "forensics:1"]
-    assert told.reasons == ["[rules] told 0", "[forensics] told 1", "Multiple independent engines identify corroborating inconsistencies.", "Some engines were unavailable (biometrics); their evidence is unknown, not clean."]
-    assert told.reasoning[1] == "forensics found 'x' on photo (severity HIGH, confidence 0.85) → contributed 18.5 points." and len(told.reasoning) == 7
+    assert told.reasons == ["[rules] told 0", "[forensics] told 1", "several engines agree on a concern", "without evidence of biometrics"]
+    assert told.reasoning[1] == "forensics: x at photo, HIGH, confidence 0.85, 18.5 points" and len(told.reasoning) == 7
+    assert told.corroborating == ["rules and forensics both point at photo"] and told.counter[0] == "rules doubts photo, biometrics doesn't: the doubt stays" and told.counter[-1] == "[biometrics] told 2"
+    assert [(p.source, p.field, p.note) for p in told.locations] == [("rules", "photo", "told 0"), ("forensics", "photo", "told 1")] and told.overall.startswith("HIGH priority")
+
+
+def test_a_zone_of_one_line_and_blank_dates(spark):
+    """One line is no zone whose type counts, and a date that the zone leaves blank is missing, not invalid."""
+    page = spark.createDataFrame([(1, 0, "some words"), (2, 0, "some words")], "doc_id long, line_pos int, text string")
+    zones = spark.createDataFrame([(1, "P<UTO", None), (2, "P<UTO", "L898902C36UTO")], "doc_id long, line1 string, line2 string")
+    assert {r.doc_id: r.confidence for r in text.classified(page, zones).collect()} == {1: 0.4, 2: 0.85}
+    line2 = "L898902C36UTO" + "<" * 7 + "F" + "<" * 7 + "ZE184226B<<<<<10"
+    zone = mrz.with_mrz(spark.createDataFrame([(1, "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", line2, [0, 0, 1, 1])], "doc_id long, line1 string, line2 string, zone_box array<int>"))
+    lines = spark.createDataFrame([(1, 0, "words", 0.9, 0, 0, 9, 9)], "doc_id long, line_pos int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    found = {r.field for r in text.fields(lines, zone).collect()}
+    assert "document_number" in found and not found & {"date_of_birth", "expiry_date"}
 
 
 def test_missing_layers_and_errors_are_neutral(spark):
