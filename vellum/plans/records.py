@@ -153,14 +153,14 @@ def chain_payloads(spark: SparkSession, d: str) -> DataFrame:
     return screening_transactions(records(spark, d), evidence_files(spark, d), 1).select(F.col("subject_id").cast("long").alias("doc_id"), "hash")
 
 
-@query("mined_blocks", r._ROOTS + """, hit AS (SELECT block_index, merkle, timestamp, n FROM root, (SELECT unnest(range(0, 30000)) AS n) WHERE block_index <= 4
-  AND starts_with(sha256('{"difficulty":2,"index":' || block_index || ',"merkle_root":"' || merkle || '","nonce":' || n || ',"prev_hash":"' || repeat('0', 64) || '","timestamp":"' || timestamp || '"}'), '00'))
-SELECT block_index, min(n) AS nonce FROM hit GROUP BY block_index""")
-def mined_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The least nonce of the first blocks at two zeros, each found by all tasks at once."""
-    rows = ledger.blocks(r.transactions(spark, d)).where("block_index <= 4").select("block_index", "timestamp", "merkle").collect()  # four rows: the feature
-    found = [(b["block_index"], ledger.mined(spark, b["block_index"], b["timestamp"], ledger.GENESIS, b["merkle"], 2)[0]) for b in rows]
-    return spark.createDataFrame(found, "block_index long, nonce long")
+@query("mined_next_block", r._CHAIN + """, top AS (SELECT i + 1 AS i, hash, merkle, timestamp FROM c ORDER BY i DESC LIMIT 1),
+hit AS (SELECT i, n, sha256('{"difficulty":3,"index":' || i || ',"merkle_root":"' || merkle || '","nonce":' || n || ',"prev_hash":"' || hash || '","timestamp":"' || timestamp || '"}') AS h FROM top, (SELECT unnest(range(0, 100000)) AS n))
+SELECT i AS block_index, min(n) AS nonce, min_by(h, n) AS hash FROM hit WHERE starts_with(h, '000') GROUP BY i""")
+def mined_next_block(spark: SparkSession, d: str) -> DataFrame:
+    """The block after the chain's head, with the last block's entries, at three zeros: all tasks look for its nonce."""
+    head = r.chain(spark, d).agg(F.max_by(F.struct("block_index", "hash", "merkle", "timestamp"), "block_index").alias("h")).first()["h"]  # one block
+    nonce, digest = ledger.mined(spark, head["block_index"] + 1, head["timestamp"], head["hash"], head["merkle"], 3)
+    return spark.createDataFrame([(head["block_index"] + 1, nonce, digest)], "block_index long, nonce long, hash string")
 
 
 # Rules by type of document --------------------------------------------------------------------------
