@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.numbers import once
+
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of integer boxes [x1, y1, x2, y2]; 0 for null or empty ones."""
@@ -32,15 +34,18 @@ def l2_normalised(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def _unit(h: Column) -> Column:
+    """A histogram as shares; its sum is taken once."""
+    return once(F.aggregate(h, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(h, lambda x: x / total))
+
+
 def wasserstein1(a: Column, b: Column) -> Column:
     """Sum of the differences of the cumulative shares of two histograms over the same bins."""
-    share = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
-    delta = F.zip_with(a, b, lambda x, y: x / share(a) - y / share(b))
+    delta = F.zip_with(_unit(a), _unit(b), lambda x, y: x - y)
     step = lambda acc, d: F.struct((acc["run"] + d).alias("run"), (acc["sum"] + F.abs(acc["run"] + d)).alias("sum"))
     return F.aggregate(delta, F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
 def chi_square(a: Column, b: Column, eps: float = 1e-10) -> Column:
-    share = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
-    part = lambda x, y: F.pow(x / share(a) - y / share(b), 2) / (x / share(a) + y / share(b) + eps)
-    return F.aggregate(F.zip_with(a, b, part), F.lit(0.0), lambda s, x: s + x) / 2
+    part = lambda x, y: F.pow(x - y, 2) / (x + y + eps)
+    return F.aggregate(F.zip_with(_unit(a), _unit(b), part), F.lit(0.0), lambda s, x: s + x) / 2
