@@ -34,7 +34,7 @@ ANCHOR_BYTES, WINDOW_BYTES = (5, 6), (12, 8)
 #: must, and Python holds one at a time.
 SUB = 4
 #: Replies that a task collects over its buckets before it packs them, so that small buckets don't make many small rows.
-REPLIES = 1 << 22
+REPLIES = 1 << 20
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -61,9 +61,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Batches of rows with a doc_id, cut to about SLICE_BYTES of unpacked text and 50,000 rows, with the texts."""
+    """Batches of rows with a doc_id, cut to some 5 MB of unpacked text and 50,000 rows, with the texts."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in slices(batches, "packed", SLICE_BYTES * 2 // 5):
+    for batch in slices(batches, "packed", SLICE_BYTES // 4):
         for lo in range(0, batch.num_rows, 50_000):
             part = batch.slice(lo, 50_000)
             part = part.filter(part.column("doc_id").is_valid())
@@ -263,7 +263,7 @@ def _candidates(buckets: int, groups: int) -> Callable:
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches, "packed", SLICE_BYTES // 4):
         n, gone, kept = [], [], []
         for raw, reply, named in zip(batch.column("packed"), batch.column("replies"), batch.column("doc_id")):
             own = unpack.decompress(raw.as_py()).split()
@@ -294,7 +294,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, compressed, by document; each later pass joins them where they lie. Spark sorts the hashes of
     a task by bucket and its replies by group of documents, spilling where it must; Python holds one bucket or one group of SUB a partition at a
-    time. Texts meet their replies in a sort-merge join, which spills too. That two documents have a window in common is decided by 96 bits.
+    time. Texts meet their replies, which are the shared hashes alone, in a hash join by document, whose map holds those of a partition's
+    documents: sorting the texts instead took more memory than an executor of 3 GB has. That two documents have a window in common is decided by 96 bits.
     """
     parts = partitions(docs.sparkSession)
     buckets = groups = SUB * parts
@@ -305,7 +306,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     def collected(entries: DataFrame, smaller: bool) -> DataFrame:
         replies = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies(buckets, groups, smaller), _REPLY)
         sorted_out = _sorted_out(WINDOW_BYTES[1] if smaller else ANCHOR_BYTES[1])
-        return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sorted_out, "key long, replies binary").hint("merge")
+        return replies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sorted_out, "key long, replies binary").hint("shuffle_hash")
 
     shared = collected(dealt.mapInArrow(_anchors(buckets, groups), _ENTRY), False)
     near = dealt.join(shared, "key").select("doc_id", "packed", "replies")
