@@ -227,6 +227,20 @@ def test_planted_lines_are_found(spark):
     assert raster.straight_edges(rows.limit(0), 180).collect() == []
 
 
+def test_edges_of_rasters_are_those_of_their_points_and_shuffle_nothing(spark):
+    rng = np.random.default_rng(8)
+    made = [np.where(rng.random((30 + k, 40)) < 0.1, 255, 0).astype(np.uint8) for k in range(4)]
+    for k, p in enumerate(made):
+        p[10 + k] = 255
+        p[20:, 5:9] = 128
+    rows = rasters(spark, made)
+    found = raster.raster_edges(rows, 200.0, 12, 12, 12.0, 4)
+    points = raster.edge_points(rows, 200.0)
+    want = {tuple(r) for r in raster.straight_edges(points.unionByName(points), 12, 12, 12.0, 4).collect()}
+    assert {tuple(r) for r in found.collect()} == want and {r[0] for r in want} == {0, 1, 2, 3}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # Calibration -----------------------------------------------------------------------------------------
 def samples(spark, n):
     rng = np.random.default_rng(6)

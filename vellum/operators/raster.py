@@ -126,38 +126,77 @@ def edge_points(rasters: DataFrame, limit: float = 200.0) -> DataFrame:
     return each.select("doc_id", (F.col("at") % F.col("wide")).cast("int").alias("x"), F.floor(F.col("at") / F.col("wide")).cast("int").alias("y"))
 
 
+EDGES = "array<struct<angle:int,distance:int,votes:bigint,start:int,stop:int,length:double>>"
+_EDGES = pa.list_(pa.struct([("angle", pa.int32()), ("distance", pa.int32()), ("votes", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("length", pa.float64())]))
+
+
+def _whole(v: np.ndarray) -> np.ndarray:
+    """Rounded to six decimals, then to a whole number, halves away from zero."""
+    v = np.round(v, 6)
+    return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+
+
+def _edges(x: np.ndarray, y: np.ndarray, angles: int, votes: int, least: float, gap: int) -> list[dict]:
+    """The straight runs of one raster's points. Votes are counted in a table of angles by distances, as high as its lines are many; some
+    million places are held at a time beside it."""
+    if len(x) < votes:
+        return []
+    x, y = np.unique(np.stack([x, y]).astype(np.int64), axis=1)
+    theta = np.arange(angles) * (np.pi / angles)
+    cos, sin = np.cos(theta)[:, None], np.sin(theta)[:, None]
+    far = int(np.ceil(np.hypot(np.abs(x).max(), np.abs(y).max()))) + 2  # no line is farther from the origin
+    wide, rows = 2 * far + 1, max(1, (1 << 20) // len(x))
+    counted = np.full((angles + 2, wide), -1, np.int64)
+    for k in range(0, angles, rows):
+        at = _whole(x * cos[k : k + rows] + y * sin[k : k + rows]) + far
+        n = len(at)
+        counted[k + 1 : k + 1 + n] = np.bincount((at + np.arange(n)[:, None] * wide).ravel(), minlength=n * wide).reshape(n, wide)
+    own = counted[1:-1, 1:-1]
+    peak = own >= max(votes, 1)
+    # A line gives way to a stronger neighbour; of equal ones the first counts.
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            if i or j:
+                other = counted[1 + i : angles + 1 + i, 1 + j : wide - 1 + j]
+                peak &= (other <= own) if (i, j) > (0, 0) else (other < own)
+    found = []
+    for angle in np.flatnonzero(peak.any(axis=1)).tolist():
+        at = _whole(x * cos[angle] + y * sin[angle]) + far
+        place = _whole(y * cos[angle] - x * sin[angle])
+        for d in np.flatnonzero(peak[angle]).tolist():
+            places = np.unique(place[at == d + 1])
+            cut = np.flatnonzero(np.diff(places) > gap)
+            for start, stop in zip(places[np.r_[0, cut + 1]].tolist(), places[np.r_[cut, len(places) - 1]].tolist()):
+                if stop - start >= least:
+                    found.append({"angle": angle, "distance": d + 1 - far, "votes": int(own[angle, d]), "start": start, "stop": stop, "length": float(stop - start)})
+    return found
+
+
 def straight_edges(points: DataFrame, angles: int = 180, votes: int = 50, least: float = 50.0, gap: int = 10) -> DataFrame:
     """(doc_id, angle, distance, votes, start, stop, length) of the straight runs of edge points (doc_id, x, y).
 
-    Every point votes for the line through it at each of ``angles`` angles; votes are summed by (document, angle, distance). Lines of
+    Every point votes for the line through it at each of ``angles`` angles; votes are summed by angle and distance. Lines of
     ``votes`` or more, which no neighbouring line (one step of angle or distance away) exceeds, are cut where points along them are
     more than ``gap`` apart, and runs of ``least`` or longer are returned. All lines are tried, none by chance. ``start`` and ``stop`` are
-    places along the line. Points that stand twice count once. A line has as many points as its raster is long, which is what is gathered.
+    places along the line. Points that stand twice count once. A raster's points are gathered, not its points at every angle.
     """
-    step = F.lit(np.pi / angles)
-    turned = points.distinct().withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))
-    a = F.col("angle") * step
-    across = F.round(F.round(F.col("x") * F.cos(a) + F.col("y") * F.sin(a), 6), 0).cast("int")
-    along = F.round(F.round(F.col("y") * F.cos(a) - F.col("x") * F.sin(a), 6), 0).cast("int")
-    line = turned.select("doc_id", "angle", across.alias("distance"), along.alias("place"))
-    strong = line.groupBy("doc_id", "angle", "distance").agg(F.count("*").alias("votes"), F.array_sort(F.collect_set("place")).alias("places")).where(F.col("votes") >= votes)
-    # A line gives way to a stronger neighbour; of equal ones the first counts. Votes are offered to the neighbours, so no line is paired with all.
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    rank = F.struct("votes", -F.col("angle"), -F.col("distance"))
-    offered = strong.select("doc_id", rank.alias("of"), "angle", "distance", F.explode(near).alias("n"))
-    offered = offered.select("doc_id", "of", (F.col("angle") + F.col("n.i")).alias("angle"), (F.col("distance") + F.col("n.j")).alias("distance"))
-    best = offered.groupBy("doc_id", "angle", "distance").agg(F.max("of").alias("best"))
-    peaks = strong.join(best, ["doc_id", "angle", "distance"], "left").where(F.col("best").isNull() | (rank > F.col("best")))
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x.alias("stop"))))
-        return F.when((F.size(acc) > 0) & (x - F.coalesce(F.get(acc, F.size(acc) - 1)["stop"], x) <= gap), joined).otherwise(F.array_append(acc, F.struct(x.alias("start"), x.alias("stop"))))
-
-    runs = F.aggregate("places", F.array().cast("array<struct<start:int,stop:int>>"), add)
-    cut = peaks.select("doc_id", "angle", "distance", "votes", F.explode(runs).alias("r"))
-    length = (F.col("r.stop") - F.col("r.start")).cast("double")
-    return cut.where(length >= least).select("doc_id", "angle", "distance", "votes", "r.start", "r.stop", length.alias("length"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = zip(batch.column("x"), batch.column("y"))
+            found = [_edges(px.values.to_numpy(), py.values.to_numpy(), angles, votes, least, gap) for px, py in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _EDGES)], ["doc_id", "edges"])
+
+    by = points.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("p"))
+    return by.select("doc_id", "p.x", "p.y").mapInArrow(run, f"doc_id long, edges {EDGES}").select("doc_id", F.inline("edges"))
+
+
+def raster_edges(rasters: DataFrame, limit: float = 200.0, angles: int = 180, votes: int = 50, least: float = 50.0, gap: int = 10) -> DataFrame:
+    """``straight_edges`` of the pixels whose gradient is above ``limit``. A raster is whole in its row, so no point leaves its task."""
+    def measure(grey: np.ndarray) -> dict:
+        y, x = np.nonzero(_magnitude(grey) > limit)
+        return {"edges": _edges(x, y, angles, votes, least, gap)}
+
+    return _each(rasters, measure, f"edges {EDGES}", [_EDGES]).select("doc_id", F.inline("edges"))
 
 
 def _raster_sql(table: str = "documents", width: int = 64) -> str:

@@ -84,8 +84,7 @@ edge AS (SELECT doc_id, angle, distance, votes, min(place) AS start, max(place)
 
 @query("straight_edges", _EDGES + " SELECT doc_id, angle, distance, votes, start, stop, (stop - start)::DOUBLE AS length FROM edge")
 def straight_edges(spark: SparkSession, d: str) -> DataFrame:
-    points = store.written(raster.edge_points(_rasters(spark, d), 400.0), "points")
-    return raster.straight_edges(points, ANGLES, VOTES, LEAST, GAP)
+    return raster.raster_edges(_rasters(spark, d), 400.0, ANGLES, VOTES, LEAST, GAP)
 
 
 @query("boundary_lines", _EDGES + f""", counted AS (SELECT d.doc_id, count(edge.doc_id)::DOUBLE AS long_lines FROM (SELECT DISTINCT doc_id FROM px) d LEFT JOIN edge ON edge.doc_id = d.doc_id AND stop - start >= {LEAST * 1.5} GROUP BY d.doc_id)
