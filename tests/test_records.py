@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import hashlib
 import json
 import math
@@ -324,3 +326,13 @@ def test_answers_that_are_no_object(spark):
     got = {r.doc_id: r for r in fusion.model_answers(rows).collect()}
     assert [got[i].parsed for i in range(6)] == [False, True, True, False, False, False]
     assert (got[1].summary, got[1].corroboration, got[1].uncertainties, got[1].contradictions, got[2].summary) == ("a", ["c"], ["u"], [], "b")
+
+
+def test_json_of_a_record_is_one_step_of_a_short_plan(spark):
+    schema = "doc_id long, evidence array<struct<id:string,kind:string,field:string,message:string,confidence:double,region:array<int>>>, risk struct<level:string,why:string,base:double,bonus:double>"
+    rows = spark.createDataFrame([], schema).repartition(2)
+    plan = ledger.with_hash(rows.withColumns({c: F.lit("x") for c in ledger.HASHED if c != "payload"} | {"payload": F.struct("evidence", "risk")}))
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    kind = "w struct<f:float,m:map<int,double>,b:binary,c:decimal(3,2),d:date,n:struct<x:date>>"
+    whole = spark.createDataFrame([((0.1, {1: 2.5}, bytearray(b"\x00\xff"), decimal.Decimal("1.50"), datetime.date(2024, 1, 2), None),)], kind)
+    assert whole.select(json_text(F.col("w"), whole.schema["w"].dataType).alias("j")).first()[0] == '{"b":"AP8=","c":"1.50","d":"2024-01-02","f":0.10000000149011612,"m":{"1":2.5},"n":null}'
