@@ -9,6 +9,7 @@ import json
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -336,3 +337,9 @@ def test_json_of_a_record_is_one_step_of_a_short_plan(spark):
     kind = "w struct<f:float,m:map<int,double>,b:binary,c:decimal(3,2),d:date,n:struct<x:date>>"
     whole = spark.createDataFrame([((0.1, {1: 2.5}, bytearray(b"\x00\xff"), decimal.Decimal("1.50"), datetime.date(2024, 1, 2), None),)], kind)
     assert whole.select(json_text(F.col("w"), whole.schema["w"].dataType).alias("j")).first()[0] == '{"b":"AP8=","c":"1.50","d":"2024-01-02","f":0.10000000149011612,"m":{"1":2.5},"n":null}'
+
+
+def test_shares_take_the_sum_once(spark):
+    began = time.time()
+    row = spark.range(1).select(calibrate.shares(F.sequence(F.lit(1), F.lit(20_000))).alias("s")).first()
+    assert sum(row.s) == pytest.approx(1) and time.time() - began < 20  # 20,000 sums of 20,000 take minutes

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.measures import chi_square, wasserstein1
+from vellum.functions.numbers import once
 from vellum.operators import signals
 from vellum.sources.store import written
 
@@ -24,8 +27,8 @@ class Locked(RuntimeError):
 
 
 def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: x / total)
+    """Counts as shares; their sum is taken once, not for each bin."""
+    return once(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x), lambda total: F.transform(counts, lambda x: x / total))
 
 
 def _sums(samples: DataFrame, column: str) -> Column:
@@ -33,8 +36,24 @@ def _sums(samples: DataFrame, column: str) -> Column:
     return F.array(*(F.sum(F.get(column, F.lit(i))) for i in range(BINS)))
 
 
-def _without(total: Column, own: Column, n: Column) -> Column:
-    return F.zip_with(total, own, lambda t, x: (t - x) / (n - 1))
+def _unit(h: np.ndarray) -> np.ndarray:
+    return h / h.sum(axis=-1, keepdims=True)
+
+
+def _far(samples: DataFrame, intensity: list[float], texture: list[float], gradient: float, n: int | None = None) -> DataFrame:
+    """(doc_id, d_intensity, d_texture, d_gradient) of samples to a reference: the cumulative and the chi-square distance of two histograms,
+    a batch of samples at a time. With ``n`` the reference is a sum of so many samples, of which each one's own share is taken out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda total, own: np.array(total) if n is None else (np.array(total) - own) / (n - 1)
+        for batch in batches:
+            i, t = (batch.column(c).flatten().to_numpy().reshape(len(batch), BINS) for c in ("intensity", "texture"))
+            g = batch.column("gradient_mean").to_numpy()
+            x, y = _unit(t), _unit(of(texture, t))
+            far = np.abs(np.cumsum(_unit(i) - _unit(of(intensity, i)), axis=1)).sum(axis=1), ((x - y) ** 2 / (x + y + 1e-10)).sum(axis=1) / 2, np.abs(g - of(gradient, g))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, far)], ["doc_id", "d_intensity", "d_texture", "d_gradient"])
+
+    rows = samples.select(F.col("doc_id").cast("long").alias("doc_id"), "intensity", "texture", F.col("gradient_mean").cast("double").alias("gradient_mean"))
+    return rows.mapInArrow(run, "doc_id long, d_intensity double, d_texture double, d_gradient double")
 
 
 def fitted(samples: DataFrame) -> tuple[dict, DataFrame]:
@@ -46,13 +65,7 @@ def fitted(samples: DataFrame) -> tuple[dict, DataFrame]:
     n = row["n"]
     if n < FEWEST:
         raise ValueError(f"{n} genuine samples are too few, {FEWEST} are needed")
-    whole = F.broadcast(one.drop("sd"))  # one row of 513 numbers
-    of = samples.join(whole)
-    far = written(of.select(
-        "doc_id", wasserstein1(F.col("intensity"), _without(F.col("i"), F.col("intensity"), F.col("n"))).alias("d_intensity"),
-        chi_square(F.col("texture"), _without(F.col("t"), F.col("texture"), F.col("n"))).alias("d_texture"),
-        F.abs(F.col("gradient_mean") - (F.col("g") - F.col("gradient_mean")) / (F.col("n") - 1)).alias("d_gradient"),
-    ), "loo")
+    far = written(_far(samples, row["i"], row["t"], row["g"], n), "loo")
     limit = {k: max(signals.percentile(far, c, SHARE) * MARGIN, FLOORS[k]) for k, c in (("intensity", "d_intensity"), ("lbp", "d_texture"), ("gradient", "d_gradient"))}
     unit = lambda x: [v / math.fsum(x) for v in x]
     return {"n": n, "intensity": unit(row["i"]), "texture": unit(row["t"]), "gradient_mean": row["g"] / n, "gradient_std": row["sd"], "thresholds": limit}, far
@@ -80,8 +93,4 @@ def distances(spark: SparkSession, folder: str, samples: DataFrame, version: str
     """(doc_id, d_intensity, d_texture, d_gradient) of samples to the locked references in ``folder``, and the metadata."""
     rows = {r["name"]: r for r in signals.calibration(spark, folder, version).collect()}  # two rows
     meta = json.loads(rows["intensity"]["metadata"])
-    known = lambda name: F.array(*map(F.lit, rows[name]["bins"]))
-    return samples.select(
-        "doc_id", wasserstein1(F.col("intensity"), known("intensity")).alias("d_intensity"), chi_square(F.col("texture"), known("texture")).alias("d_texture"),
-        F.abs(F.col("gradient_mean") - meta["gradient_mean"]).alias("d_gradient"),
-    ), meta
+    return _far(samples, rows["intensity"]["bins"], rows["texture"]["bins"], meta["gradient_mean"]), meta
