@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from vellum.functions.numbers import half_even, json_text, python_text
-from vellum.operators import calibrate, fusion, ledger, raster, rules, signals
+from vellum.operators import calibrate, fusion, ledger, raster, rules, signals, text
 from vellum.plans import records, registry
-from vellum.sources import commits, store
+from vellum.sources import commits, store, workload
 
 
 def numbers():
@@ -343,3 +343,10 @@ def test_shares_take_the_sum_once(spark):
     began = time.time()
     row = spark.range(1).select(calibrate.shares(F.sequence(F.lit(1), F.lit(20_000))).alias("s")).first()
     assert sum(row.s) == pytest.approx(1) and time.time() - began < 20  # 20,000 sums of 20,000 take minutes
+
+
+def test_lines_of_whole_pages_are_those_of_their_words_and_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "b a  c\n\n x\n"), (2, ""), (3, None), (4, "one\ntwo \"2\" é")], "doc_id long, text string")
+    whole = text.page_lines(workload.document_lines(docs))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, text.lines(workload.document_words(docs)).collect())) != []
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
