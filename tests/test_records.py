@@ -19,7 +19,7 @@ from tests.conftest import SF
 from vellum.functions.numbers import half_even, json_text, python_text
 from vellum.operators import calibrate, fusion, ledger, raster, rules, signals, text
 from vellum.plans import records, registry
-from vellum.sources import commits, store, workload
+from vellum.sources import commits, store, synth, workload
 
 
 def numbers():
@@ -350,3 +350,10 @@ def test_lines_of_whole_pages_are_those_of_their_words_and_shuffle_nothing(spark
     whole = text.page_lines(workload.document_lines(docs))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, text.lines(workload.document_words(docs)).collect())) != []
     assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_of_the_chain_grow_with_the_customers(spark, monkeypatch):
+    monkeypatch.setattr(synth, "TO_PART", 10)
+    n = -(-spark.read.parquet(f"{SF}/customer.parquet").count() // 10)
+    assert n > 4 and synth.people(spark, SF).rdd.getNumPartitions() == n
+    assert registry.dealt(spark, SF, spark.range(9).withColumnRenamed("id", "doc_id")).rdd.getNumPartitions() == n
